@@ -43,8 +43,12 @@ def _raw(build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: build(testdata.raw_bars(spark, sf_dir))
 
 
+def _bronze(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(lake(spark, sf_dir).bronze)
+
+
 def _typed(build: Callable[[DataFrame], DataFrame]) -> Query:
-    return _raw(lambda df: build(clean.clean(df)))
+    return _bronze(lambda df: build(clean.clean(df)))
 
 
 def _silver(build: Callable[[DataFrame], DataFrame]) -> Query:
@@ -120,14 +124,14 @@ def _maintained(config: DataFrame) -> DataFrame:
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All bars landed as daily JSON drops, then ingested by the file stream."""
     root = shared_folder(spark)
-    export_daily_json(testdata.raw_bars(spark, sf_dir).select(*BAR_COLUMNS), f"{root}/landing")
+    export_daily_json(lake(spark, sf_dir).bronze.select(*BAR_COLUMNS), f"{root}/landing")
     ingest.ingest_available(spark, f"{root}/landing", f"{root}/bronze", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/bronze")
 
 
 def _json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_folder(spark)
-    export_daily_json(testdata.raw_bars(spark, sf_dir).select(*BAR_COLUMNS), f"{root}/landing")
+    export_daily_json(lake(spark, sf_dir).bronze.select(*BAR_COLUMNS), f"{root}/landing")
     return bars.read_json_bars(spark, f"{root}/landing")
 
 
@@ -142,7 +146,7 @@ def _walk(part: str) -> Query:
 
 
 def _bronze_check(check: Callable[..., DataFrame], *args) -> Query:
-    return _raw(lambda df: check(df, *args, run_id="run-1", layer="bronze", table="bronze.stock_prices_raw", as_of=AS_OF))
+    return _bronze(lambda df: check(df, *args, run_id="run-1", layer="bronze", table="bronze.stock_prices_raw", as_of=AS_OF))
 
 
 DAILY, SECTOR, MOVERS, OVERVIEW = "stock_daily_metrics", "sector_daily_metrics", "top_movers_daily", "market_overview_daily"
@@ -151,8 +155,7 @@ MULTITIME, STRENGTH, TECHNICAL = "stock_multitime_performance", "stock_relative_
 
 def entry(spark: SparkSession) -> DataFrame:
     """Daily metrics of every stock, from raw bars to moving averages."""
-    sf_dir = "/root/testdata/sf0.001"
-    return gold.stock_daily_metrics(silver_bars(testdata.raw_bars(spark, sf_dir)), testdata.sector_map(spark, sf_dir))
+    return lake(spark, "/root/testdata/sf0.001").plan(DAILY)
 
 
 def queries() -> dict[str, Query]:
@@ -160,24 +163,24 @@ def queries() -> dict[str, Query]:
         # sources
         "bars_raw": _raw(lambda df: df),
         "bars_normalised": _raw(lambda df: bars.normalise_bars(_vendor_shape(df), "vendor", AS_OF)),
-        "ingest_date_range": _raw(lambda df: bars.in_range(df, *bars.backfill_range(MONITOR_DAY))),
+        "ingest_date_range": _bronze(lambda df: bars.in_range(df, *bars.backfill_range(MONITOR_DAY))),
         "universe_active": _config(bars.universe),
         "bars_of_universe": lambda spark, sf_dir: bars.restrict_to_universe(
-            testdata.raw_bars(spark, sf_dir), testdata.ticker_config(spark, sf_dir)
+            lake(spark, sf_dir).bronze, testdata.ticker_config(spark, sf_dir)
         ),
         "daily_json_roundtrip": _json_roundtrip,
         "stream_ingest": lambda spark, sf_dir: _streamed(spark, sf_dir).select(*BAR_COLUMNS),
         "stream_vs_batch": lambda spark, sf_dir: profiles.stream_vs_batch(
-            _streamed(spark, sf_dir), testdata.raw_bars(spark, sf_dir)
+            _streamed(spark, sf_dir), lake(spark, sf_dir).bronze
         ),
         # silver
         "clean_typed": _typed(lambda df: df),
         "quality_flags": _typed(lambda df: _reasons_as_text(quality.RuleSet(RULES()).flag(df))),
         "quality_valid": _typed(lambda df: quality.RuleSet(RULES()).valid(df)),
-        "quality_quarantine": _raw(lambda df: _reasons_as_text(quarantined_bars(df, AS_OF))),
+        "quality_quarantine": _bronze(lambda df: _reasons_as_text(quarantined_bars(df, AS_OF))),
         "quality_rule_counts": _typed(lambda df: quality.RuleSet(RULES()).summary(df)),
         "duplicate_keys": _typed(lambda df: clean.duplicate_keys(quality.RuleSet(RULES()).valid(df))),
-        "dedup_latest": _raw(silver_bars),
+        "dedup_latest": _bronze(silver_bars),
         "gap_report": _silver(clean.gap_report),
         "upsert_silver": _silver(_upserted),
         "upsert_silver_table": _upserted_table,
@@ -214,7 +217,7 @@ def queries() -> dict[str, Query]:
         "screen_market_scorecard": _gold(OVERVIEW, screens.market_scorecard),
         "screen_recent_bars": _silver(lambda df: screens.recent_bars(df, "NATION_3", MONITOR_DAY)),
         # profiles
-        "profile_bronze_per_ticker": _raw(profiles.per_ticker),
+        "profile_bronze_per_ticker": _bronze(profiles.per_ticker),
         "profile_silver_per_ticker": _silver(profiles.per_ticker_with_means),
         "profile_bronze_vs_silver": lambda spark, sf_dir: profiles.bronze_vs_silver(
             lake(spark, sf_dir).bronze, lake(spark, sf_dir).silver
@@ -227,7 +230,7 @@ def queries() -> dict[str, Query]:
         # monitoring
         "null_check": _bronze_check(quality.null_check, ["ticker", "date", "open", "close"], 0.05),
         "duplicate_check": _bronze_check(quality.duplicate_check, ["ticker", "date"], 0.01),
-        "freshness_check": _raw(
+        "freshness_check": _bronze(
             lambda df: quality.freshness_check(df, layer="bronze", table="bronze.stock_prices_raw", as_of=AS_OF)
         ),
         "layer_profile": lambda spark, sf_dir: monitor.layer_profile(

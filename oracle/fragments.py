@@ -11,8 +11,8 @@ def rnd(x: str, k: int) -> str:
     return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,15)), {k}) AS DOUBLE)"
 
 
-def div0(a: str, b: str) -> str:
-    return f"(({a}) / nullif({b}, 0))"
+def minus(a: str, b: str, k: int) -> str:
+    return f"CAST(round(CAST({a} AS DECIMAL(18,4)) - CAST({b} AS DECIMAL(18,4)), {k}) AS DOUBLE)"
 
 
 def pct(value: str, base: str, k: int = 2) -> str:
@@ -236,9 +236,9 @@ market_return AS (SELECT date, {mean('daily_return_pct', 2)} AS market_return_pc
 sector_return AS (SELECT sector, date, {mean('daily_return_pct', 2)} AS sector_return_pct FROM mapped GROUP BY sector, date),
 versus AS (
   SELECT mapped.*, market_return_pct, sector_return_pct,
-         {rnd('(daily_return_pct - sector_return_pct)', 2)} AS outperformance_vs_sector_pct,
-         {rnd('(daily_return_pct - market_return_pct)', 2)} AS outperformance_vs_market_pct,
-         {rnd('(sector_return_pct - market_return_pct)', 2)} AS sector_vs_market_pct,
+         {minus('daily_return_pct', 'sector_return_pct', 2)} AS outperformance_vs_sector_pct,
+         {minus('daily_return_pct', 'market_return_pct', 2)} AS outperformance_vs_market_pct,
+         {minus('sector_return_pct', 'market_return_pct', 2)} AS sector_vs_market_pct,
          CAST(row_number() OVER (PARTITION BY mapped.sector, mapped.date
               ORDER BY daily_return_pct DESC NULLS LAST, ticker_standard) AS INTEGER) AS rank_in_sector,
          count(ticker_standard) OVER (PARTITION BY mapped.sector, mapped.date) AS total_in_sector

@@ -27,6 +27,11 @@ def pct_over(value, base, digits: int = 2) -> Column:
     return F.round(ratio(col(value) - col(base), base) * 100, digits)
 
 
+def difference(a, b, digits: int) -> Column:
+    """Rounded difference, taken on decimals so that a tie rounds half up."""
+    return F.round(col(a).cast(PRICE) - col(b).cast(PRICE), digits).cast("double")
+
+
 def mean(c, digits: int | None = None) -> Column:
     """Exact mean of a group, rounded half up when ``digits`` is given."""
     exact = col(c).cast(PRICE)
@@ -42,8 +47,7 @@ def mean_count(c) -> Column:
 
 def clean_double(c) -> Column:
     """Cast to double; text that is no number, and NaN, become NULL."""
-    value = col(c).try_cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.nanvl(col(c).try_cast("double"), F.lit(None).cast("double"))
 
 
 def count_where(condition: Column) -> Column:

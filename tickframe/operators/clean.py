@@ -28,6 +28,12 @@ def standard_ticker(c: str) -> Column:
     return F.regexp_replace(F.upper(F.trim(c)), r"\.NS$", "")
 
 
+def whole_number(c: str, df: DataFrame) -> Column:
+    """Long value of a column; NaN and values out of range become NULL."""
+    floating = dict(df.dtypes)[c] in ("double", "float")
+    return (clean_double(c) if floating else F.col(c)).try_cast("long")
+
+
 def conform(df: DataFrame, exchange_tz: str | None = None) -> DataFrame:
     """Declared types; unparsable numbers and NaN become NULL for the rules to find."""
     prices = {c: clean_double(c) for c in ("open", "high", "low", "close")}
@@ -35,9 +41,7 @@ def conform(df: DataFrame, exchange_tz: str | None = None) -> DataFrame:
         {
             "date": trading_date("date", exchange_tz),
             **prices,
-            "volume": clean_double("volume").try_cast("long")
-            if dict(df.dtypes)["volume"] in ("double", "float")
-            else F.col("volume").try_cast("long"),
+            "volume": whole_number("volume", df),
             "ticker_standard": standard_ticker("ticker"),
         }
     )

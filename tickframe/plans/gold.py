@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.functions.numeric import count_where, mean, mean_count, pct_over, ratio
+from tickframe.functions.numeric import count_where, difference, mean, mean_count, pct_over, ratio
 from tickframe.functions.windows import Series, over_series, top_per_group
 from tickframe.operators.dimensions import with_sector
 
@@ -242,9 +242,9 @@ def stock_relative_strength(
     return (
         ranked.withColumns(
             {
-                "outperformance_vs_sector_pct": F.round(ret - F.col("sector_return_pct"), 2),
-                "outperformance_vs_market_pct": F.round(ret - F.col("market_return_pct"), 2),
-                "sector_vs_market_pct": F.round(F.col("sector_return_pct") - F.col("market_return_pct"), 2),
+                "outperformance_vs_sector_pct": difference(ret, "sector_return_pct", 2),
+                "outperformance_vs_market_pct": difference(ret, "market_return_pct", 2),
+                "sector_vs_market_pct": difference("sector_return_pct", "market_return_pct", 2),
                 "percentile_in_sector": F.round(
                     (1 - (F.col("rank_in_sector") - 1) / F.col("total_in_sector")) * 100, 1
                 ),

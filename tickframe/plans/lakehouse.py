@@ -55,20 +55,25 @@ class Lakehouse:
         self, spark: SparkSession, bronze: DataFrame, sectors: DataFrame, root: str | None = None,
         partitions: tuple[str, ...] = (), max_series_rows: int = MAX_SERIES_ROWS,
     ):
-        self.spark, self.bronze, self._sectors = spark, bronze, sectors
+        self.spark, self._bronze, self._sectors = spark, bronze, sectors
         self.root = root or shared_folder(spark)
         self.partitions, self.max_series_rows = partitions, max_series_rows
-        self._written: dict[str, str] = {}
+        self._written: dict[str, DataFrame] = {}
         self._block_rows: int | None = None
         self._measured = False
 
     def written(self, name: str, plan: Callable[[], DataFrame], partitions: tuple[str, ...] | None = None) -> DataFrame:
         """The table ``name``, written on first use."""
         if name not in self._written:
-            path = f"{self.root}/{name}"
-            write_table(plan(), path, self.partitions if partitions is None else partitions)
-            self._written[name] = path
-        return self.spark.read.parquet(self._written[name])
+            path, rows = f"{self.root}/{name}", plan()
+            write_table(rows, path, self.partitions if partitions is None else partitions)
+            # The schema is known, so reading back needs no look at the files.
+            self._written[name] = self.spark.read.schema(rows.schema).parquet(path)
+        return self._written[name]
+
+    @property
+    def bronze(self) -> DataFrame:
+        return self.written("bronze.stock_prices_raw", lambda: self._bronze)
 
     @property
     def sectors(self) -> DataFrame:

@@ -11,19 +11,17 @@ from pyspark.sql import functions as F
 def write_table(
     df: DataFrame, path: str, partitions: Sequence[str] = (), mode: str = "overwrite"
 ) -> None:
-    """Write Parquet with files of even size.
+    """Write Parquet, clustered by the partition columns if there are any.
 
     The rebalance hint lets adaptive execution merge small and split large
-    shuffle partitions: no task or file per tiny partition, and a partition with
-    a large share of the rows is written by several tasks.
+    shuffle partitions: no file per task and partition value, and a value with a
+    large share of the rows is written by several tasks. Without partition
+    columns the rows are written where they are, without a shuffle.
     """
-    # A name in both the path and the rows would clash, so rows are clustered
-    # by the partition columns themselves.
-    out = df.hint("rebalance", *partitions) if partitions else df.hint("rebalance")
-    writer = out.write.mode(mode)
     if partitions:
-        writer = writer.partitionBy(*partitions)
-    writer.parquet(path)
+        df.hint("rebalance", *partitions).write.mode(mode).partitionBy(*partitions).parquet(path)
+    else:
+        df.write.mode(mode).parquet(path)
 
 
 def append_bars(df: DataFrame, path: str, partitions: Sequence[str] = ("ingestion_date",)) -> None:

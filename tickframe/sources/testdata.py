@@ -20,6 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on a scan that has fewer splits than there are cores.
+
+    A Parquet row group is read by one task, so a small table in one row group
+    would keep one core busy through everything up to the next shuffle. A scan
+    with enough splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _cents(c: Column) -> Column:
     return F.floor(c * 100 + 0.5)
 
@@ -28,7 +39,7 @@ def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One bar per line item, with planted faults, in the bronze schema."""
     key = F.col("l_orderkey")
     items = (
-        table(spark, sf_dir, "lineitem")
+        spread(table(spark, sf_dir, "lineitem"))
         .select(
             "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
             "l_extendedprice", "l_discount", "l_tax", "l_shipdate",
@@ -130,7 +141,7 @@ def layer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = F.col("l_quantity") * 1000
     start = F.col("l_shipdate").cast("timestamp")
-    df = table(spark, sf_dir, "lineitem").select(
+    df = spread(table(spark, sf_dir, "lineitem")).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("metric_id"),
         F.col("l_orderkey").cast("string").alias("run_id"),
         layer.alias("layer_name"),
