@@ -109,8 +109,8 @@ def _upserted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     month = F.trunc("date", "MM")
     target, source = (df.withColumn("month", month) for df in _upsert_pair(lake(spark, sf_dir).silver))
     root = shared_folder(spark)
-    target.hint("rebalance", "month").write.partitionBy("month").parquet(f"{root}/target")
-    upsert.upsert_table(spark, f"{root}/target", source, clean.KEYS, "month", f"{root}/staging")
+    for rows in (target, source):
+        upsert.upsert_table(spark, f"{root}/target", rows, clean.KEYS, "month", f"{root}/staging")
     return spark.read.parquet(f"{root}/target").select("ticker", "date", "close", "volume", "record_id")
 
 
@@ -181,7 +181,9 @@ def queries() -> dict[str, Query]:
         "quality_rule_counts": _typed(lambda df: quality.RuleSet(RULES()).summary(df)),
         "duplicate_keys": _typed(lambda df: clean.duplicate_keys(quality.RuleSet(RULES()).valid(df))),
         "dedup_latest": _bronze(silver_bars),
-        "gap_report": _silver(clean.gap_report),
+        "gap_report": lambda spark, sf_dir: clean.gap_report(
+            lake(spark, sf_dir).silver, block_rows=lake(spark, sf_dir).block_rows
+        ),
         "upsert_silver": _silver(_upserted),
         "upsert_silver_table": _upserted_table,
         # dimensions

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tickframe.sinks import write_table
@@ -29,17 +30,31 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], check: boo
     )
 
 
+def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where nothing has been written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def upsert_table(
     spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], partition: str, staging: str
 ) -> None:
-    """Upsert into a Parquet table, rewriting only the partitions source touches.
+    """Create a Parquet table, or upsert into it rewriting only touched partitions.
 
     ``partition`` must follow from the keys (say, the month of the date), so that
     a matching row can only live in a partition the source names. The merged
     partitions are written to ``staging`` first: the swap then reads nothing of
     the table it replaces and can be repeated if it is interrupted.
     """
-    target = spark.read.parquet(path)
+    target = read_if_exists(spark, path)
+    if target is None:
+        require_unique(source, keys)
+        write_table(source, path, (partition,))
+        return
     touched = source.select(partition).distinct()
     merged = upsert(target.join(touched, partition, "left_semi"), source, keys)
     write_table(merged, staging, (partition,))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.functions.numeric import count_where, difference, mean, mean_count, pct_over, ratio
+from tickframe.functions.numeric import PRICE, count_where, difference, mean, mean_count, pct_over, ratio
 from tickframe.functions.windows import Series, over_series, top_per_group
 from tickframe.operators.dimensions import with_sector
 
@@ -190,40 +190,42 @@ def stock_multitime_performance(silver: DataFrame, sectors: DataFrame, block_row
 
 
 def stock_relative_strength(
-    silver: DataFrame, sectors: DataFrame, slice_pct: float = 1.0, prefix: int = 2
+    silver: DataFrame, sectors: DataFrame, slice_units: int = 100, prefix: int = 2
 ) -> DataFrame:
     """Each stock against its sector and the market, and its rank in the sector.
 
     A sector on a day may hold very many stocks, so the rank is not taken in one
-    window over them. Stocks are cut into slices that follow the rank order (the
-    return in steps of ``slice_pct``, then the first letters of the ticker). One
-    pre-aggregated pass counts and sums the slices; from it come the sector and
-    market means, the sector size and the number of stocks in better slices. The
-    rank is that number plus the position inside the own slice.
+    window over them. Stocks are cut into slices that follow the rank order: the
+    return in steps of ``slice_units`` ten-thousandths and, since many stocks may
+    share a round return such as zero, those exactly on a step by the first
+    letters of their ticker. One pre-aggregated pass counts and sums the slices;
+    from it come the sector and market means, the sector size and the number of
+    stocks in better slices. The rank is that number plus the position inside
+    the own slice.
     """
-    group = ["sector", DATE]
     ret = F.col("daily_return_pct")
-    # A missing return ranks last.
-    step = F.coalesce(F.floor(-ret / slice_pct), F.lit(2**62).cast("long"))
+    exact = ret.cast(PRICE)
+    # Best return first; a missing one ranks last.
+    units = (-exact * 10_000).cast("long")
     bars = with_sector(silver.select(KEY, DATE, "close", "daily_return_pct"), sectors).withColumns(
         {
             "_sector": F.coalesce("sector", F.lit("")),
             "_mapped": F.col("sector").isNotNull(),
-            "_step": step,
-            "_letters": F.substring(KEY, 1, prefix),
+            "_step": F.coalesce(F.floor(units / slice_units), F.lit(2**62)),
+            "_off_step": F.coalesce(units % slice_units != 0, F.lit(False)),
         }
-    )
-    slice_of = ["_sector", "_mapped", DATE, "_step", "_letters"]
+    ).withColumn("_letters", F.when(~F.col("_off_step"), F.substring(KEY, 1, prefix)).otherwise(""))
+    in_order = ["_step", "_off_step", "_letters"]
+    slice_of = ["_sector", "_mapped", DATE, *in_order]
     in_sector = Window.partitionBy("_sector", "_mapped", DATE)
     in_market = Window.partitionBy(DATE)
-    ahead = in_sector.orderBy("_step", "_letters").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = in_sector.orderBy(*in_order).rowsBetween(Window.unboundedPreceding, -1)
 
     def mean_over(w) -> Column:
         # The narrower decimal leaves the quotient enough digits to round once.
         total = F.sum("_total").over(w).cast("decimal(28,4)")
         return F.round(ratio(total, F.sum("_seen").over(w)), 2).cast("double")
 
-    exact = ret.cast("decimal(18,4)")
     benchmarks = (
         bars.groupBy(*slice_of)
         .agg(F.sum(exact).alias("_total"), F.count(exact).alias("_seen"), F.count(KEY).alias("_n"))
@@ -236,7 +238,7 @@ def stock_relative_strength(
             F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"),
         )
     )
-    place = F.row_number().over(Window.partitionBy(*slice_of).orderBy(ret.desc_nulls_last(), F.col(KEY).asc()))
+    place = F.row_number().over(Window.partitionBy(*slice_of).orderBy(exact.desc_nulls_last(), F.col(KEY).asc()))
     ranked = bars.join(benchmarks, slice_of).withColumn("rank_in_sector", (F.col("_ahead") + place).cast("int"))
     versus_sector, versus_market = F.col("outperformance_vs_sector_pct"), F.col("outperformance_vs_market_pct")
     return (

@@ -10,19 +10,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from tickframe.functions.windows import MAX_SERIES_ROWS, longest_series
-from tickframe.operators.clean import clean, keep_latest
+from tickframe.operators.clean import KEYS, clean, keep_latest
 from tickframe.operators.quality import RuleSet, bar_rules
+from tickframe.operators.upsert import upsert_table
 from tickframe.plans import gold
+from tickframe.plans.screens import MONTH
 from tickframe.sinks import write_table
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+BRONZE, SECTORS = "bronze.stock_prices_raw", "gold.ticker_sector_mapping"
+SILVER, QUARANTINE = "silver.stock_prices_clean", "silver.stock_prices_quarantine"
+
+# Rows from which a table is worth a directory per month.
+PARTITION_ROWS = 50_000_000
+
 
 @cache
 def _local_root() -> str:
@@ -48,53 +57,82 @@ def quarantined_bars(bronze: DataFrame, at: datetime | None = None, exchange_tz:
     return RuleSet(bar_rules()).quarantined(clean(bronze, exchange_tz), at)
 
 
+def with_month(df: DataFrame) -> DataFrame:
+    return df.withColumn(MONTH, F.trunc("date", "MM"))
+
+
+def refresh_silver(
+    spark: SparkSession, bronze: DataFrame, path: str, staging: str,
+    since: date | None = None, exchange_tz: str | None = None,
+) -> None:
+    """Merge the bars landed on or after ``since`` into the silver table at ``path``.
+
+    The table is kept by month of the trading day, which follows from the merge
+    key, so a daily refresh rewrites the months it has bars for and no others.
+    """
+    landed = bronze if since is None else bronze.where(F.col("ingestion_date") >= F.lit(since))
+    upsert_table(spark, path, with_month(silver_bars(landed, exchange_tz)), KEYS, MONTH, staging)
+
+
 class Lakehouse:
-    """Tables derived from one bronze frame and one sector mapping."""
+    """Tables derived from one bronze frame and one sector mapping.
+
+    Silver and gold tables with more than ``partition_rows`` bars are laid out by
+    month, so a screen of one day reads one month. Below that, months would only
+    make small files.
+    """
 
     def __init__(
         self, spark: SparkSession, bronze: DataFrame, sectors: DataFrame, root: str | None = None,
-        partitions: tuple[str, ...] = (), max_series_rows: int = MAX_SERIES_ROWS,
+        partition_rows: int = PARTITION_ROWS, max_series_rows: int = MAX_SERIES_ROWS,
     ):
         self.spark, self._bronze, self._sectors = spark, bronze, sectors
         self.root = root or shared_folder(spark)
-        self.partitions, self.max_series_rows = partitions, max_series_rows
-        self._written: dict[str, DataFrame] = {}
-        self._block_rows: int | None = None
-        self._measured = False
-
-    def written(self, name: str, plan: Callable[[], DataFrame], partitions: tuple[str, ...] | None = None) -> DataFrame:
-        """The table ``name``, written on first use."""
-        if name not in self._written:
-            path, rows = f"{self.root}/{name}", plan()
-            write_table(rows, path, self.partitions if partitions is None else partitions)
+        self.partition_rows, self.max_series_rows = partition_rows, max_series_rows
+        self._tables: dict[str, DataFrame] = {}
+        self._longest: int | None = None
+        self.rows: dict[str, int] = {}
+
+    def written(self, name: str, plan: Callable[[], DataFrame], by_month: bool = False) -> DataFrame:
+        """The table ``name``, written on first use; its rows are counted on the way."""
+        if name not in self._tables:
+            path, count = f"{self.root}/{name}", Observation()
+            rows = with_month(plan()) if by_month else plan()
+            write_table(rows.observe(count, F.count(F.lit(1)).alias("n")), path, (MONTH,) if by_month else ())
+            self.rows[name] = count.get["n"]
             # The schema is known, so reading back needs no look at the files.
-            self._written[name] = self.spark.read.schema(rows.schema).parquet(path)
-        return self._written[name]
+            self._tables[name] = self.spark.read.schema(rows.schema).parquet(path)
+        return self._tables[name]
 
     @property
     def bronze(self) -> DataFrame:
-        return self.written("bronze.stock_prices_raw", lambda: self._bronze)
+        return self.written(BRONZE, lambda: self._bronze)
 
     @property
     def sectors(self) -> DataFrame:
-        return self.written("gold.ticker_sector_mapping", lambda: self._sectors, ())
+        return self.written(SECTORS, lambda: self._sectors)
 
     @property
     def silver(self) -> DataFrame:
-        return self.written("silver.stock_prices_clean", lambda: silver_bars(self.bronze))
+        return self.written(SILVER, lambda: silver_bars(self.bronze), self._many(BRONZE, lambda: self.bronze))
 
     @property
     def quarantine(self) -> DataFrame:
-        return self.written("silver.stock_prices_quarantine", lambda: quarantined_bars(self.bronze), ())
+        return self.written(QUARANTINE, lambda: quarantined_bars(self.bronze))
+
+    def _many(self, name: str, build: Callable[[], DataFrame]) -> bool:
+        build()
+        return self.rows[name] > self.partition_rows
 
     @property
     def block_rows(self) -> int | None:
         """Block size for rolling windows, when some series is too long for a task."""
-        if not self._measured:
-            if longest_series(self.silver, gold.KEY) > self.max_series_rows:
-                self._block_rows = self.max_series_rows
-            self._measured = True
-        return self._block_rows
+        if self._longest is None:
+            # No series is longer than the table, whose rows are known.
+            silver = self.silver
+            short = self.rows[SILVER] <= self.max_series_rows
+            self._longest = self.rows[SILVER] if short else longest_series(silver, gold.KEY)
+        return self.max_series_rows if self._longest > self.max_series_rows else None
 
     def plan(self, name: str) -> DataFrame:
         """The plan of a gold table over the written tables it derives from."""
@@ -110,4 +148,7 @@ class Lakehouse:
         return plans[name]()
 
     def gold(self, name: str) -> DataFrame:
-        return self.written(f"gold.{name}", lambda: self.plan(name))
+        per_stock = name.startswith("stock_")
+        return self.written(
+            f"gold.{name}", lambda: self.plan(name), per_stock and self._many(SILVER, lambda: self.silver)
+        )

@@ -15,13 +15,24 @@ from pyspark.sql import functions as F
 from tickframe.functions.windows import top_per_group
 
 LATEST, EACH_DAY = "latest", "each_day"
+
+# Partition column of tables laid out by month of their date.
+MONTH = "month"
 KEY = "ticker_standard"
 
 
 def latest_slice(df: DataFrame, date_col: str = "date") -> DataFrame:
-    """Rows of the newest day; the maximum is a scalar subquery of the same job."""
-    newest = df.agg(F.max(date_col)).scalar()
-    return df.where(F.col(date_col) == newest)
+    """Rows of the newest day; the maximum is a scalar subquery of the same job.
+
+    In a table laid out by month, only the newest month is read.
+    """
+    if MONTH in df.columns:
+        df = df.where(F.col(MONTH) == df.agg(F.max(MONTH)).scalar())
+    return df.where(F.col(date_col) == df.agg(F.max(date_col)).scalar())
+
+
+def data_columns(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c != MONTH]
 
 
 def on_day(df: DataFrame, when: str | date, date_col: str = "date") -> DataFrame:
@@ -29,6 +40,8 @@ def on_day(df: DataFrame, when: str | date, date_col: str = "date") -> DataFrame
         return latest_slice(df, date_col)
     if when == EACH_DAY:
         return df
+    if MONTH in df.columns:
+        df = df.where(F.col(MONTH) == F.trunc(F.lit(when), "MM"))
     return df.where(F.col(date_col) == F.lit(when))
 
 
@@ -78,7 +91,7 @@ def consistent_uptrend(multitime: DataFrame, when=LATEST) -> DataFrame:
 
 
 def top_performers_30d(multitime: DataFrame, when=LATEST, k: int = 5) -> DataFrame:
-    return screen(multitime, when, None, _best("return_30d_pct"), k, multitime.columns)
+    return screen(multitime, when, None, _best("return_30d_pct"), k, data_columns(multitime))
 
 
 def sector_leaders(strength: DataFrame, when=LATEST, k: int = 10) -> DataFrame:
@@ -92,7 +105,7 @@ def sector_leaders(strength: DataFrame, when=LATEST, k: int = 10) -> DataFrame:
 
 def leaders_by_outperformance(strength: DataFrame, when=LATEST, k: int = 5) -> DataFrame:
     leads = F.col("relative_strength_label") == "Sector Leader"
-    return screen(strength, when, leads, _best("outperformance_vs_sector_pct"), k, strength.columns)
+    return screen(strength, when, leads, _best("outperformance_vs_sector_pct"), k, data_columns(strength))
 
 
 def top_per_sector(strength: DataFrame, when=LATEST, k: int = 3) -> DataFrame:
@@ -117,7 +130,7 @@ def breakout_candidates(technical: DataFrame, when=LATEST, k: int = 10) -> DataF
 
 def at_year_high(technical: DataFrame, when=LATEST, k: int = 5) -> DataFrame:
     hit = F.col("at_52w_high_flag") & F.col("volume_breakout_flag")
-    return screen(technical, when, hit, _best("volume_ratio"), k, technical.columns)
+    return screen(technical, when, hit, _best("volume_ratio"), k, data_columns(technical))
 
 
 def near_year_high(technical: DataFrame, when=LATEST) -> DataFrame:
@@ -143,7 +156,7 @@ def portfolio_dashboard(daily: DataFrame, when=LATEST) -> DataFrame:
 
 def recent_for_ticker(daily: DataFrame, ticker: str, k: int = 5) -> DataFrame:
     """Newest rows of one ticker in a gold table."""
-    return daily.where(F.col("ticker_standard") == ticker).orderBy(F.desc("date")).limit(k)
+    return daily.where(F.col("ticker_standard") == ticker).orderBy(F.desc("date")).limit(k).select(*data_columns(daily))
 
 
 def sector_performance(sector_daily: DataFrame, when=LATEST) -> DataFrame:
