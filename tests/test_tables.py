@@ -190,7 +190,8 @@ def test_month_layout_and_split_series_change_no_result(spark, history, tmp_path
     assert plain.block_rows is None and scaled.block_rows == 50
     for name in ("stock_daily_metrics", "stock_technical_levels", "stock_relative_strength", "market_overview_daily"):
         assert differences(scaled.gold(name).drop("month").toPandas(), plain.gold(name).toPandas()) == []
-    assert os.path.isdir(f"{scaled.root}/gold.stock_daily_metrics/month=2020-03-01")
+        assert differences(scaled.plan(name).toPandas(), plain.gold(name).toPandas()) == []
+    assert os.path.isdir(f"{scaled.root}/gold.stock_features/month=2020-03-01")
     for screen, table in ((screens.bullish_alignment, "stock_daily_metrics"), (screens.at_year_high, "stock_technical_levels")):
         for when in (screens.LATEST, date(2020, 6, 3), screens.EACH_DAY):
             a, b = screen(scaled.gold(table), when).toPandas(), screen(plain.gold(table), when).toPandas()

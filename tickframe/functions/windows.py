@@ -43,6 +43,14 @@ class Series:
     def min(self, c, n: int) -> Column:
         return F.min(col(c)).over(self.frame(n))
 
+    def widen(self, c: str, have: int, n: int, pick: Callable[..., Column]) -> Column:
+        """Extreme of the last ``n`` rows from that of the last ``have`` rows.
+
+        Overlapping frames do not change a maximum or minimum, so a few shifted
+        copies of the short one cover the long frame without scanning it.
+        """
+        return pick(c, *[self.lag(c, k) for k in (*range(have, n - have, have), n - have)])
+
     def stddev(self, c, n: int) -> Column:
         return F.stddev(col(c)).over(self.frame(n))
 

@@ -32,6 +32,17 @@ DAILY_COLUMNS = [
     "ma_20", "ma_50", "ma_200", "price_vs_ma20_pct", "price_vs_ma50_pct", "price_vs_ma200_pct",
     "trend_signal", "ma_20_volume", "volume_vs_avg_pct",
 ]
+MULTITIME_COLUMNS = [
+    KEY, "sector", DATE, "close", "return_7d_pct", "return_30d_pct", "return_90d_pct", "return_180d_pct",
+    "volatility_7d", "volatility_30d", "volatility_90d", "consistency_score_30d", "max_drawdown_30d_pct",
+]
+TECHNICAL_COLUMNS = [
+    KEY, "sector", DATE, "close", "high_52w", "low_52w", "distance_from_52w_high_pct",
+    "distance_from_52w_low_pct", "at_52w_high_flag", "at_52w_low_flag", "high_30d", "low_30d",
+    "breakout_30d_high_flag", "breakdown_30d_low_flag", "volume", "avg_volume_20d", "volume_ratio",
+    "volume_breakout_flag", "bb_upper", "bb_lower", "bb_position", "strong_bullish_signal",
+    "strong_bearish_signal",
+]
 
 
 def _flag(condition: Column) -> Column:
@@ -39,29 +50,88 @@ def _flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def stock_daily_metrics(silver: DataFrame, sectors: DataFrame, block_rows: int | None = None) -> DataFrame:
-    """Moving averages, distance from them, trend and relative volume."""
+def stock_features(silver: DataFrame, sectors: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """Every rolling measure of every stock, in one shuffle and one sort.
+
+    The three per-stock tables are column choices of this one. Written once, it
+    serves all three; planned for one of them, Catalyst drops the windows that
+    table does not use.
+    """
     bars = silver.select(KEY, DATE, "open", "high", "low", "close", "volume", "daily_return_pct", "price_range")
+    close, ret = F.col("close"), F.col("daily_return_pct")
 
     def build(rows: DataFrame, s: Series) -> DataFrame:
-        totals = {**s.totals("close", "close"), **s.totals("volume", "volume", "decimal(18,0)")}
-        averages = {f"ma_{n}": s.mean("close", n, 2) for n in MA_ROWS}
-        return (
-            rows.withColumns(totals)
-            .withColumns({**averages, "ma_20_volume": s.mean("volume", BAND_ROWS, 0).cast("long")})
-            .withColumns({f"price_vs_ma{n}_pct": pct_over("close", f"ma_{n}") for n in MA_ROWS})
+        return rows.withColumns(
+            {
+                **s.totals("close", "close"),
+                **s.totals("volume", "volume", "decimal(18,0)"),
+                "gains": F.sum(F.when(ret > 0, 1).otherwise(0)).over(s.running()),
+                "high_30d": s.max("high", MONTH_ROWS),
+                "low_30d": s.min("low", MONTH_ROWS),
+                "stddev_20": F.round(s.stddev("close", BAND_ROWS), 2),
+                **{f"volatility_{n}d": F.round(s.stddev("daily_return_pct", n), 2) for n in VOLATILITY_ROWS},
+                **{f"return_{n}d_pct": pct_over("close", s.lag("close", n)) for n in RETURN_ROWS},
+            }
+        ).withColumns(
+            {
+                **{f"ma_{n}": s.mean("close", n, 2) for n in MA_ROWS},
+                "ma_20_volume": s.mean("volume", BAND_ROWS, 0).cast("long"),
+                "high_52w": s.widen("high_30d", MONTH_ROWS, YEAR_ROWS, F.greatest),
+                "low_52w": s.widen("low_30d", MONTH_ROWS, YEAR_ROWS, F.least),
+                "consistency_score_30d": F.round(s.rolled("gains", MONTH_ROWS) / 30.0 * 100, 1),
+            }
         )
 
+    rolled = over_series(bars, KEY, DATE, YEAR_ROWS - 1, build, block_rows)
     short, middle, long = (F.col(f"ma_{n}") for n in MA_ROWS)
-    rolled = over_series(bars, KEY, DATE, max(MA_ROWS) - 1, build, block_rows).withColumns(
+    measured = rolled.withColumns(
         {
+            **{f"price_vs_ma{n}_pct": pct_over("close", f"ma_{n}") for n in MA_ROWS},
             "trend_signal": F.when((short > middle) & (middle > long), "Bullish")
             .when((short < middle) & (middle < long), "Bearish")
             .otherwise("Neutral"),
             "volume_vs_avg_pct": pct_over("volume", "ma_20_volume"),
+            "max_drawdown_30d_pct": pct_over("close", "high_30d"),
+            "distance_from_52w_high_pct": pct_over("close", "high_52w"),
+            "distance_from_52w_low_pct": pct_over("close", "low_52w"),
+            "at_52w_high_flag": _flag(close >= F.col("high_52w") * NEAR_HIGH),
+            "at_52w_low_flag": _flag(close <= F.col("low_52w") * NEAR_LOW),
+            "breakout_30d_high_flag": _flag(F.col("high") >= F.col("high_30d")),
+            "breakdown_30d_low_flag": _flag(F.col("low") <= F.col("low_30d")),
+            "avg_volume_20d": F.col("ma_20_volume"),
+            "volume_ratio": F.round(ratio("volume", "ma_20_volume"), 2),
+            "bb_upper": F.round(F.col("ma_20") + 2 * F.col("stddev_20"), 2),
+            "bb_lower": F.round(F.col("ma_20") - 2 * F.col("stddev_20"), 2),
+        }
+    )
+    breakout = _flag(F.col("volume_ratio") >= VOLUME_BREAKOUT)
+    signals = measured.withColumns(
+        {
+            "volume_breakout_flag": breakout,
+            "bb_position": F.when(close >= F.col("bb_upper"), "Above Upper Band")
+            .when(close <= F.col("bb_lower"), "Below Lower Band")
+            .otherwise("Within Bands"),
+            "strong_bullish_signal": _flag((ret > STRONG_MOVE_PCT) & breakout),
+            "strong_bearish_signal": _flag((ret < -STRONG_MOVE_PCT) & breakout),
         }
     )
-    return with_sector(rolled, sectors).select(*DAILY_COLUMNS)
+    columns = dict.fromkeys(DAILY_COLUMNS + MULTITIME_COLUMNS + TECHNICAL_COLUMNS)
+    return with_sector(signals, sectors).select(*columns)
+
+
+def stock_daily_metrics(silver: DataFrame, sectors: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """Moving averages, distance from them, trend and relative volume."""
+    return stock_features(silver, sectors, block_rows).select(*DAILY_COLUMNS)
+
+
+def stock_multitime_performance(silver: DataFrame, sectors: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """Returns, volatility, consistency and draw-down over several horizons."""
+    return stock_features(silver, sectors, block_rows).select(*MULTITIME_COLUMNS)
+
+
+def stock_technical_levels(silver: DataFrame, sectors: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """Extremes, breakouts, relative volume and Bollinger bands."""
+    return stock_features(silver, sectors, block_rows).select(*TECHNICAL_COLUMNS)
 
 
 def sector_daily_metrics(daily: DataFrame) -> DataFrame:
@@ -155,40 +225,6 @@ def market_overview_daily(daily: DataFrame) -> DataFrame:
     )
 
 
-def stock_multitime_performance(silver: DataFrame, sectors: DataFrame, block_rows: int | None = None) -> DataFrame:
-    """Returns, volatility, consistency and draw-down over several horizons."""
-    bars = silver.select(KEY, DATE, "high", "close", "daily_return_pct")
-
-    def build(rows: DataFrame, s: Series) -> DataFrame:
-        gain = F.when(F.col("daily_return_pct") > 0, 1).otherwise(0)
-        return (
-            rows.withColumns(
-                {
-                    **{f"close_{n}d_ago": s.lag("close", n) for n in RETURN_ROWS},
-                    **{f"volatility_{n}d": F.round(s.stddev("daily_return_pct", n), 2) for n in VOLATILITY_ROWS},
-                    "_gains": F.sum(gain).over(s.running()),
-                    "high_30d": s.max("high", MONTH_ROWS),
-                }
-            )
-            .withColumn("positive_days_30d", s.rolled("_gains", MONTH_ROWS))
-            .withColumns(
-                {
-                    **{f"return_{n}d_pct": pct_over("close", f"close_{n}d_ago") for n in RETURN_ROWS},
-                    "consistency_score_30d": F.round(F.col("positive_days_30d") / 30.0 * 100, 1).cast("double"),
-                    "max_drawdown_30d_pct": pct_over("close", "high_30d"),
-                }
-            )
-        )
-
-    rolled = over_series(bars, KEY, DATE, max(RETURN_ROWS), build, block_rows)
-    return with_sector(rolled, sectors).select(
-        KEY, "sector", DATE, "close",
-        *[f"return_{n}d_pct" for n in RETURN_ROWS],
-        *[f"volatility_{n}d" for n in VOLATILITY_ROWS],
-        "consistency_score_30d", "max_drawdown_30d_pct",
-    )
-
-
 def stock_relative_strength(
     silver: DataFrame, sectors: DataFrame, slice_units: int = 100, prefix: int = 2
 ) -> DataFrame:
@@ -267,64 +303,6 @@ def stock_relative_strength(
     )
 
 
-def stock_technical_levels(silver: DataFrame, sectors: DataFrame, block_rows: int | None = None) -> DataFrame:
-    """Extremes, breakouts, relative volume and Bollinger bands."""
-    bars = silver.select(KEY, DATE, "high", "low", "close", "volume", "daily_return_pct")
-
-    def build(rows: DataFrame, s: Series) -> DataFrame:
-        return rows.withColumns(
-            {
-                **s.totals("close", "close"),
-                **s.totals("volume", "volume", "decimal(18,0)"),
-                "high_52w": s.max("high", YEAR_ROWS),
-                "low_52w": s.min("low", YEAR_ROWS),
-                "high_30d": s.max("high", MONTH_ROWS),
-                "low_30d": s.min("low", MONTH_ROWS),
-                "stddev_20": F.round(s.stddev("close", BAND_ROWS), 2),
-            }
-        ).withColumns(
-            {
-                "avg_volume_20d": s.mean("volume", BAND_ROWS, 0).cast("long"),
-                "ma_20": s.mean("close", BAND_ROWS, 2),
-            }
-        )
-
-    close, ret, breakout = F.col("close"), F.col("daily_return_pct"), F.col("volume_breakout_flag")
-    rolled = over_series(bars, KEY, DATE, YEAR_ROWS - 1, build, block_rows)
-    levels = rolled.withColumns(
-        {
-            "distance_from_52w_high_pct": pct_over("close", "high_52w"),
-            "distance_from_52w_low_pct": pct_over("close", "low_52w"),
-            "at_52w_high_flag": _flag(close >= F.col("high_52w") * NEAR_HIGH),
-            "at_52w_low_flag": _flag(close <= F.col("low_52w") * NEAR_LOW),
-            "breakout_30d_high_flag": _flag(F.col("high") >= F.col("high_30d")),
-            "breakdown_30d_low_flag": _flag(F.col("low") <= F.col("low_30d")),
-            "volume_ratio": F.round(ratio("volume", "avg_volume_20d"), 2),
-            "bb_upper": F.round(F.col("ma_20") + 2 * F.col("stddev_20"), 2),
-            "bb_lower": F.round(F.col("ma_20") - 2 * F.col("stddev_20"), 2),
-        }
-    ).withColumns(
-        {
-            "volume_breakout_flag": _flag(F.col("volume_ratio") >= VOLUME_BREAKOUT),
-            "bb_position": F.when(close >= F.col("bb_upper"), "Above Upper Band")
-            .when(close <= F.col("bb_lower"), "Below Lower Band")
-            .otherwise("Within Bands"),
-        }
-    ).withColumns(
-        {
-            "strong_bullish_signal": _flag((ret > STRONG_MOVE_PCT) & breakout),
-            "strong_bearish_signal": _flag((ret < -STRONG_MOVE_PCT) & breakout),
-        }
-    )
-    return with_sector(levels, sectors).select(
-        KEY, "sector", DATE, "close", "high_52w", "low_52w", "distance_from_52w_high_pct",
-        "distance_from_52w_low_pct", "at_52w_high_flag", "at_52w_low_flag", "high_30d", "low_30d",
-        "breakout_30d_high_flag", "breakdown_30d_low_flag", "volume", "avg_volume_20d", "volume_ratio",
-        "volume_breakout_flag", "bb_upper", "bb_lower", "bb_position", "strong_bullish_signal",
-        "strong_bearish_signal",
-    )
-
-
 def sector_daily_reduced(sector_daily: DataFrame) -> DataFrame:
     """The three measures of the short sector table."""
     return sector_daily.select("sector", DATE, "stock_count", "avg_daily_return_pct", "total_volume")

@@ -29,6 +29,19 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 BRONZE, SECTORS = "bronze.stock_prices_raw", "gold.ticker_sector_mapping"
 SILVER, QUARANTINE = "silver.stock_prices_clean", "silver.stock_prices_quarantine"
 
+FEATURES = "gold.stock_features"
+
+PER_STOCK = {
+    "stock_daily_metrics": gold.DAILY_COLUMNS,
+    "stock_multitime_performance": gold.MULTITIME_COLUMNS,
+    "stock_technical_levels": gold.TECHNICAL_COLUMNS,
+}
+FROM_DAILY = {
+    "sector_daily_metrics": gold.sector_daily_metrics,
+    "top_movers_daily": gold.top_movers_daily,
+    "market_overview_daily": gold.market_overview_daily,
+}
+
 # Rows from which a table is worth a directory per month.
 PARTITION_ROWS = 50_000_000
 
@@ -134,21 +147,21 @@ class Lakehouse:
             self._longest = self.rows[SILVER] if short else longest_series(silver, gold.KEY)
         return self.max_series_rows if self._longest > self.max_series_rows else None
 
+    def _features(self) -> DataFrame:
+        return gold.stock_features(self.silver, self.sectors, self.block_rows)
+
     def plan(self, name: str) -> DataFrame:
         """The plan of a gold table over the written tables it derives from."""
-        plans: dict[str, Callable[[], DataFrame]] = {
-            "stock_daily_metrics": lambda: gold.stock_daily_metrics(self.silver, self.sectors, self.block_rows),
-            "stock_multitime_performance": lambda: gold.stock_multitime_performance(self.silver, self.sectors, self.block_rows),
-            "stock_technical_levels": lambda: gold.stock_technical_levels(self.silver, self.sectors, self.block_rows),
-            "stock_relative_strength": lambda: gold.stock_relative_strength(self.silver, self.sectors),
-            "sector_daily_metrics": lambda: gold.sector_daily_metrics(self.gold("stock_daily_metrics")),
-            "top_movers_daily": lambda: gold.top_movers_daily(self.gold("stock_daily_metrics")),
-            "market_overview_daily": lambda: gold.market_overview_daily(self.gold("stock_daily_metrics")),
-        }
-        return plans[name]()
+        if name in PER_STOCK:
+            return self._features().select(*PER_STOCK[name])
+        if name == "stock_relative_strength":
+            return gold.stock_relative_strength(self.silver, self.sectors)
+        return FROM_DAILY[name](self.gold("stock_daily_metrics"))
 
     def gold(self, name: str) -> DataFrame:
-        per_stock = name.startswith("stock_")
-        return self.written(
-            f"gold.{name}", lambda: self.plan(name), per_stock and self._many(SILVER, lambda: self.silver)
-        )
+        """A written gold table; the per-stock tables share one."""
+        if name in PER_STOCK:
+            table = self.written(FEATURES, self._features, self._many(SILVER, lambda: self.silver))
+            return table.select(*PER_STOCK[name], *[c for c in table.columns if c == MONTH])
+        by_month = name == "stock_relative_strength" and self._many(SILVER, lambda: self.silver)
+        return self.written(f"gold.{name}", lambda: self.plan(name), by_month)
