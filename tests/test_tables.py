@@ -7,6 +7,7 @@ from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tests.compare import differences
 from tests.helpers import bar, bars, sectors
@@ -58,7 +59,10 @@ def test_refresh_silver_in_two_steps_equals_one(spark, tmp_path):
     late = bars(spark, bar(day=40, close=9.5, hour=30, rid="c"), bar(day=70, rid="d")).withColumn(
         "ingestion_date", F.lit(date(2020, 6, 1))
     )
-    refresh_silver(spark, old, path, str(tmp_path / "s1"))
+    refresh_silver(spark, old, path, str(tmp_path / "s1"), quarantine=str(tmp_path / "bad"))
+    bad = bars(spark, bar(day=41, low=-1.0, rid="x"))
+    refresh_silver(spark, bad, path, str(tmp_path / "s0"), quarantine=str(tmp_path / "bad"), at=datetime(2020, 3, 1))
+    assert [r.record_id for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["x"]
     refresh_silver(spark, old.unionByName(late), path, str(tmp_path / "s2"), since=date(2020, 6, 1))
     stepwise = spark.read.parquet(path).drop("month")
     assert differences(stepwise.toPandas(), silver_bars(old.unionByName(late)).toPandas()) == []
@@ -94,6 +98,19 @@ def test_stream_picks_up_each_drop_once(spark, tmp_path):
     assert differences(sources.read_json_bars(spark, landing).toPandas(), expected.toPandas()) == []
 
 
+def test_stream_schema_can_grow(spark, tmp_path):
+    landing, table, checkpoint = (str(tmp_path / n) for n in ("landing", "bronze", "checkpoint"))
+    old = bars(spark, bar(day=0)).select(*BAR_COLUMNS)
+    export_daily_json(old, f"{landing}/batch1", "date")
+    ingest_available(spark, landing, table, checkpoint)
+    wide = T.StructType([*schemas.BAR_SCHEMA.fields, T.StructField("dividend", T.DoubleType())])
+    wider = bars(spark, bar(day=1)).select(*BAR_COLUMNS).withColumn("dividend", F.lit(0.5))
+    export_daily_json(wider, f"{landing}/batch2", "date")
+    ingest_available(spark, landing, table, checkpoint, schema=wide)
+    got = spark.read.option("mergeSchema", "true").parquet(table).orderBy("date").collect()
+    assert [r.dividend for r in got] == [None, 0.5]
+
+
 def test_normalise_keeps_known_columns(spark):
     at = datetime(2020, 1, 2, 3)
     vendor = spark.createDataFrame(
@@ -212,4 +229,11 @@ def test_latest_slice_reads_one_month(spark, history, tmp_path):
 def test_quarantine_table_keeps_the_rest(spark, tmp_path):
     raw = bars(spark, bar(), bar(day=1, low=-1.0))
     lake = Lakehouse(spark, raw, sectors(spark, {}), root=str(tmp_path / "q"))
-    assert lake.silver.count() + lake.quarantine.count() == 2
+    lake.build()
+    assert lake.silver.count() == lake.quarantine.count() == 1
+    audit = {r.table_name: r for r in lake.metrics("run").collect()}
+    assert audit["silver.stock_prices_clean"].rows_read == 2
+    assert audit["silver.stock_prices_quarantine"].rows_written == 1
+    assert audit["gold.market_overview_daily"].rows_read == audit["gold.market_overview_daily"].rows_written == 1
+    summary = monitor.run_summary(lake.metrics("run"), run_name="n", run_type="FULL_LOAD", triggered_by="t").first()
+    assert (summary.status, summary.bronze_rows_in, summary.silver_rows_in) == ("SUCCESS", 2, 2)

@@ -22,6 +22,7 @@ from tickframe.operators.quality import RuleSet, bar_rules
 from tickframe.operators.upsert import upsert_table
 from tickframe.plans import gold
 from tickframe.plans.screens import MONTH
+from tickframe.schemas import LAYER_METRICS
 from tickframe.sinks import write_table
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -42,6 +43,12 @@ FROM_DAILY = {
     "market_overview_daily": gold.market_overview_daily,
 }
 
+# The table each written table is read from, for its audit row.
+READS = {
+    SILVER: BRONZE, QUARANTINE: BRONZE, FEATURES: SILVER, "gold.stock_relative_strength": SILVER,
+    **{f"gold.{name}": FEATURES for name in FROM_DAILY},
+}
+
 # Rows from which a table is worth a directory per month.
 PARTITION_ROWS = 50_000_000
 
@@ -75,16 +82,19 @@ def with_month(df: DataFrame) -> DataFrame:
 
 
 def refresh_silver(
-    spark: SparkSession, bronze: DataFrame, path: str, staging: str,
-    since: date | None = None, exchange_tz: str | None = None,
+    spark: SparkSession, bronze: DataFrame, path: str, staging: str, quarantine: str | None = None,
+    since: date | None = None, at: datetime | None = None, exchange_tz: str | None = None,
 ) -> None:
     """Merge the bars landed on or after ``since`` into the silver table at ``path``.
 
     The table is kept by month of the trading day, which follows from the merge
     key, so a daily refresh rewrites the months it has bars for and no others.
+    Bars that break a rule are appended to the table at ``quarantine``.
     """
     landed = bronze if since is None else bronze.where(F.col("ingestion_date") >= F.lit(since))
     upsert_table(spark, path, with_month(silver_bars(landed, exchange_tz)), KEYS, MONTH, staging)
+    if quarantine is not None:
+        write_table(quarantined_bars(landed, at, exchange_tz), quarantine, mode="append")
 
 
 class Lakehouse:
@@ -105,14 +115,15 @@ class Lakehouse:
         self._tables: dict[str, DataFrame] = {}
         self._longest: int | None = None
         self.rows: dict[str, int] = {}
+        self._times: dict[str, tuple[datetime, datetime]] = {}
 
     def written(self, name: str, plan: Callable[[], DataFrame], by_month: bool = False) -> DataFrame:
         """The table ``name``, written on first use; its rows are counted on the way."""
         if name not in self._tables:
-            path, count = f"{self.root}/{name}", Observation()
             rows = with_month(plan()) if by_month else plan()
+            path, count, start = f"{self.root}/{name}", Observation(), datetime.now()
             write_table(rows.observe(count, F.count(F.lit(1)).alias("n")), path, (MONTH,) if by_month else ())
-            self.rows[name] = count.get["n"]
+            self.rows[name], self._times[name] = count.get["n"], (start, datetime.now())
             # The schema is known, so reading back needs no look at the files.
             self._tables[name] = self.spark.read.schema(rows.schema).parquet(path)
         return self._tables[name]
@@ -165,3 +176,25 @@ class Lakehouse:
             return table.select(*PER_STOCK[name], *[c for c in table.columns if c == MONTH])
         by_month = name == "stock_relative_strength" and self._many(SILVER, lambda: self.silver)
         return self.written(f"gold.{name}", lambda: self.plan(name), by_month)
+
+    def build(self, layer: str = "all") -> None:
+        """Write the tables of one layer, with those they derive from, or of all."""
+        if layer in ("all", "bronze"):
+            self.bronze
+        if layer in ("all", "silver"):
+            self.silver, self.quarantine
+        if layer in ("all", "gold"):
+            for name in (*PER_STOCK, *FROM_DAILY, "stock_relative_strength"):
+                self.gold(name)
+
+    def metrics(self, run_id: str) -> DataFrame:
+        """Audit rows of the tables written so far, from counts taken while writing."""
+        rows = []
+        for name, (start, end) in self._times.items():
+            layer, read = name.split(".")[0], self.rows.get(READS.get(name, ""), 0)
+            seconds = (end - start).total_seconds()
+            rows.append((
+                f"{run_id}:{name}", run_id, layer, name, "INSERT", read, self.rows[name], 0, 0, 0, 0,
+                start, end, seconds, "SUCCESS", None, start.date(), end,
+            ))
+        return self.spark.createDataFrame(rows, LAYER_METRICS)

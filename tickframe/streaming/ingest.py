@@ -7,13 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from tickframe.schemas import BAR_SCHEMA
 
 
-def read_landing(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Stream of landed bars. A drop is a directory, so look-up is recursive."""
-    reader = spark.readStream.schema(BAR_SCHEMA).option("recursiveFileLookup", "true")
+def read_landing(
+    spark: SparkSession, path: str, max_files: int | None = None, schema: StructType = BAR_SCHEMA
+) -> DataFrame:
+    """Stream of landed bars. A drop is a directory, so look-up is recursive.
+
+    A feed that gains columns is read with a wider ``schema``: older drops give
+    NULL there, and the same checkpoint and table go on.
+    """
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.json(path).withColumn("processing_timestamp", F.current_timestamp())
@@ -36,7 +43,7 @@ def write_bronze(
 
 def ingest_available(
     spark: SparkSession, landing: str, path: str, checkpoint: str,
-    partitions: Sequence[str] = ("ingestion_date",), max_files: int | None = None,
+    partitions: Sequence[str] = ("ingestion_date",), max_files: int | None = None, schema: StructType = BAR_SCHEMA,
 ) -> None:
     """Ingest the drops not seen yet, and wait."""
-    write_bronze(read_landing(spark, landing, max_files), path, checkpoint, partitions).awaitTermination()
+    write_bronze(read_landing(spark, landing, max_files, schema), path, checkpoint, partitions).awaitTermination()
