@@ -51,6 +51,8 @@ def test_upsert_table_leaves_other_partitions_alone(spark, tmp_path):
     got = sorted((r.k, r.month, r.v) for r in spark.read.parquet(path).collect())
     assert got == [(1, "m1", "a"), (2, "m2", "B"), (3, "m3", "c")]
     assert {f for f in os.listdir(f"{path}/month=m1") if f.endswith(".parquet")} == before
+    upsert_table(spark, path, spark.createDataFrame([], schema), ["k"], "month", str(tmp_path / "s3"))
+    assert spark.read.parquet(path).count() == 3
 
 
 def test_refresh_silver_in_two_steps_equals_one(spark, tmp_path):

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tickframe.sinks import write_table
 
@@ -41,26 +42,38 @@ def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def upsert_table(
-    spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], partition: str, staging: str
+    spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], partition: str, staging: str,
+    check: bool = True,
 ) -> None:
     """Create a Parquet table, or upsert into it rewriting only touched partitions.
 
     ``partition`` must follow from the keys (say, the month of the date), so that
-    a matching row can only live in a partition the source names. The merged
-    partitions are written to ``staging`` first: the swap then reads nothing of
-    the table it replaces and can be repeated if it is interrupted.
+    a matching row can only live in a partition the source names. ``staging`` is a
+    fresh folder. The source is written there first, so its plan runs once, and
+    so are the merged partitions: the swap then reads nothing of the table it
+    replaces and can be repeated if it is interrupted. ``check`` may be dropped
+    for a source that is unique by construction.
     """
+
+    def staged(df: DataFrame, name: str) -> DataFrame:
+        write_table(df, f"{staging}/{name}", (partition,))
+        return spark.read.schema(df.schema).parquet(f"{staging}/{name}")
+
     target = read_if_exists(spark, path)
     if target is None:
-        require_unique(source, keys)
+        if check:
+            require_unique(source, keys)
         write_table(source, path, (partition,))
         return
-    touched = source.select(partition).distinct()
-    merged = upsert(target.join(touched, partition, "left_semi"), source, keys)
-    write_table(merged, staging, (partition,))
+    source = staged(source, "source")
+    # As literals, the partition values prune the scan of the target. There are at
+    # most as many as the table has directories.
+    touched = [row[0] for row in source.select(partition).distinct().collect()]
+    if not touched:
+        return
+    merged = upsert(target.where(F.col(partition).isin(touched)), source, keys, check)
     (
-        spark.read.schema(merged.schema)
-        .parquet(staging)
+        staged(merged, "merged")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)

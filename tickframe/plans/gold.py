@@ -226,7 +226,7 @@ def market_overview_daily(daily: DataFrame) -> DataFrame:
 
 
 def stock_relative_strength(
-    silver: DataFrame, sectors: DataFrame, slice_units: int = 100, prefix: int = 2
+    silver: DataFrame, sectors: DataFrame, slice_units: int = 5_000, prefix: int = 2
 ) -> DataFrame:
     """Each stock against its sector and the market, and its rank in the sector.
 

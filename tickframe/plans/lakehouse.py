@@ -92,7 +92,7 @@ def refresh_silver(
     Bars that break a rule are appended to the table at ``quarantine``.
     """
     landed = bronze if since is None else bronze.where(F.col("ingestion_date") >= F.lit(since))
-    upsert_table(spark, path, with_month(silver_bars(landed, exchange_tz)), KEYS, MONTH, staging)
+    upsert_table(spark, path, with_month(silver_bars(landed, exchange_tz)), KEYS, MONTH, staging, check=False)
     if quarantine is not None:
         write_table(quarantined_bars(landed, at, exchange_tz), quarantine, mode="append")
 
