@@ -13,7 +13,6 @@ from tests.compare import differences
 from tests.helpers import bar, bars, sectors
 from tickframe import schemas
 from tickframe.operators import dimensions
-from tickframe.operators.clean import KEYS
 from tickframe.operators.upsert import DuplicateSourceKeys, upsert, upsert_table
 from tickframe.plans import monitor, screens
 from tickframe.plans.lakehouse import Lakehouse, refresh_silver, silver_bars

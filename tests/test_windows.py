@@ -79,3 +79,12 @@ def test_one_shuffle_per_series(spark, tmp_path):
         plan = build(df, dim)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1
         assert plan.count("Sort [") == 1
+
+
+def test_means_keep_the_digits_of_adjusted_prices(spark):
+    closes = [101.00499999, 101.00500001, 98.76543210]
+    df = silver(spark, {"A": closes[:2], "B": [closes[0], closes[0]], "C": closes})
+    out = gold.stock_daily_metrics(df, sectors(spark, {"A": "x"}))
+    last = {r.ticker_standard: r.ma_20 for r in out.orderBy("date").collect()}
+    # A averages to exactly 101.005, B stays just below it.
+    assert last == {"A": 101.01, "B": 101.0, "C": 100.26}

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PRICE = "decimal(18,4)"
+# Adjusted prices carry many decimals; returns are rounded to four.
+PRICE, RETURN, COUNT = "decimal(24,8)", "decimal(18,4)", "decimal(18,0)"
 
 
 def col(c: Column | str) -> Column:
@@ -32,9 +33,9 @@ def difference(a, b, digits: int) -> Column:
     return F.round(col(a).cast(PRICE) - col(b).cast(PRICE), digits).cast("double")
 
 
-def mean(c, digits: int | None = None) -> Column:
+def mean(c, digits: int | None = None, dtype: str = PRICE) -> Column:
     """Exact mean of a group, rounded half up when ``digits`` is given."""
-    exact = col(c).cast(PRICE)
+    exact = col(c).cast(dtype)
     if digits is None:
         return ratio(F.sum(exact).cast("double"), F.count(exact).cast("double"))
     return F.round(F.avg(exact), digits).cast("double")
@@ -42,7 +43,7 @@ def mean(c, digits: int | None = None) -> Column:
 
 def mean_count(c) -> Column:
     """Mean of a whole-number column, rounded to a whole number."""
-    return F.round(F.avg(col(c).cast("decimal(18,0)")), 0).cast("long")
+    return F.round(F.avg(col(c).cast(COUNT)), 0).cast("long")
 
 
 def clean_double(c) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.functions.numeric import PRICE, count_where, difference, mean, mean_count, pct_over, ratio
+from tickframe.functions.numeric import COUNT, RETURN, count_where, difference, mean, mean_count, pct_over, ratio
 from tickframe.functions.windows import Series, over_series, top_per_group
 from tickframe.operators.dimensions import with_sector
 
@@ -64,7 +64,7 @@ def stock_features(silver: DataFrame, sectors: DataFrame, block_rows: int | None
         return rows.withColumns(
             {
                 **s.totals("close", "close"),
-                **s.totals("volume", "volume", "decimal(18,0)"),
+                **s.totals("volume", "volume", COUNT),
                 "gains": F.sum(F.when(ret > 0, 1).otherwise(0)).over(s.running()),
                 "high_30d": s.max("high", MONTH_ROWS),
                 "low_30d": s.min("low", MONTH_ROWS),
@@ -240,7 +240,7 @@ def stock_relative_strength(
     the own slice.
     """
     ret = F.col("daily_return_pct")
-    exact = ret.cast(PRICE)
+    exact = ret.cast(RETURN)
     # Best return first; a missing one ranks last.
     units = (-exact * 10_000).cast("long")
     bars = with_sector(silver.select(KEY, DATE, "close", "daily_return_pct"), sectors).withColumns(

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.functions.numeric import count_where, mean, ratio
+from tickframe.functions.numeric import COUNT, count_where, mean, ratio
 from tickframe.functions.windows import top_per_group
 from tickframe.operators.quality import duplicate_check, freshness_check, null_check
 from tickframe.schemas import LAYER_METRICS, PIPELINE_RUNS
@@ -165,7 +165,7 @@ def layer_performance(metrics: DataFrame, as_of: date, days: int = 30) -> DataFr
         .agg(
             F.count(F.lit(1)).alias("execution_count"),
             written.alias("total_rows_written"),
-            mean("rows_written", 0).alias("avg_rows_written"),
+            mean("rows_written", 0, COUNT).alias("avg_rows_written"),
             _seconds("duration_seconds", 2).alias("avg_duration_seconds"),
             F.round(ratio(written, elapsed), 0).alias("avg_throughput_rows_per_sec"),
             count_where(F.col("status") == "SUCCESS").alias("successful_runs"),
@@ -214,8 +214,8 @@ def bottlenecks(metrics: DataFrame, as_of: date, days: int = 30, k: int = 10) ->
             F.count(F.lit(1)).alias("run_count"),
             _seconds("duration_seconds", 2).alias("avg_duration_sec"),
             F.round(longest, 2).alias("max_duration_sec"),
-            mean("rows_written", 0).alias("avg_rows_written"),
-            F.round(ratio(mean("rows_written"), average), 0).alias("avg_throughput"),
+            mean("rows_written", 0, COUNT).alias("avg_rows_written"),
+            F.round(ratio(mean("rows_written", dtype=COUNT), average), 0).alias("avg_throughput"),
             F.when(longest > VARIANCE_FACTOR * average, "HIGH VARIANCE")
             .when(average > SLOW_SECONDS, "SLOW")
             .otherwise("OK")

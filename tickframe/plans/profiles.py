@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.functions.numeric import count_where, mean
+from tickframe.functions.numeric import COUNT, count_where, mean
 from tickframe.operators.dimensions import mapped_only
 
 
@@ -20,7 +20,7 @@ def per_ticker(bars: DataFrame) -> DataFrame:
 def per_ticker_with_means(silver: DataFrame, k: int | None = 20) -> DataFrame:
     out = (
         silver.groupBy("ticker")
-        .agg(*_span(), mean("close").alias("avg_close_price"), mean("volume").alias("avg_volume"))
+        .agg(*_span(), mean("close").alias("avg_close_price"), mean("volume", dtype=COUNT).alias("avg_volume"))
         .orderBy("ticker")
     )
     return out if k is None else out.limit(k)
