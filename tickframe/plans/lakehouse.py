@@ -61,9 +61,14 @@ def _local_root() -> str:
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below the session's checkpoint directory.
 
-    Only where no directory is configured, as in tests, a local one is made.
+    Where none is configured, as in tests, a local one is made; executors on
+    other machines could not read that, so a cluster must name one.
     """
-    root = spark.conf.get(CHECKPOINT_DIR, None) or _local_root()
+    root = spark.conf.get(CHECKPOINT_DIR, None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
+        root = _local_root()
     return f"{root.rstrip('/')}/tickframe-{uuid.uuid4().hex}"
 
 
