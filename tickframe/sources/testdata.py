@@ -63,7 +63,7 @@ def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
             (low / 100).alias("low"),
             F.when(key % 113 != 0, F.col("c") / 100).alias("close"),
             volume.cast("long").alias("volume"),
-            (F.col("l_shipdate").cast("timestamp") + F.make_dt_interval(hours=18 + F.col("l_linenumber"))).alias("ingestion_timestamp"),
+            (F.col("l_shipdate") + F.make_dt_interval(hours=18 + F.col("l_linenumber"))).cast("timestamp").alias("ingestion_timestamp"),
             F.lit("lineitem").alias("source"),
             F.trunc("l_shipdate", "MM").alias("ingestion_date"),
             F.concat_ws(
@@ -119,7 +119,7 @@ def pipeline_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("run_name"),
         F.when(kind == 0, "FULL_LOAD").when(kind == 1, "INCREMENTAL").otherwise("BACKFILL").alias("run_type"),
         start.alias("start_time"),
-        (start + F.make_dt_interval(secs=F.floor(F.col("o_totalprice") / 1000))).alias("end_time"),
+        (F.col("o_orderdate") + F.make_dt_interval(secs=F.floor(F.col("o_totalprice") / 1000))).alias("end_time"),
         (F.col("o_totalprice") / 1000).alias("duration_seconds"),
         status.alias("status"),
         F.when(status == "FAILED", F.rpad(F.concat(F.lit("run "), F.col("o_orderkey").cast("string"), F.lit(" failed ")), 150, ".")).alias("error_message"),
@@ -154,7 +154,7 @@ def layer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).alias("bytes_read"),
         F.lit(0).alias("bytes_written"),
         start.alias("start_time"),
-        (start + F.make_dt_interval(secs=F.floor(F.col("l_extendedprice") / 100))).alias("end_time"),
+        (F.col("l_shipdate") + F.make_dt_interval(secs=F.floor(F.col("l_extendedprice") / 100))).alias("end_time"),
         (F.col("l_extendedprice") / 100).alias("duration_seconds"),
         F.when(F.col("l_linestatus") == "F", "SUCCESS").otherwise("FAILED").alias("status"),
         F.when(F.col("l_linestatus") != "F", F.concat(F.lit("step "), F.col("l_linenumber").cast("string"), F.lit(" failed"))).alias("error_message"),
