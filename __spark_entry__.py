@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -21,6 +22,19 @@ from tickframe.sinks import export_daily_json  # noqa: E402
 from tickframe.sources import bars, testdata  # noqa: E402
 from tickframe.streaming import ingest  # noqa: E402
 
+# The text operators are an optional subpackage: without it, all other queries stay as they are.
+if importlib.util.find_spec("tickframe.llm") and importlib.util.find_spec("corpus_pipeline"):
+    from tickframe.llm.catalog import ORACLE_SQL as TEXT_STATEMENTS
+    from tickframe.llm.catalog import QUERIES as TEXT_QUERIES
+
+    import corpus_pipeline
+
+    TEXT_QUERIES = {**TEXT_QUERIES, "pipeline": corpus_pipeline.run}
+    if corpus_pipeline.ORACLE_SQL:
+        TEXT_STATEMENTS = {**TEXT_STATEMENTS, "pipeline": corpus_pipeline.ORACLE_SQL}
+else:
+    TEXT_QUERIES, TEXT_STATEMENTS = {}, {}
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 RULES = quality.bar_rules
@@ -252,8 +266,9 @@ def queries() -> dict[str, Query]:
         "monitor_quality_issues": _audit(testdata.data_quality_checks, lambda df: monitor.quality_issues(df, CHECKS_DAY)),
         "monitor_freshness": _audit(testdata.data_freshness, monitor.current_freshness),
         "monitor_bottlenecks": _audit(testdata.layer_metrics, lambda df: monitor.bottlenecks(df, MONITOR_DAY)),
+        **TEXT_QUERIES,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(STATEMENTS)
+    return {**STATEMENTS, **TEXT_STATEMENTS}
