@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import language_id, minhash_forest, mixing, secret_scan
+from tickframe.llm import decontamination, language_id, minhash_forest, mixing, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,9 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract asks for shingles of four words."""
-    return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"), shingle=4).drop("row")
+    return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"), shingle=4).drop("row", "first")
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +53,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
     "op4_minhash_forest": op4_minhash_forest,
     "op7_secret_scan": op7_secret_scan,
     "op8_source_mix": op8_source_mix,

@@ -118,7 +118,7 @@ def near_duplicates(
     least_depth: int = LEAST_DEPTH,
     width: int = WIDTH,
 ) -> DataFrame:
-    """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``, and ``row``, a hash of id and text."""
+    """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``; ``row``, a hash of id and text, and ``first``, if that row stands for its group."""
     rows = arrays.bounded_batches(
         documents.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("row"), F.col(text).alias("text"))
     )
@@ -174,9 +174,30 @@ def near_duplicates(
     members = signed.select("doc_id", "row", "n_shingles", "node").join(reached, "node", "left")
     # Documents without words are in no group.
     members = members.withColumn("group", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
-    least = members.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    # The smallest id, null last; of a group without ids, the smallest hash.
+    first_of = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("first")
+    least = members.where("group IS NOT NULL").groupBy("group").agg(first_of)
     linked = members.join(least, "group", "left")
-    component_id = F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    own = F.col("group").isNull()
+    component_id = F.when(own, F.col("doc_id")).otherwise(F.col("first.doc_id"))
     return linked.select(
-        "doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(False)).alias("kept"), "row"
+        "doc_id",
+        "n_shingles",
+        component_id.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component_id, F.lit(False)).alias("kept"),
+        "row",
+        (own | (F.col("row") == F.col("first.row"))).alias("first"),
     )
+
+
+def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``documents`` with one row of every group of near-duplicates; rows without words all stay."""
+    row = F.xxhash64(doc_id, text)
+    found = near_duplicates(documents, doc_id, text, **options).where("first")
+    stays = written(found.groupBy("row").agg(F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles")))
+    name = "__row"
+    rows = documents.withColumn(name, row).join(stays.withColumnRenamed("row", name), name)
+    repeated = (F.col("copies") > 1) & (F.col("n_shingles") > 0)
+    if not stays.where(repeated).isEmpty():
+        rows = rows.where(~repeated).unionByName(rows.where(repeated).dropDuplicates([name]))
+    return rows.select(*documents.columns)

@@ -94,21 +94,24 @@ def mix(
     doc_id: str = "doc_id",
     text: str = "text",
     source: str = "source",
-    size: Column | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per document: its ``doc_id``, ``source``, ``size``, ``source_size``, ``target`` and ``taken``."""
-    rows = written(
-        documents.select(
-            F.col(doc_id).alias("doc_id"),
-            F.col(source).alias("source"),
-            (word_count(F.col(text)) if size is None else size).alias("size"),
-            random_key([F.col(doc_id), F.col(text)], seed).alias("key"),
-        )
+    """One row per document: ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken``, and how many whole ``epochs`` that holds.
+
+    The columns named in ``carry`` come along; ``documents`` is then read twice, so that they are not shuffled.
+    """
+    measured = documents.select(
+        F.col(doc_id).alias("doc_id"),
+        F.col(source).alias("source"),
+        word_count(F.col(text)).alias("size"),
+        random_key([F.col(doc_id), F.col(text)], seed).alias("key"),
+        *[F.col(c).alias(f"__{c}") for c in carry],
     )
+    rows = written(measured.drop(*[f"__{c}" for c in carry]))
     n = rows.count()
     step = F.lit(2.0**64 / max(1, -(-n // RANGE_ROWS)))
-    rows = rows.withColumn("range", F.floor((F.col("key").cast("double") + F.lit(2.0**63)) / step))
-    ranges = written(rows.groupBy("source", "range").agg(F.sum("size").alias("range_size")))
+    key_range = F.floor((F.col("key").cast("double") + F.lit(2.0**63)) / step)
+    ranges = written(rows.withColumn("range", key_range).groupBy("source", "range").agg(F.sum("size").alias("range_size")))
     goals = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, most_epochs)
 
     goal = F.round("target").cast("long")
@@ -124,12 +127,13 @@ def mix(
             F.least(F.greatest(F.col("rest") - F.col("before"), F.lit(0)), F.col("range_size")).alias("part"), "range_size",
         )
     )
-    placed = rows.join(cuts, F.col("source").eqNullSafe(F.col("__source")) & (F.col("range") == F.col("__range")))
+    placed = (measured if carry else rows).withColumn("range", key_range).join(cuts, F.col("source").eqNullSafe(F.col("__source")) & (F.col("range") == F.col("__range")))
     cut = (F.col("part") > 0) & (F.col("part") < F.col("range_size"))
     whole = placed.where(~cut).withColumn("once", F.when(F.col("part") > 0, F.col("size")).otherwise(F.lit(0).cast("long")))
     order = Window.partitionBy("__source", "__range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.coalesce(F.sum("size").over(order), F.lit(0))
     sliced = placed.where(cut).withColumn("once", F.least(F.greatest(F.col("part") - ahead, F.lit(0)), F.col("size")))
     return whole.unionByName(sliced).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("once")).alias("taken"), "epochs"
+        "doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("once")).alias("taken"), "epochs",
+        *[F.col(f"__{c}").alias(c) for c in carry],
     )
