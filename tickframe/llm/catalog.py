@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import decontamination, html_extraction, language_id, minhash_forest, mixing, secret_scan
+from tickframe.llm import decontamination, html_extraction, language_id, license_scan, minhash_forest, mixing, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract asks for shingles of four words."""
     return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"), shingle=4).drop("row", "first")
@@ -59,6 +63,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op2_license_scan": op2_license_scan,
     "op4_minhash_forest": op4_minhash_forest,
     "op6_html_extraction": op6_html_extraction,
     "op7_secret_scan": op7_secret_scan,
@@ -66,4 +71,4 @@ QUERIES: dict[str, Query] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": license_scan.oracle_sql()}

@@ -34,7 +34,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_EPOCHS = 2.0
 #: Rows of one range of keys, on average.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 5_000
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
