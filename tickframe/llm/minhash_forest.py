@@ -10,12 +10,16 @@ depends on the region: where many classes crowd below a prefix, sorting puts
 those next to each other that agree on further min-hashes.
 
 The first round compares direct neighbours, confirms links on the full sets and
-joins them to components. The second round looks ``width`` places along each
-order for classes of different components. Two classes of similarity 0.8 share
-a prefix of three min-hashes in none of 20 trees with probability 6e-7.
+joins them to components. The second round compares the classes below a common
+prefix that are still in different components: all of them where that makes at
+most ``region_pairs`` pairs, else below the next longer prefix, and ``width``
+places along the order where even the whole label leaves more. A group of
+copies is one component by then, so it costs its size times the few classes
+beside it. Two classes of similarity 0.8 share a prefix of three min-hashes in
+none of 20 trees with probability 6e-7.
 
 Candidates whose signatures agree on far fewer hashes than the similarity asks
-for (by more than six standard deviations) are not confirmed. Links themselves
+for (by more than five standard deviations) are not confirmed. Links themselves
 come from the exact sizes of intersection and union alone.
 
 Null and empty texts and texts without words have an empty set and link with
@@ -32,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from tickframe.llm import arrays
 from tickframe.llm.components import components
@@ -39,8 +44,12 @@ from tickframe.llm.ordering import neighbours
 from tickframe.llm.shared import written
 
 TREES, DEPTH, LEAST_DEPTH, WIDTH = 20, 6, 3, 8
+REGION_PAIRS = 1_000_000
 SHINGLE, SIMILARITY = 5, 0.8
 
+#: Bits of the map that says which texts are read for their sets.
+MAP_BITS = 1 << 24
+
 _HASH = np.dtype(">u2")
 
 
@@ -72,41 +81,57 @@ def _signatures(shingle: int, trees: int, depth: int):
     return sign
 
 
-def _sets(shingle: int):
+def _sets(shared, shingle: int):
+    """The shingle sets of the rows in a bit map of wanted rows; others that share a bit come along and are joined away."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
         for batch in batches:
-            for part in arrays.slices(batch, "text"):
+            row = batch.column("row").to_numpy(zero_copy_only=False)
+            bit = (row & (MAP_BITS - 1)).astype(np.uint64)
+            own = batch.filter(pa.array((wanted[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)))
+            for part in arrays.slices(own, "text"):
                 lengths, values = arrays.distinct(*arrays.shingles(*arrays.words(part.column("text")), shingle))
                 yield pa.RecordBatch.from_arrays([part.column("row"), arrays.lists(lengths, arrays.signed(values))], ["row", "shingles"])
 
     return sets
 
 
-def _agreeing(least_depth: int, least_equal: int):
-    """Neighbours of one tree that share the prefix and agree on enough of all hashes."""
+def _bit_map(rows: DataFrame) -> np.ndarray:
+    """One bit for each remainder of a wanted row: MAP_BITS bits, however many rows there are."""
+    bit = F.col("row").bitwiseAND(F.lit(MAP_BITS - 1))
+    words = rows.groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(row & 63 as int))")).alias("bits")
+    ).toArrow()
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _sharing(least_depth: int):
+    """Neighbours of one tree that share the prefix and are not joined yet."""
 
     def emit(rows: pa.Table, i: np.ndarray, j: np.ndarray) -> pa.Table:
-        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        if not len(i):
-            return none
-        tree = rows.column("tree").to_numpy()
-        node = rows.column("node").to_numpy()
-        component = rows.column("component").to_numpy()
-        signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), _HASH).reshape(rows.num_rows, -1)
-        label = np.frombuffer(b"".join(rows.column("label").to_pylist()), _HASH).reshape(rows.num_rows, -1)
-        keep = (tree[i] == tree[j]) & (component[i] != component[j])
-        keep[keep] = (label[i[keep], :least_depth] == label[j[keep], :least_depth]).all(axis=1)
-        i, j = i[keep], j[keep]
-        if not len(i):
-            return none
-        equal = (signature[i] == signature[j]).sum(axis=1)
-        a, b = node[i[equal >= least_equal]], node[j[equal >= least_equal]]
-        found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+        if len(i):
+            tree, node, component = (rows.column(c).to_numpy() for c in ("tree", "node", "component"))
+            label = np.frombuffer(b"".join(rows.column("label").to_pylist()), _HASH).reshape(rows.num_rows, -1)
+            keep = (tree[i] == tree[j]) & (component[i] != component[j])
+            keep[keep] = (label[i[keep], :least_depth] == label[j[keep], :least_depth]).all(axis=1)
+            a, b = node[i[keep]], node[j[keep]]
+        else:
+            a = b = np.zeros(0, np.int64)
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
     return emit
 
 
+@F.arrow_udf(IntegerType())
+def _agreeing(a: pa.Array, b: pa.Array) -> pa.Array:
+    """On how many hashes two signatures agree."""
+    x, y = (np.frombuffer(b"".join(s.to_pylist()), _HASH).reshape(len(s), -1) for s in (a, b))
+    return pa.array((x == y).sum(axis=1), pa.int32())
+
+
 def near_duplicates(
     documents: DataFrame,
     doc_id: str = "doc_id",
@@ -117,6 +142,7 @@ def near_duplicates(
     depth: int = DEPTH,
     least_depth: int = LEAST_DEPTH,
     width: int = WIDTH,
+    region_pairs: int = REGION_PAIRS,
 ) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``; ``row``, a hash of id and text, and ``first``, if that row stands for its group."""
     rows = arrays.bounded_batches(
@@ -134,27 +160,52 @@ def near_duplicates(
         .drop("check")
     )
     n_hashes = trees * depth
-    least_equal = int(n_hashes * (similarity - 6 * (similarity * (1 - similarity) / n_hashes) ** 0.5))
+    least_equal = int(n_hashes * (similarity - 5 * (similarity * (1 - similarity) / n_hashes) ** 0.5))
     bytes_each = _HASH.itemsize * depth
     percent = round(similarity * 100)
 
     def forest(labelled: DataFrame) -> DataFrame:
         """Every class once for each tree."""
         tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-        each = labelled.select("node", "component", "signature", tree)
-        return written(each.withColumn("label", F.substring("signature", F.col("tree") * bytes_each + 1, F.lit(bytes_each))))
+        label = F.substring("signature", F.col("tree") * bytes_each + 1, F.lit(bytes_each)).alias("label")
+        return written(labelled.select("node", "component", "signature", tree).select("node", "component", "tree", label))
+
+    def crossing(trees_of: DataFrame) -> DataFrame:
+        """Pairs of classes that share a prefix but no component."""
+        mixed = trees_of.withColumn("prefix", F.substring("label", 1, least_depth * _HASH.itemsize))
+        lo_hi = mixed.groupBy("tree", "prefix").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        rows = written(mixed.join(lo_hi.where("lo <> hi").drop("lo", "hi"), ["tree", "prefix"]).drop("prefix"))
+        pairs = None
+        for length in range(least_depth, depth + 1):
+            here = rows.withColumn("prefix", F.substring("label", 1, length * _HASH.itemsize))
+            sizes = here.groupBy("tree", "prefix", "component").agg(F.count("*").alias("n"))
+            regions = sizes.groupBy("tree", "prefix").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("n > most.n")
+            here = written(here.join(regions, ["tree", "prefix"]))
+            few = F.col("n") * (F.col("n") - F.col("most.n")) <= region_pairs
+            a = here.where(few).select("tree", "prefix", F.col("node").alias("x"), F.col("component").alias("of_x"))
+            b = here.where(few & (F.col("component") != F.col("most.component")))
+            b = b.select("tree", "prefix", F.col("node").alias("y"), F.col("component").alias("of_y"))
+            found = a.join(b, ["tree", "prefix"]).where("of_x <> of_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            pairs = found if pairs is None else pairs.unionByName(found)
+            rows = written(here.where(~few).select("node", "component", "tree", "label"))
+            if rows.isEmpty():
+                return pairs
+        return pairs.unionByName(neighbours(rows, order, width, _sharing(least_depth), "a long, b long"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs of classes whose full sets are similar enough."""
-        sized = classes.select("node", "n_shingles", "row")
-        a, b = (sized.toDF(x, f"n_{x}", f"row_{x}") for x in "ab")
+        own = classes.select("node", "n_shingles", "row", "signature")
+        a, b = (own.toDF(x, f"n_{x}", f"row_{x}", f"signature_{x}") for x in "ab")
         pairs = written(
             pairs.distinct().join(a, "a").join(b, "b")
             .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+            .where(_agreeing("signature_a", "signature_b") >= least_equal)
+            .drop("signature_a", "signature_b")
         )
-        wanted = pairs.select(F.col("row_a").alias("row")).union(pairs.select("row_b")).distinct()
-        texts = rows.drop("doc_id").join(wanted, "row", "left_semi").dropDuplicates(["row"])
-        sets = written(texts.mapInArrow(_sets(shingle), "row long, shingles array<long>"))
+        wanted = written(pairs.select(F.col("row_a").alias("row")).union(pairs.select("row_b")).distinct())
+        shared = documents.sparkSession.sparkContext.broadcast(_bit_map(wanted))
+        sets = rows.drop("doc_id").mapInArrow(_sets(shared, shingle), "row long, shingles array<long>")
+        sets = written(sets.join(wanted, "row", "left_semi").groupBy("row").agg(F.first("shingles").alias("shingles")))
         left, right = (sets.toDF(f"row_{x}", f"set_{x}") for x in "ab")
         both = F.size(F.array_intersect("set_a", "set_b"))
         return written(
@@ -165,10 +216,10 @@ def near_duplicates(
 
     order = ["tree", "label", "node"]
     first = forest(classes.withColumn("component", F.col("node")))
-    links = confirmed(neighbours(first, order, 1, _agreeing(least_depth, least_equal), "a long, b long"))
+    links = confirmed(neighbours(first, order, 1, _sharing(least_depth), "a long, b long"))
     found = written(components(links))
     placed = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    further = confirmed(neighbours(forest(placed), order, width, _agreeing(least_depth, least_equal), "a long, b long"))
+    further = confirmed(crossing(forest(placed)))
     reached = written(components(links.unionByName(further)))
 
     members = signed.select("doc_id", "row", "n_shingles", "node").join(reached, "node", "left")
