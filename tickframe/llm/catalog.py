@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import decontamination, html_extraction, language_id, license_scan, minhash_forest, mixing, secret_scan
+from tickframe.llm import decontamination, html_extraction, kneser_ney, language_id, license_scan, minhash_forest, mixing, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,13 @@ def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"), shingle=4).drop("row", "first")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted are the documents labelled as of good quality and not as toxic."""
+    labels = table(spark, sf_dir, "labels")
+    trusted = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0))
+    return kneser_ney.judge(table(spark, sf_dir, "documents"), trusted)
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_extraction.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -65,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scan": op2_license_scan,
     "op4_minhash_forest": op4_minhash_forest,
+    "op5_quality": op5_quality,
     "op6_html_extraction": op6_html_extraction,
     "op7_secret_scan": op7_secret_scan,
     "op8_source_mix": op8_source_mix,
