@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import decontamination, html_extraction, kneser_ney, language_id, license_scan, minhash_forest, mixing, secret_scan
+from tickframe.llm import decontamination, html_extraction, kneser_ney, language_id, license_scan, minhash_forest, mixing, secret_scan, suffix_array
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     learnt = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
@@ -76,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op6_html_extraction": op6_html_extraction,
     "op7_secret_scan": op7_secret_scan,
     "op8_source_mix": op8_source_mix,
+    "op9_suffix_array": op9_suffix_array,
     "op10_language_id": op10_language_id,
 }
 
