@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import decontamination, html_extraction, kneser_ney, language_id, license_scan, minhash_forest, mixing, secret_scan, suffix_array
+from tickframe.llm import decontamination, embedding_dedup, html_extraction, kneser_ney, language_id, license_scan, minhash_forest, mixing, secret_scan, suffix_array
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.find_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract asks for shingles of four words."""
     return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"), shingle=4).drop("row", "first")
@@ -75,6 +79,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scan": op2_license_scan,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_minhash_forest": op4_minhash_forest,
     "op5_quality": op5_quality,
     "op6_html_extraction": op6_html_extraction,

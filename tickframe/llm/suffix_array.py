@@ -38,6 +38,8 @@ from tickframe.llm.shared import written
 
 LEAST_WORDS = 50
 GRAM, WINDOW = 25, 26
+#: Places along either order at which suffixes are compared.
+WIDTH = 2
 #: Bits of the map that says which anchors are looked at again.
 MAP_BITS = 1 << 26
 
@@ -228,8 +230,8 @@ def repeated_passages(
         .groupBy("gram", "after", "before", "row").agg(F.sort_array(F.collect_set("position")).alias("positions"))
     )
     schema = "row long, partner long, diagonal long, start long, end long"
-    pairs = neighbours(array, ["gram", "after", "before", "row"], 1, _matches(gram, window), schema).unionByName(
-        neighbours(array, ["gram", "before", "after", "row"], 1, _matches(gram, window), schema)
+    pairs = neighbours(array, ["gram", "after", "before", "row"], WIDTH, _matches(gram, window), schema).unionByName(
+        neighbours(array, ["gram", "before", "after", "row"], WIDTH, _matches(gram, window), schema)
     )
     joined = _merged(pairs.distinct().withColumn("of", F.col("partner")), ["row", "of", "diagonal"])
     passages = joined.where(F.col("end") - F.col("start") >= least_words).select("row", "start", "end", F.col("least_partner").alias("partner"))
