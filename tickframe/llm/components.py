@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.llm.shared import written
+from tickframe.llm.shared import tidy, written
 
 _LINKS = "a long, b long"
 
@@ -42,6 +42,7 @@ def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+@tidy
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``component``, the smallest node that it reaches, for every node with a link.
 

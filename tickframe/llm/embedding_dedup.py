@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tickframe.llm import arrays
 from tickframe.llm.components import _roots, components
-from tickframe.llm.shared import written
+from tickframe.llm.shared import tidy, written
 
 COSINE = 0.95
 SAMPLE = 20_000
@@ -236,6 +236,7 @@ def _linked_classes(classes: DataFrame, n: int, cosine: float, tables: int, prob
     return by_cell(shipped).mapInArrow(_linked(tables, most_different, cosine), "node long, links long, root long")
 
 
+@tidy
 def near_duplicates(
     embeddings: DataFrame,
     vec_id: str = "vec_id",
@@ -268,7 +269,7 @@ def near_duplicates(
         .select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
     )
     placed = written(rows.select("vec_id", "node").join(known, "node", "left"))
-    least = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    least = written(placed.where("component IS NOT NULL").groupBy("component").agg(F.min("vec_id").alias("component_id")))
     out = placed.join(least, "component", "left")
     component_id = F.when(F.col("component").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select(

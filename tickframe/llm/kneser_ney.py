@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.llm import arrays
-from tickframe.llm.shared import written
+from tickframe.llm.shared import tidy, written
 
 ORDER, BITS = 4, 16
 QUANTILE, LEAST_TRUSTED = 0.995, 20
@@ -185,6 +185,7 @@ def _joined_scores(rows: DataFrame, seen: dict, left: dict) -> DataFrame:
     return scored.groupBy("row").agg(F.sum(F.log("p") * F.col("times")).alias("log_p"), F.sum("times").alias("n_chars"))
 
 
+@tidy
 def judge(
     documents: DataFrame,
     trusted_ids: DataFrame,

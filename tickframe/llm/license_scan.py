@@ -26,7 +26,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.llm.shared import written
+from tickframe.llm.shared import tidy, written
 
 THRESHOLD = 0.75
 
@@ -134,6 +134,7 @@ def anchors(templates: Mapping[str, tuple[str, ...]], threshold: float) -> list[
         chosen.add(max(sorted(open_now), key=lambda x: (sum(any(set(x) <= set(p) for p in free) for free in left), sum(map(len, x)))))
 
 
+@tidy
 def find_licenses(
     df: DataFrame,
     doc_id: str = "doc_id",

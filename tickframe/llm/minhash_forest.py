@@ -41,7 +41,7 @@ from pyspark.sql.types import IntegerType
 from tickframe.llm import arrays
 from tickframe.llm.components import components
 from tickframe.llm.ordering import neighbours
-from tickframe.llm.shared import written
+from tickframe.llm.shared import tidy, written
 
 TREES, DEPTH, LEAST_DEPTH, WIDTH = 20, 6, 3, 8
 REGION_PAIRS = 1_000_000
@@ -132,6 +132,7 @@ def _agreeing(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array((x == y).sum(axis=1), pa.int32())
 
 
+@tidy
 def near_duplicates(
     documents: DataFrame,
     doc_id: str = "doc_id",
@@ -227,7 +228,7 @@ def near_duplicates(
     members = members.withColumn("group", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
     # The smallest id, null last; of a group without ids, the smallest hash.
     first_of = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("first")
-    least = members.where("group IS NOT NULL").groupBy("group").agg(first_of)
+    least = written(members.where("group IS NOT NULL").groupBy("group").agg(first_of))
     linked = members.join(least, "group", "left")
     own = F.col("group").isNull()
     component_id = F.when(own, F.col("doc_id")).otherwise(F.col("first.doc_id"))

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import cache
+from collections.abc import Callable
+from functools import cache, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 FOLDER = "spark.checkpoint.dir"
 
+#: The tables that the operators now running have written, by operator.
+_open: list[list[str]] = []
+
 
 @cache
 def _own_folder() -> str:
@@ -31,4 +35,32 @@ def written(df: DataFrame) -> DataFrame:
     """The rows of ``df``, computed once and read back from the shared folder."""
     path = folder(df.sparkSession)
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Write an operator's result, and remove the tables that it wrote on the way."""
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, **options) -> DataFrame:
+        own: list[str] = []
+        _open.append(own)
+        try:
+            result = operator(df, *args, **options)
+            _open[-1:] = []
+            out = written(result)
+        finally:
+            if _open and _open[-1] is own:
+                _open.pop()
+            for path in own:
+                remove(df.sparkSession, path)
+        return out
+
+    return run

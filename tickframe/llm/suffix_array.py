@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tickframe.llm import arrays
 from tickframe.llm.ordering import neighbours
-from tickframe.llm.shared import written
+from tickframe.llm.shared import tidy, written
 
 LEAST_WORDS = 50
 GRAM, WINDOW = 25, 26
@@ -200,6 +200,7 @@ def _merged(spans: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+@tidy
 def repeated_passages(
     documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, gram: int = GRAM, window: int = WINDOW
 ) -> DataFrame:
