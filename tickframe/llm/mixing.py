@@ -117,7 +117,8 @@ def mix(
     goal = F.round("target").cast("long")
     before = F.coalesce(F.sum("range_size").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
-    cuts = (
+    # Written, so that its size is known and the documents are not shuffled for a small table.
+    cuts = written(
         ranges.join(goals.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
         .withColumn("epochs", epochs)
         .withColumn("rest", goal - F.col("epochs") * F.col("source_size"))
