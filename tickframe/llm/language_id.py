@@ -197,6 +197,8 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         parts = [guess(part.column(0)) for part in arrays.slices(batch, "text")]
         return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
+    # Marked so that a filter on the result does not make Spark predict twice.
+    predict = predict.asNondeterministic()
     out = arrays.bounded_batches(df).withColumn("__language", predict(F.col(text)))
     for name in ("lang_pred", "score", "ambiguous"):
         out = out.withColumn(name, F.col("__language")[name])
