@@ -2,7 +2,7 @@
 
 The word n-grams of the benchmark items are counted over the training
 documents. In every ``cover`` consecutive n-grams of an item the one in the
-fewest documents is a seed, so any ``seed + cover - 1`` words in a row that an
+fewest documents, but in some, is a seed, so any ``seed + cover - 1`` words in a row that an
 item shares with a document contain a seed, while n-grams of frequent words are
 passed over wherever a rarer one is next to them. A document's passage around
 a seed is aligned with the item: equal words score 2, other pairs and gaps -1.
@@ -257,9 +257,11 @@ def _seeds(items: pa.Table, grams: np.ndarray, frequency: pa.Table, cover: int)
         at = np.searchsorted(grams, own)
         rare = documents[at]
         for lo in range(max(1, len(own) - cover + 1)):
-            window = range(lo, min(lo + cover, len(own)))
-            k = min(window, key=lambda x: (rare[x], int(own[x])))
-            chosen.add((int(at[k]), i, k))
+            # An n-gram in no document is no seed; of the others the rarest is.
+            window = [x for x in range(lo, min(lo + cover, len(own))) if rare[x]]
+            if window:
+                k = min(window, key=lambda x: (rare[x], int(own[x])))
+                chosen.add((int(at[k]), i, k))
     rows = np.array(sorted(chosen), np.int64).reshape(-1, 3)
     kept, first = np.unique(rows[:, 0], return_index=True)
     return grams[kept], rows[:, 1], np.append(first, len(rows)), rows[:, 2], words
