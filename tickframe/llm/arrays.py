@@ -15,9 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Texts are worked on in slices of about so many bytes: what a task holds does not follow the batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: What Spark may put into one Arrow batch.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 _U64 = np.uint64
 
