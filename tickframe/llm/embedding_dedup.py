@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.llm import arrays
+from tickframe.llm import arrays, cells
 from tickframe.llm.components import _roots, components
 from tickframe.llm.shared import tidy, written
 
@@ -45,9 +45,7 @@ SAMPLE = 20_000
 TABLES, LEAST_BITS, MOST_BITS, PROBE_BITS = 4, 8, 30, 4
 #: Largest share of differing bits of candidates; at cosine 0.95 a tenth is expected.
 DIFFERING = 0.32
-BLOCK = 512
 STEPS = 40
-PAIRS_AT_ONCE = 200_000
 
 _ENTRY = "bucket long, x int, y int, side int, node long, code binary, mask binary"
 
@@ -104,89 +102,47 @@ def _entries(model: tuple, bits: int, tables: int, probe_bits: int):
     return entries
 
 
-def _fixed(column: pa.ChunkedArray, dtype: type, rows: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(rows, -1)
-
-
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches sorted by cell as tables of whole cells."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        rows = pa.Table.from_batches(held)
-        keys = np.stack([rows.column(c).to_numpy() for c in ("bucket", "x", "y")], axis=1)
-        last = np.flatnonzero((keys != keys[-1]).any(axis=1))
-        if len(last):
-            cut = int(last[-1]) + 1
-            yield rows.slice(0, cut)
-            held = rows.slice(cut).combine_chunks().to_batches()
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _meetings(rows: pa.Table, tables: int, most_different: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _meetings(rows: pa.Table, most_different: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of entries that meet in their cell, each pair of nodes in the first table where it meets only."""
     n = rows.num_rows
-    bucket, x, y, side, node = (rows.column(c).to_numpy() for c in ("bucket", "x", "y", "side", "node"))
-    code, mask = _fixed(rows.column("code"), np.uint32, n), _fixed(rows.column("mask"), np.uint32, n)
-    new = np.ones(n, bool)
-    new[1:] = (bucket[1:] != bucket[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    cell = np.cumsum(new) - 1
-    looking = np.bincount(cell[side == 0], minlength=cell[-1] + 1)
-    standing = np.bincount(cell[side == 1], minlength=cell[-1] + 1)
-    first = np.flatnonzero(new)
-    # Entries of side 0 come first in a cell; each is paired with all of side 1.
-    left = np.flatnonzero(side == 0)
-    left = left[standing[cell[left]] > 0]
-    width = standing[cell[left]]
-    lo = 0
-    ends = np.cumsum(width)
-    while lo < len(left):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS_AT_ONCE, "right")))
-        i = np.repeat(left[lo:hi], width[lo:hi])
-        j = first[cell[i]] + looking[cell[i]] + arrays.within(width[lo:hi])
-        lo = hi
+    table, node = rows.column("bucket").to_numpy() >> 32, rows.column("node").to_numpy()
+    code, mask = cells.fixed(rows.column("code"), np.uint32, n), cells.fixed(rows.column("mask"), np.uint32, n)
+    for i, j in cells.pairs(rows):
         apart = code[i] ^ code[j]
         close = (node[i] != node[j]) & (np.bitwise_count(apart).sum(axis=1) <= most_different)
         i, j, apart = i[close], j[close], apart[close]
-        table = bucket[i] >> 32
         to_j, to_i = (apart & ~mask[i]) == 0, (apart & ~mask[j]) == 0
-        is_first = (to_j | to_i).argmax(axis=1) == table
-        own = np.arange(len(i)), table
+        is_first = (to_j | to_i).argmax(axis=1) == table[i]
         # Where both look for each other, or share the key, the smaller node counts.
-        once = np.where(to_i[own], node[i] < node[j], True)
+        once = np.where(to_i[np.arange(len(i)), table[i]], node[i] < node[j], True)
         kept = is_first & once
         yield i[kept], j[kept]
 
 
-def _meeting(tables: int, most_different: int):
+def _meeting(most_different: int):
     """The entries that meet another."""
 
     def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _cells(batches):
+        for rows in cells.whole_cells(batches):
             own = np.zeros(rows.num_rows, bool)
-            for i, j in _meetings(rows, tables, most_different):
+            for i, j in _meetings(rows, most_different):
                 own[i] = own[j] = True
             yield from rows.filter(pa.array(own)).to_batches()
 
     return meeting
 
 
-def _linked(tables: int, most_different: int, cosine: float):
+def _linked(most_different: int, cosine: float):
     """Links of a cell: to each node the copies it links with, and a spanning forest."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _cells(batches):
-            flat = rows.column("vector").combine_chunks()
-            flat = flat if isinstance(flat, pa.Array) else pa.concat_arrays(flat.chunks)
-            vectors = flat.flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1).astype(np.float64)
+        for rows in cells.whole_cells(batches):
+            vectors = cells.flat(rows.column("vector"))[1].reshape(rows.num_rows, -1).astype(np.float64)
             vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
             node, copies = rows.column("node").to_numpy(), rows.column("copies").to_numpy()
             links = np.zeros(rows.num_rows, np.int64)
             near: list[np.ndarray] = []
-            for i, j in _meetings(rows, tables, most_different):
+            for i, j in _meetings(rows, most_different):
                 for lo in range(0, len(i), 20_000):
                     a, b = i[lo : lo + 20_000], j[lo : lo + 20_000]
                     linked_now = np.einsum("ij,ij->i", vectors[a], vectors[b]) >= cosine
@@ -211,29 +167,15 @@ def _linked_classes(classes: DataFrame, n: int, cosine: float, tables: int, prob
     """``node``, ``links`` and ``root`` for the vectors of one length; a node may have several rows."""
     bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(n, 2)))))
     sample = classes.orderBy("node").limit(SAMPLE).select("vector").toArrow().column("vector")
-    flat = sample.combine_chunks()
-    flat = flat if isinstance(flat, pa.Array) else pa.concat_arrays(flat.chunks)
-    model = learn(flat.flatten().to_numpy(zero_copy_only=False).reshape(len(sample), -1).astype(np.float64), bits, tables)
+    model = learn(cells.flat(sample)[1].reshape(len(sample), -1).astype(np.float64), bits, tables)
     probe_bits = min(probe_bits, bits)
     most_different = int(DIFFERING * bits * tables)
 
     entries = written(classes.select("node", "vector").mapInArrow(_entries(model, bits, tables, probe_bits), "bucket long, side int, node long, code binary, mask binary"))
-    sizes = entries.groupBy("bucket").agg(F.count(F.when(F.col("side") == 0, 1)).alias("looking"), F.count(F.when(F.col("side") == 1, 1)).alias("standing"))
-    crowded = written(sizes.where((F.col("looking") > block) | (F.col("standing") > block)))
-    blocks = {name: F.coalesce(F.ceil(F.col(name) / block), F.lit(1)).cast("int") for name in ("looking", "standing")}
-    placed = entries.join(crowded, "bucket", "left").withColumn("looking", blocks["looking"]).withColumn("standing", blocks["standing"])
-    own = F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("looking")).otherwise(F.col("standing"))).cast("int")
-    across = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("standing")).otherwise(F.col("looking")) - 1))
-    placed = placed.withColumn("own", own).withColumn("across", across)
-    x, y = F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("across")), F.when(F.col("side") == 0, F.col("across")).otherwise(F.col("own"))
-    cells = placed.select("bucket", x.alias("x"), y.alias("y"), "side", "node", "code", "mask")
-
-    def by_cell(rows: DataFrame) -> DataFrame:
-        return rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "side")
-
-    meeting = written(by_cell(cells).mapInArrow(_meeting(tables, most_different), _ENTRY))
+    crowd = cells.dealt(entries, block).select("bucket", "x", "y", "side", "node", "code", "mask")
+    meeting = written(cells.by_cell(crowd).mapInArrow(_meeting(most_different), _ENTRY))
     shipped = meeting.join(classes.select("node", "vector", "copies"), "node")
-    return by_cell(shipped).mapInArrow(_linked(tables, most_different, cosine), "node long, links long, root long")
+    return cells.by_cell(shipped).mapInArrow(_linked(most_different, cosine), "node long, links long, root long")
 
 
 @tidy
@@ -244,7 +186,7 @@ def near_duplicates(
     cosine: float = COSINE,
     tables: int = TABLES,
     probe_bits: int = PROBE_BITS,
-    block: int = BLOCK,
+    block: int = cells.BLOCK,
 ) -> DataFrame:
     """One row per vector: ``vec_id``, ``n_links``, ``component_id``, ``kept``."""
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))

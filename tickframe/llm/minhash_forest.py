@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from tickframe.llm import arrays
+from tickframe.llm import arrays, cells
 from tickframe.llm.components import components
 from tickframe.llm.ordering import neighbours
 from tickframe.llm.shared import tidy, written
 
 TREES, DEPTH, LEAST_DEPTH, WIDTH = 20, 6, 3, 8
-REGION_PAIRS = 1_000_000
+REGION_PAIRS = 20_000_000
 SHINGLE, SIMILARITY = 5, 0.8
 
 #: Bits of the map that says which texts are read for their sets.
@@ -125,6 +125,72 @@ def _sharing(least_depth: int):
     return emit
 
 
+def _candidates(rows: pa.Table, depth: int, percent: int, least_equal: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs of classes in a cell that may be similar enough, and on how many hashes they agree.
+
+    A pair whose whole labels agree in an earlier tree has been compared there.
+    """
+    node, component, tree, n = (rows.column(c).to_numpy() for c in ("node", "component", "tree", "n_shingles"))
+    signature = cells.fixed(rows.column("signature"), _HASH, rows.num_rows).astype(np.uint16)
+    for i, j in cells.pairs(rows):
+        keep = (component[i] != component[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
+        i, j = i[keep], j[keep]
+        for lo in range(0, len(i), 20_000):
+            a, b = i[lo : lo + 20_000], j[lo : lo + 20_000]
+            same = signature[a] == signature[b]
+            agree = same.sum(axis=1)
+            whole = same.reshape(len(a), -1, depth).all(axis=2)
+            earlier = whole.any(axis=1) & (whole.argmax(axis=1) < tree[a])
+            keep = (agree >= least_equal) & ~earlier
+            yield a[keep], b[keep], agree[keep]
+
+
+def _meeting(depth: int, percent: int, least_equal: int):
+    """The entries of a cell that may be similar enough to another."""
+
+    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in cells.whole_cells(batches):
+            own = np.zeros(rows.num_rows, bool)
+            for i, j, _ in _candidates(rows, depth, percent, least_equal):
+                own[i] = own[j] = True
+            yield from rows.filter(pa.array(own)).to_batches()
+
+    return meeting
+
+
+def _crossing(depth: int, percent: int, least_equal: int):
+    """Links confirmed on full sets; those within what a cell has already joined are not looked for."""
+
+    def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in cells.whole_cells(batches):
+            node, component = rows.column("node").to_numpy(), rows.column("component").to_numpy()
+            begin, values = cells.flat(rows.column("shingles"))
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (up := root.setdefault(x, x)) != x:
+                    root[x] = root[up] if up in root else up
+                    x = up
+                return x
+
+            found: list[tuple[int, int]] = []
+            for i, j, agree in _candidates(rows, depth, percent, least_equal):
+                for k in np.argsort(-agree, kind="stable").tolist():
+                    a, b = int(i[k]), int(j[k])
+                    x, y = find(int(component[a])), find(int(component[b]))
+                    if x == y:
+                        continue
+                    s, t = values[begin[a] : begin[a + 1]], values[begin[b] : begin[b + 1]]
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    if both * 100 >= (len(s) + len(t) - both) * percent:
+                        root[max(x, y)] = min(x, y)
+                        found.append((int(node[a]), int(node[b])))
+            at = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(at.min(axis=1) if len(at) else at[:, 0]), pa.array(at.max(axis=1) if len(at) else at[:, 0])], ["a", "b"])
+
+    return crossing
+
+
 @F.arrow_udf(IntegerType())
 def _agreeing(a: pa.Array, b: pa.Array) -> pa.Array:
     """On how many hashes two signatures agree."""
@@ -172,26 +238,39 @@ def near_duplicates(
         return written(labelled.select("node", "component", "signature", tree).select("node", "component", "tree", label))
 
     def crossing(trees_of: DataFrame) -> DataFrame:
-        """Pairs of classes that share a prefix but no component."""
+        """Links of classes that share a prefix but no component."""
         mixed = trees_of.withColumn("prefix", F.substring("label", 1, least_depth * _HASH.itemsize))
         lo_hi = mixed.groupBy("tree", "prefix").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
         rows = written(mixed.join(lo_hi.where("lo <> hi").drop("lo", "hi"), ["tree", "prefix"]).drop("prefix"))
-        pairs = None
+        regions_of, links = None, None
         for length in range(least_depth, depth + 1):
             here = rows.withColumn("prefix", F.substring("label", 1, length * _HASH.itemsize))
             sizes = here.groupBy("tree", "prefix", "component").agg(F.count("*").alias("n"))
             regions = sizes.groupBy("tree", "prefix").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("n > most.n")
             here = written(here.join(regions, ["tree", "prefix"]))
             few = F.col("n") * (F.col("n") - F.col("most.n")) <= region_pairs
-            a = here.where(few).select("tree", "prefix", F.col("node").alias("x"), F.col("component").alias("of_x"))
-            b = here.where(few & (F.col("component") != F.col("most.component")))
-            b = b.select("tree", "prefix", F.col("node").alias("y"), F.col("component").alias("of_y"))
-            found = a.join(b, ["tree", "prefix"]).where("of_x <> of_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            pairs = found if pairs is None else pairs.unionByName(found)
+            # Those outside the region's largest component look at all.
+            looks = F.when(F.col("component") != F.col("most.component"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+            own = here.where(few).select(F.xxhash64("tree", "prefix").alias("bucket"), F.explode(looks).alias("side"), "node", "component", "tree")
+            regions_of = own if regions_of is None else regions_of.unionByName(own)
             rows = written(here.where(~few).select("node", "component", "tree", "label"))
             if rows.isEmpty():
-                return pairs
-        return pairs.unionByName(neighbours(rows, order, width, _sharing(least_depth), "a long, b long"))
+                break
+        else:
+            links = confirmed(neighbours(rows, order, width, _sharing(least_depth), "a long, b long"))
+        signed_rows = written(regions_of).join(classes.select("node", "n_shingles", "row", "signature"), "node")
+        signed_rows = signed_rows.select("bucket", "side", "node", "component", "tree", "n_shingles", "row", "signature")
+        entry = "bucket long, side int, node long, component long, tree int, n_shingles long, row long, signature binary, x int, y int"
+        meeting = written(cells.by_cell(cells.dealt(written(signed_rows), cells.BLOCK)).mapInArrow(_meeting(depth, percent, least_equal), entry))
+        shipped = meeting.join(sets_of(written(meeting.select("row").distinct())), "row")
+        found = cells.by_cell(shipped).mapInArrow(_crossing(depth, percent, least_equal), "a long, b long")
+        return found if links is None else found.unionByName(links)
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """``row, shingles`` of the wanted rows."""
+        shared = documents.sparkSession.sparkContext.broadcast(_bit_map(wanted))
+        sets = rows.drop("doc_id").mapInArrow(_sets(shared, shingle), "row long, shingles array<long>")
+        return written(sets.join(wanted, "row", "left_semi").groupBy("row").agg(F.first("shingles").alias("shingles")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs of classes whose full sets are similar enough."""
@@ -204,9 +283,7 @@ def near_duplicates(
             .drop("signature_a", "signature_b")
         )
         wanted = written(pairs.select(F.col("row_a").alias("row")).union(pairs.select("row_b")).distinct())
-        shared = documents.sparkSession.sparkContext.broadcast(_bit_map(wanted))
-        sets = rows.drop("doc_id").mapInArrow(_sets(shared, shingle), "row long, shingles array<long>")
-        sets = written(sets.join(wanted, "row", "left_semi").groupBy("row").agg(F.first("shingles").alias("shingles")))
+        sets = sets_of(wanted)
         left, right = (sets.toDF(f"row_{x}", f"set_{x}") for x in "ab")
         both = F.size(F.array_intersect("set_a", "set_b"))
         return written(
@@ -220,7 +297,7 @@ def near_duplicates(
     links = confirmed(neighbours(first, order, 1, _sharing(least_depth), "a long, b long"))
     found = written(components(links))
     placed = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    further = confirmed(crossing(forest(placed)))
+    further = crossing(forest(placed))
     reached = written(components(links.unionByName(further)))
 
     members = signed.select("doc_id", "row", "n_shingles", "node").join(reached, "node", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
-from functools import cache, wraps
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,9 +15,8 @@ FOLDER = "spark.checkpoint.dir"
 _open: list[list[str]] = []
 
 
-@cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="run-")
+#: The folder made where the session names none.
+_own: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -27,7 +26,9 @@ def folder(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError(f"set {FOLDER} to a folder that all executors share")
-        root = _own_folder()
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="run-"))
+        root = _own[0]
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
@@ -50,16 +51,16 @@ def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
     @wraps(operator)
     def run(df: DataFrame, *args, **options) -> DataFrame:
-        own: list[str] = []
-        _open.append(own)
+        paths: list[str] = []
+        _open.append(paths)
         try:
             result = operator(df, *args, **options)
             _open[-1:] = []
             out = written(result)
         finally:
-            if _open and _open[-1] is own:
+            if _open and _open[-1] is paths:
                 _open.pop()
-            for path in own:
+            for path in paths:
                 remove(df.sparkSession, path)
         return out
 
