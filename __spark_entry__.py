@@ -135,17 +135,24 @@ def _maintained(config: DataFrame) -> DataFrame:
     return dimensions.add_tickers(dimensions.deactivate(config, "NATION_3.NS", at), rows)
 
 
+def _land(bronze: DataFrame, landing: str) -> None:
+    """All bars as daily drops, in two exports into one landing folder."""
+    rows = bronze.select(*BAR_COLUMNS)
+    export_daily_json(rows.where(F.col("date") < "2000-01-01"), landing)
+    export_daily_json(rows.where(F.col("date") >= "2000-01-01"), landing)
+
+
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All bars landed as daily JSON drops, then ingested by the file stream."""
     root = shared_folder(spark)
-    export_daily_json(lake(spark, sf_dir).bronze.select(*BAR_COLUMNS), f"{root}/landing")
+    _land(lake(spark, sf_dir).bronze, f"{root}/landing")
     ingest.ingest_available(spark, f"{root}/landing", f"{root}/bronze", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/bronze")
 
 
 def _json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_folder(spark)
-    export_daily_json(lake(spark, sf_dir).bronze.select(*BAR_COLUMNS), f"{root}/landing")
+    _land(lake(spark, sf_dir).bronze, f"{root}/landing")
     return bars.read_json_bars(spark, f"{root}/landing")
 
 
@@ -196,7 +203,7 @@ def queries() -> dict[str, Query]:
         "duplicate_keys": _typed(lambda df: clean.duplicate_keys(quality.RuleSet(RULES()).valid(df))),
         "dedup_latest": _bronze(silver_bars),
         "gap_report": lambda spark, sf_dir: clean.gap_report(
-            lake(spark, sf_dir).silver, block_rows=lake(spark, sf_dir).block_rows
+            lake(spark, sf_dir).silver
         ),
         "upsert_silver": _silver(_upserted),
         "upsert_silver_table": _upserted_table,

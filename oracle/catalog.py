@@ -255,7 +255,8 @@ STATEMENTS: dict[str, str] = {
         count(*) FILTER (check_high_is_highest) AS pass_high_is_highest,
         count(*) FILTER (check_low_is_lowest) AS pass_low_is_lowest,
         count(*) FILTER (check_non_negative_volume) AS pass_non_negative_volume,
-        count(*) FILTER (check_no_null_critical_fields) AS pass_no_null_critical_fields FROM flagged""",
+        count(*) FILTER (check_no_null_critical_fields) AS pass_no_null_critical_fields,
+        count(*) FILTER (check_values_in_range) AS pass_values_in_range FROM flagged""",
     "duplicate_keys": f"""{TO_SILVER} SELECT ticker_standard, date, count(*) AS count FROM valid
         GROUP BY ticker_standard, date HAVING count(*) > 1""",
     "dedup_latest": f"{TO_SILVER} SELECT * FROM silver",

@@ -80,25 +80,28 @@ rules AS (
     coalesce(high >= low AND high >= close AND high >= open, false) AS check_high_is_highest,
     coalesce(low <= high AND low <= close AND low <= open, false) AS check_low_is_lowest,
     coalesce(volume >= 0, false) AS check_non_negative_volume,
-    ticker IS NOT NULL AND date IS NOT NULL AND close IS NOT NULL AS check_no_null_critical_fields
+    ticker IS NOT NULL AND date IS NOT NULL AND close IS NOT NULL AS check_no_null_critical_fields,
+    coalesce(greatest(open, high, low, close) <= 1e12, true) AND coalesce(volume <= 1e15, true)
+      AND coalesce(abs(close / nullif(open, 0)) <= 1e9, true) AS check_values_in_range
   FROM typed
 ),
 flagged AS (
   SELECT *,
     check_no_negative_prices AND check_high_is_highest AND check_low_is_lowest
-      AND check_non_negative_volume AND check_no_null_critical_fields AS is_valid,
+      AND check_non_negative_volume AND check_no_null_critical_fields AND check_values_in_range AS is_valid,
     concat_ws(',',
       CASE WHEN NOT check_no_negative_prices THEN 'no_negative_prices' END,
       CASE WHEN NOT check_high_is_highest THEN 'high_is_highest' END,
       CASE WHEN NOT check_low_is_lowest THEN 'low_is_lowest' END,
       CASE WHEN NOT check_non_negative_volume THEN 'non_negative_volume' END,
-      CASE WHEN NOT check_no_null_critical_fields THEN 'no_null_critical_fields' END) AS failure_reasons
+      CASE WHEN NOT check_no_null_critical_fields THEN 'no_null_critical_fields' END,
+      CASE WHEN NOT check_values_in_range THEN 'values_in_range' END) AS failure_reasons
   FROM rules
 )"""
 
 _CHECKS = (
     "check_no_negative_prices, check_high_is_highest, check_low_is_lowest, "
-    "check_non_negative_volume, check_no_null_critical_fields, is_valid, failure_reasons"
+    "check_non_negative_volume, check_no_null_critical_fields, check_values_in_range, is_valid, failure_reasons"
 )
 
 SILVER = f""",

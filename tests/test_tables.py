@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 from datetime import date, datetime
 
 import pytest
@@ -13,6 +14,7 @@ from tests.compare import differences
 from tests.helpers import bar, bars, sectors
 from tickframe import schemas
 from tickframe.operators import dimensions
+from tickframe.operators import upsert as upserts
 from tickframe.operators.upsert import DuplicateSourceKeys, upsert, upsert_table
 from tickframe.plans import monitor, screens
 from tickframe.plans.lakehouse import Lakehouse, refresh_silver, silver_bars
@@ -85,11 +87,11 @@ def test_partitioned_writers(spark, tmp_path):
 def test_stream_picks_up_each_drop_once(spark, tmp_path):
     landing, table, checkpoint = (str(tmp_path / n) for n in ("landing", "bronze", "checkpoint"))
     first = bars(spark, bar(day=0), bar("B", day=1, open=None)).select(*BAR_COLUMNS)
-    export_daily_json(first, f"{landing}/batch1", "date")
-    assert len([d for d in os.listdir(f"{landing}/batch1") if d.startswith("drop_date=")]) == 2
+    export_daily_json(first, landing)
+    assert len([d for d in os.listdir(landing) if d.startswith("drop_date=")]) == 2
     ingest_available(spark, landing, table, checkpoint)
     second = bars(spark, bar("C", day=2)).select(*BAR_COLUMNS)
-    export_daily_json(second, f"{landing}/batch2", "date")
+    export_daily_json(second, landing)
     for _ in range(2):
         ingest_available(spark, landing, table, checkpoint)
     streamed = spark.read.parquet(table)
@@ -102,11 +104,11 @@ def test_stream_picks_up_each_drop_once(spark, tmp_path):
 def test_stream_schema_can_grow(spark, tmp_path):
     landing, table, checkpoint = (str(tmp_path / n) for n in ("landing", "bronze", "checkpoint"))
     old = bars(spark, bar(day=0)).select(*BAR_COLUMNS)
-    export_daily_json(old, f"{landing}/batch1", "date")
+    export_daily_json(old, landing)
     ingest_available(spark, landing, table, checkpoint)
     wide = T.StructType([*schemas.BAR_SCHEMA.fields, T.StructField("dividend", T.DoubleType())])
     wider = bars(spark, bar(day=1)).select(*BAR_COLUMNS).withColumn("dividend", F.lit(0.5))
-    export_daily_json(wider, f"{landing}/batch2", "date")
+    export_daily_json(wider, landing)
     ingest_available(spark, landing, table, checkpoint, schema=wide)
     got = spark.read.option("mergeSchema", "true").parquet(table).orderBy("date").collect()
     assert [r.dividend for r in got] == [None, 0.5]
@@ -204,11 +206,10 @@ def history(spark):
 
 def test_month_layout_and_split_series_change_no_result(spark, history, tmp_path):
     plain = Lakehouse(spark, *history, root=str(tmp_path / "plain"))
-    scaled = Lakehouse(spark, *history, root=str(tmp_path / "scaled"), partition_rows=0, max_series_rows=50)
-    assert plain.block_rows is None and scaled.block_rows == 50
+    scaled = Lakehouse(spark, *history, root=str(tmp_path / "scaled"), by_month=True, block_rows=50)
     for name in ("stock_daily_metrics", "stock_technical_levels", "stock_relative_strength", "market_overview_daily"):
-        assert differences(scaled.gold(name).drop("month").toPandas(), plain.gold(name).toPandas()) == []
-        assert differences(scaled.plan(name).toPandas(), plain.gold(name).toPandas()) == []
+        assert differences(scaled.gold(name).toPandas(), plain.gold(name).toPandas()) == []
+        assert differences(scaled.plan(name).toPandas(), plain.gold(name).drop("month").toPandas()) == []
     assert os.path.isdir(f"{scaled.root}/gold.stock_features/month=2020-03-01")
     for screen, table in ((screens.bullish_alignment, "stock_daily_metrics"), (screens.at_year_high, "stock_technical_levels")):
         for when in (screens.LATEST, date(2020, 6, 3), screens.EACH_DAY):
@@ -219,7 +220,7 @@ def test_month_layout_and_split_series_change_no_result(spark, history, tmp_path
 
 
 def test_latest_slice_reads_one_month(spark, history, tmp_path):
-    lake = Lakehouse(spark, *history, root=str(tmp_path / "months"), partition_rows=0)
+    lake = Lakehouse(spark, *history, root=str(tmp_path / "months"), by_month=True)
     newest = screens.latest_slice(lake.gold("stock_daily_metrics"))
     rows = newest.collect()
     assert {r.date for r in rows} == {lake.silver.agg(F.max("date")).first()[0]}
@@ -238,3 +239,82 @@ def test_quarantine_table_keeps_the_rest(spark, tmp_path):
     assert audit["gold.market_overview_daily"].rows_read == audit["gold.market_overview_daily"].rows_written == 1
     summary = monitor.run_summary(lake.metrics("run"), run_name="n", run_type="FULL_LOAD", triggered_by="t").first()
     assert (summary.status, summary.bronze_rows_in, summary.silver_rows_in) == ("SUCCESS", 2, 2)
+
+
+def test_upsert_keeps_columns_of_either_side(spark, tmp_path):
+    path, staging = str(tmp_path / "t"), str(tmp_path / "s")
+    narrow, wide = "k int, month string, v string", "k int, month string, v string, w int"
+    for rows, schema in (([(1, "a", "x")], narrow), ([(2, "b", "y", 9)], wide), ([(3, "b", "z")], narrow)):
+        upsert_table(spark, path, spark.createDataFrame(rows, schema), ["k"], "month", staging)
+    got = spark.read.option("mergeSchema", "true").parquet(path).select("k", "month", "v", "w")
+    assert sorted(map(tuple, got.collect())) == [(1, "a", "x", None), (2, "b", "y", 9), (3, "b", "z", None)]
+
+
+def test_upsert_after_an_empty_first_load(spark, tmp_path):
+    path, staging, schema = str(tmp_path / "t"), str(tmp_path / "s"), "k int, month string"
+    upsert_table(spark, path, spark.createDataFrame([], schema), ["k"], "month", staging)
+    upsert_table(spark, path, spark.createDataFrame([(1, "a")], schema), ["k"], "month", staging)
+    assert spark.read.parquet(path).count() == 1
+
+
+def test_interrupted_swap_is_finished(spark, tmp_path, monkeypatch):
+    path, staging, schema = str(tmp_path / "t"), str(tmp_path / "s"), "k int, month string, v string"
+    upsert_table(spark, path, spark.createDataFrame([(1, "a", "x"), (2, "a", "y")], schema), ["k"], "month", staging)
+
+    def lost(df, path, partitions):
+        shutil.rmtree(f"{path}/month=a")
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(upserts, "overwrite_partitions", lost)
+    with pytest.raises(RuntimeError):
+        upsert_table(spark, path, spark.createDataFrame([(2, "a", "Y")], schema), ["k"], "month", staging)
+    monkeypatch.undo()
+    upsert_table(spark, path, spark.createDataFrame([(3, "b", "z")], schema), ["k"], "month", staging)
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, "x"), (2, "Y"), (3, "z")]
+
+
+def test_repeated_refresh_quarantines_once(spark, tmp_path):
+    bad = bars(spark, bar(day=1, low=-1.0, rid="x"), bar(day=2, rid="y"))
+    for _ in range(2):
+        refresh_silver(spark, bad, str(tmp_path / "silver"), str(tmp_path / "s"), quarantine=str(tmp_path / "bad"))
+    assert spark.read.parquet(str(tmp_path / "bad")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "silver")).count() == 1
+
+
+def test_both_layouts_have_the_same_columns(spark, history, tmp_path):
+    lakes = [Lakehouse(spark, *history, root=str(tmp_path / str(m)), by_month=m) for m in (False, True)]
+    for name in ("stock_daily_metrics", "stock_relative_strength", "sector_daily_metrics"):
+        assert lakes[0].gold(name).columns == lakes[1].gold(name).columns
+    assert lakes[0].silver.columns == lakes[1].silver.columns
+
+
+def test_existing_lake_is_read_unless_rebuilt(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    assert Lakehouse(spark, bars(spark, bar(), bar(day=1)), sectors(spark, {}), root=root).silver.count() == 2
+    assert Lakehouse(spark, bars(spark, bar()), sectors(spark, {}), root=root).silver.count() == 2
+    assert Lakehouse(spark, bars(spark, bar()), sectors(spark, {}), root=root, rebuild=True).silver.count() == 1
+
+
+def test_failed_step_is_in_the_audit_rows(spark, tmp_path):
+    lake = Lakehouse(spark, bars(spark, bar()).drop("close"), sectors(spark, {}), root=str(tmp_path / "f"))
+    with pytest.raises(Exception):
+        lake.silver
+    rows = {r.table_name: r.status for r in lake.metrics("r").collect()}
+    assert rows == {"bronze.stock_prices_raw": "SUCCESS", "silver.stock_prices_clean": "FAILED"}
+
+
+def test_odd_numbers_go_to_quarantine(spark, tmp_path):
+    inf = float("inf")
+    odd = [bar(day=1, high=inf, close=inf), bar(day=2, open=1e-12, high=2e6, low=1e-12, close=1e6), bar(day=3, volume=2 * 10**18),
+           bar(day=4, open=1e17, high=1e17, low=1e17, close=1e17), bar(day=5)]
+    lake = Lakehouse(spark, bars(spark, *odd), sectors(spark, {}), root=str(tmp_path / "odd"))
+    lake.build()
+    reasons = {r.date.day: r.failure_reasons for r in lake.quarantine.collect()}
+    assert lake.silver.count() == 1 and reasons[3] == reasons[4] == reasons[5] == ["values_in_range"]
+    assert "no_null_critical_fields" in reasons[2]
+
+
+def test_latest_bar_does_not_depend_on_row_order(spark):
+    rows = [bar(close=10.0), bar(close=11.0), bar(close=10.5)]
+    for order in (rows, rows[::-1]):
+        assert silver_bars(bars(spark, *order).drop("record_id")).first().close == 11.0

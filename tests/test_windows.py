@@ -8,7 +8,7 @@ import pytest
 
 from tests.compare import differences
 from tests.helpers import sectors, silver
-from tickframe.functions.windows import BLOCK, IS_HALO, longest_series, split_series
+from tickframe.functions.windows import BLOCK, IS_HALO, split_series
 from tickframe.plans import gold
 
 
@@ -66,11 +66,6 @@ def test_split_keeps_every_row_once_and_bounds_the_blocks(spark):
     assert largest <= 100 + 31 + 30 + 2 * 31
 
 
-def test_longest_series(spark):
-    assert longest_series(silver(spark, {"A": [1.0] * 5, "B": [1.0] * 9}), "ticker_standard") == 9
-    assert longest_series(silver(spark, {"A": [1.0]}).where("false"), "ticker_standard") == 0
-
-
 def test_one_shuffle_per_series(spark, tmp_path):
     # A written mapping has a known size, below which it is broadcast.
     sectors(spark, {"A": "x"}).write.parquet(str(tmp_path / "sectors"))

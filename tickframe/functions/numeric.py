@@ -47,8 +47,9 @@ def mean_count(c) -> Column:
 
 
 def clean_double(c) -> Column:
-    """Cast to double; text that is no number, and NaN, become NULL."""
-    return F.nanvl(col(c).try_cast("double"), F.lit(None).cast("double"))
+    """Cast to double; text that is no number, NaN and infinite values become NULL."""
+    value = col(c).try_cast("double")
+    return F.when(F.abs(value) < float("inf"), value)
 
 
 def count_where(condition: Column) -> Column:

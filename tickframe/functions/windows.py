@@ -18,9 +18,6 @@ from tickframe.functions.numeric import PRICE, col, ratio
 
 BLOCK, IS_HALO = "_block", "_is_halo"
 
-# A series up to this many rows is sorted by one task; a longer one is split.
-MAX_SERIES_ROWS = 1_000_000
-
 
 class Series:
     """Windows over rows of one key in the order of one column."""
@@ -72,12 +69,6 @@ class Series:
         return F.round(ratio(total, seen), digits).cast("double")
 
 
-def longest_series(df: DataFrame, key: str) -> int:
-    """Rows of the longest series: one pass over one column, combined map-side."""
-    row = df.groupBy(key).count().agg(F.max("count").alias("n")).first()
-    return row["n"] or 0
-
-
 def split_series(
     df: DataFrame, key: str, order: str, lookback: int, block_rows: int, unit: str = "month"
 ) -> DataFrame:

@@ -67,12 +67,13 @@ def keep_latest(
     keys: Sequence[str] = KEYS,
     latest: Sequence[str] = ("ingestion_timestamp", "record_id"),
 ) -> DataFrame:
-    """One row per key: the last ingested, then the greatest tie-breaker.
+    """One row per key: the last ingested, then the greatest tie-breaker, then the greatest of the other columns.
 
     Each map task keeps one row per key before the shuffle, so a key holding a
     large share of the input does not reach a single task whole.
     """
-    order = [F.col(c).desc_nulls_last() for c in latest if c in df.columns]
+    first = [c for c in latest if c in df.columns]
+    order = [F.col(c).desc_nulls_last() for c in (*first, *[c for c in df.columns if c not in (*keys, *first)])]
     return top_per_group(df, keys, order, 1, "_rank").drop("_rank")
 
 

@@ -34,6 +34,17 @@ def all_of(conditions) -> Column:
     return reduce(and_, conditions)
 
 
+# What the exact decimals of the gold tables hold with room to sum.
+MAX_PRICE, MAX_VOLUME, MAX_CHANGE = 1e12, 1e15, 1e9
+
+
+def _in_range() -> list[Column]:
+    """Missing values are for the other rules."""
+    change = F.abs(F.try_divide(F.col("close"), F.col("open")))
+    limits = [(F.col(p), MAX_PRICE) for p in PRICES] + [(F.col("volume"), MAX_VOLUME), (change, MAX_CHANGE)]
+    return [F.coalesce(value <= limit, F.lit(True)) for value, limit in limits]
+
+
 def bar_rules() -> list[Rule]:
     """Rules a price bar must meet to enter silver."""
     high, low = F.col("high"), F.col("low")
@@ -43,6 +54,7 @@ def bar_rules() -> list[Rule]:
         Rule("low_is_lowest", all_of(low <= F.col(p) for p in ("high", "close", "open"))),
         Rule("non_negative_volume", F.col("volume") >= 0),
         Rule("no_null_critical_fields", all_of(F.col(c).isNotNull() for c in ("ticker", "date", "close"))),
+        Rule("values_in_range", all_of(_in_range())),
     ]
 
 

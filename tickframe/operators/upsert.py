@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.sinks import write_table
+from tickframe.sinks import delete, exists, overwrite_partitions, write_table
 
 
 class DuplicateSourceKeys(ValueError):
@@ -32,15 +32,30 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], check: boo
 
 
 def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at ``path``, or None where nothing has been written yet."""
+    """The table at ``path`` with all columns it ever had, or None where no row has been written yet."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.option("mergeSchema", "true").parquet(path)
     except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
 
+def _swap(spark: SparkSession, path: str, partition: str, staging: str) -> None:
+    """Replace the partitions of the table by the merged ones; may be repeated."""
+    merged = spark.read.option("mergeSchema", "true").parquet(f"{staging}/merged")
+    overwrite_partitions(merged, path, (partition,))
+    delete(spark, f"{staging}/merged")
+
+
+def recover(spark: SparkSession, path: str, partition: str, staging: str) -> bool:
+    """Finish an upsert that stopped while it replaced partitions; says whether there was one."""
+    pending = exists(spark, f"{staging}/merged/_SUCCESS")
+    if pending:
+        _swap(spark, path, partition, staging)
+    return pending
+
+
 def upsert_table(
     spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], partition: str, staging: str,
     check: bool = True,
@@ -48,12 +63,15 @@ def upsert_table(
     """Create a Parquet table, or upsert into it rewriting only touched partitions.
 
     ``partition`` must follow from the keys (say, the month of the date), so that
-    a matching row can only live in a partition the source names. ``staging`` is a
-    fresh folder. The source is written there first, so its plan runs once, and
-    so are the merged partitions: the swap then reads nothing of the table it
-    replaces and can be repeated if it is interrupted. ``check`` may be dropped
-    for a source that is unique by construction.
+    a matching row can only live in a partition the source names. The source is
+    written to ``staging`` first, so its plan runs once, and so are the merged
+    partitions: the swap then reads nothing of the table it replaces. A call with
+    the same ``staging`` folder first finishes the swap of one that was
+    interrupted; use one folder per table, and one writer at a time. Columns that
+    only the table or only the source has are kept, with NULL for the other.
+    ``check`` may be dropped for a source that is unique by construction.
     """
+    recover(spark, path, partition, staging)
 
     def staged(df: DataFrame, name: str) -> DataFrame:
         write_table(df, f"{staging}/{name}", (partition,))
@@ -71,11 +89,8 @@ def upsert_table(
     touched = [row[0] for row in source.select(partition).distinct().collect()]
     if not touched:
         return
-    merged = upsert(target.where(F.col(partition).isin(touched)), source, keys, check)
-    (
-        staged(merged, "merged")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
-        .parquet(path)
-    )
+    held = F.col(partition).isin([v for v in touched if v is not None])
+    if None in touched:
+        held = held | F.col(partition).isNull()
+    staged(upsert(target.where(held), source, keys, check), "merged")
+    _swap(spark, path, partition, staging)

@@ -13,17 +13,16 @@ from collections.abc import Callable
 from datetime import date, datetime
 from functools import cache
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.functions.windows import MAX_SERIES_ROWS, longest_series
 from tickframe.operators.clean import KEYS, clean, keep_latest
 from tickframe.operators.quality import RuleSet, bar_rules
-from tickframe.operators.upsert import upsert_table
+from tickframe.operators.upsert import read_if_exists, upsert_table
 from tickframe.plans import gold
 from tickframe.plans.screens import MONTH
 from tickframe.schemas import LAYER_METRICS
-from tickframe.sinks import write_table
+from tickframe.sinks import delete, overwrite_partitions, write_table
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -49,10 +48,6 @@ READS = {
     **{f"gold.{name}": FEATURES for name in FROM_DAILY},
 }
 
-# Rows from which a table is worth a directory per month.
-PARTITION_ROWS = 50_000_000
-
-
 @cache
 def _local_root() -> str:
     return tempfile.mkdtemp(prefix="run-")
@@ -66,7 +61,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         root = _local_root()
     return f"{root.rstrip('/')}/tickframe-{uuid.uuid4().hex}"
@@ -94,43 +90,67 @@ def refresh_silver(
 
     The table is kept by month of the trading day, which follows from the merge
     key, so a daily refresh rewrites the months it has bars for and no others.
-    Bars that break a rule are appended to the table at ``quarantine``.
+    Bars that break a rule go to the table at ``quarantine``, kept by landing day:
+    a refresh replaces the days it covers, so repeating it adds nothing.
     """
     landed = bronze if since is None else bronze.where(F.col("ingestion_date") >= F.lit(since))
-    upsert_table(spark, path, with_month(silver_bars(landed, exchange_tz)), KEYS, MONTH, staging, check=False)
+    rules = RuleSet(bar_rules())
+    flagged = rules.flag(clean(landed, exchange_tz))
+    write_table(flagged, f"{staging}/flagged")
+    flagged = spark.read.schema(flagged.schema).parquet(f"{staging}/flagged")
+    helpers = [r.column for r in rules.rules]
+    valid = flagged.where("is_valid").drop(*helpers, "is_valid", "failure_reasons")
+    upsert_table(spark, path, with_month(keep_latest(valid)), KEYS, MONTH, staging, check=False)
     if quarantine is not None:
-        write_table(quarantined_bars(landed, at, exchange_tz), quarantine, mode="append")
+        stamp = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
+        bad = flagged.where(~F.col("is_valid")).withColumn("quarantine_timestamp", stamp)
+        overwrite_partitions(bad, quarantine, ("ingestion_date",))
+    delete(spark, f"{staging}/flagged")
 
 
 class Lakehouse:
     """Tables derived from one bronze frame and one sector mapping.
 
-    Silver and gold tables with more than ``partition_rows`` bars are laid out by
-    month, so a screen of one day reads one month. Below that, months would only
-    make small files.
+    A table that exists below ``root`` is read as it is, unless ``rebuild`` asks
+    to derive it anew. The per-stock tables have a column ``month``; with
+    ``by_month`` they are also laid out by it, so that a screen of one day reads
+    one month: worth it from some ten million bars, below that it makes small
+    files. ``block_rows`` splits the series of the rolling windows into blocks of
+    about so many bars; a series of daily bars fits a task without that. Neither
+    changes a result. ``clock`` gives the times of the audit rows.
     """
 
     def __init__(
         self, spark: SparkSession, bronze: DataFrame, sectors: DataFrame, root: str | None = None,
-        partition_rows: int = PARTITION_ROWS, max_series_rows: int = MAX_SERIES_ROWS,
+        by_month: bool = False, block_rows: int | None = None, rebuild: bool = False,
+        clock: Callable[[], datetime] = datetime.now,
     ):
         self.spark, self._bronze, self._sectors = spark, bronze, sectors
         self.root = root or shared_folder(spark)
-        self.partition_rows, self.max_series_rows = partition_rows, max_series_rows
+        self.by_month, self.block_rows, self.rebuild, self.clock = by_month, block_rows, rebuild, clock
         self._tables: dict[str, DataFrame] = {}
-        self._longest: int | None = None
         self.rows: dict[str, int] = {}
         self._times: dict[str, tuple[datetime, datetime]] = {}
+        self._errors: dict[str, str] = {}
 
-    def written(self, name: str, plan: Callable[[], DataFrame], by_month: bool = False) -> DataFrame:
-        """The table ``name``, written on first use; its rows are counted on the way."""
+    def written(self, name: str, plan: Callable[[], DataFrame], monthly: bool = False) -> DataFrame:
+        """The table ``name``: read if it exists, else written, and counted."""
         if name not in self._tables:
-            rows = with_month(plan()) if by_month else plan()
-            path, count, start = f"{self.root}/{name}", Observation(), datetime.now()
-            write_table(rows.observe(count, F.count(F.lit(1)).alias("n")), path, (MONTH,) if by_month else ())
-            self.rows[name], self._times[name] = count.get["n"], (start, datetime.now())
-            # The schema is known, so reading back needs no look at the files.
-            self._tables[name] = self.spark.read.schema(rows.schema).parquet(path)
+            path, start = f"{self.root}/{name}", self.clock()
+            table = None if self.rebuild else read_if_exists(self.spark, path)
+            if table is None:
+                try:
+                    rows = with_month(plan()) if monthly else plan()
+                    write_table(rows, path, (MONTH,) if monthly and self.by_month else ())
+                except Exception as error:
+                    self._times[name], self._errors[name] = (start, self.clock()), str(error)
+                    raise
+                # The schema is known, so reading back needs no look at the files.
+                table = self.spark.read.schema(rows.schema).parquet(path)
+                self._times[name] = (start, self.clock())
+                self._errors.pop(name, None)
+            self.rows[name] = table.count()
+            self._tables[name] = table
         return self._tables[name]
 
     @property
@@ -143,25 +163,11 @@ class Lakehouse:
 
     @property
     def silver(self) -> DataFrame:
-        return self.written(SILVER, lambda: silver_bars(self.bronze), self._many(BRONZE, lambda: self.bronze))
+        return self.written(SILVER, lambda: silver_bars(self.bronze), monthly=True)
 
     @property
     def quarantine(self) -> DataFrame:
-        return self.written(QUARANTINE, lambda: quarantined_bars(self.bronze))
-
-    def _many(self, name: str, build: Callable[[], DataFrame]) -> bool:
-        build()
-        return self.rows[name] > self.partition_rows
-
-    @property
-    def block_rows(self) -> int | None:
-        """Block size for rolling windows, when some series is too long for a task."""
-        if self._longest is None:
-            # No series is longer than the table, whose rows are known.
-            silver = self.silver
-            short = self.rows[SILVER] <= self.max_series_rows
-            self._longest = self.rows[SILVER] if short else longest_series(silver, gold.KEY)
-        return self.max_series_rows if self._longest > self.max_series_rows else None
+        return self.written(QUARANTINE, lambda: quarantined_bars(self.bronze, self.clock()))
 
     def _features(self) -> DataFrame:
         return gold.stock_features(self.silver, self.sectors, self.block_rows)
@@ -177,10 +183,8 @@ class Lakehouse:
     def gold(self, name: str) -> DataFrame:
         """A written gold table; the per-stock tables share one."""
         if name in PER_STOCK:
-            table = self.written(FEATURES, self._features, self._many(SILVER, lambda: self.silver))
-            return table.select(*PER_STOCK[name], *[c for c in table.columns if c == MONTH])
-        by_month = name == "stock_relative_strength" and self._many(SILVER, lambda: self.silver)
-        return self.written(f"gold.{name}", lambda: self.plan(name), by_month)
+            return self.written(FEATURES, self._features, monthly=True).select(*PER_STOCK[name], MONTH)
+        return self.written(f"gold.{name}", lambda: self.plan(name), monthly=name == "stock_relative_strength")
 
     def build(self, layer: str = "all") -> None:
         """Write the tables of one layer, with those they derive from, or of all."""
@@ -193,13 +197,14 @@ class Lakehouse:
                 self.gold(name)
 
     def metrics(self, run_id: str) -> DataFrame:
-        """Audit rows of the tables written so far, from counts taken while writing."""
+        """Audit rows of the tables written so far, and of those whose writing failed."""
         rows = []
         for name, (start, end) in self._times.items():
             layer, read = name.split(".")[0], self.rows.get(READS.get(name, ""), 0)
             seconds = (end - start).total_seconds()
+            error = self._errors.get(name)
             rows.append((
-                f"{run_id}:{name}", run_id, layer, name, "INSERT", read, self.rows[name], 0, 0, 0, 0,
-                start, end, seconds, "SUCCESS", None, start.date(), end,
+                f"{run_id}:{name}", run_id, layer, name, "INSERT", read, self.rows.get(name, 0), 0, 0, 0, 0,
+                start, end, seconds, "FAILED" if error else "SUCCESS", error, start.date(), end,
             ))
         return self.spark.createDataFrame(rows, LAYER_METRICS)

@@ -71,17 +71,18 @@ def run_summary(metrics: DataFrame, *, run_name: str, run_type: str, triggered_b
         written = F.sum(F.when(F.col("layer_name") == layer, F.col("rows_written")))
         return F.coalesce(written, F.lit(0)).alias(f"{layer}_rows_in")
 
+    # Texts are aggregated apart, for failed rows only: the rest then hashes.
+    errors = metrics.where(failed).groupBy("run_id").agg(F.min("error_message").alias("error_message"))
     per_run = metrics.groupBy("run_id").agg(
         F.min("start_time").alias("start_time"),
         F.max("end_time").alias("end_time"),
         F.max(failed).alias("any_failed"),
-        F.min(F.when(failed, F.col("error_message"))).alias("error_message"),
         rows_of("bronze"),
         rows_of("silver"),
         rows_of("gold"),
         F.max("processing_date").alias("processing_date"),
         F.max("created_at").alias("created_at"),
-    )
+    ).join(errors, "run_id", "left")
     seconds = (F.unix_micros("end_time") - F.unix_micros("start_time")) / 1e6
     values = {name: F.col(name) for name in per_run.columns} | {
         "run_name": F.lit(run_name),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,15 +45,33 @@ def append_audit(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def export_daily_json(df: DataFrame, path: str, day: str = "ingestion_date") -> None:
-    """One directory of JSON per landing day, all days in one distributed job.
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
-    The directory name is a copy: the files keep the day as a field.
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _file_system(spark, path)
+    return files.exists(place)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of ours, such as a staging folder that has served."""
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
+
+
+def export_daily_json(df: DataFrame, path: str, day: str = "date") -> None:
+    """One directory of JSON per trading day, all days in one distributed job.
+
+    Days that ``df`` does not hold stay as they are. The directory name is a
+    copy: the files keep the day as a field.
     """
     (
         df.withColumn("drop_date", F.to_date(day))
         .hint("rebalance", "drop_date")
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("drop_date")
         .json(path)
     )

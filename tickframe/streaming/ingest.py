@@ -12,16 +12,25 @@ from pyspark.sql.types import StructType
 from tickframe.schemas import BAR_SCHEMA
 
 
+BATCH_BYTES = 64 << 30
+
+
 def read_landing(
     spark: SparkSession, path: str, max_files: int | None = None, schema: StructType = BAR_SCHEMA
 ) -> DataFrame:
     """Stream of landed bars. A drop is a directory, so look-up is recursive.
 
+    A batch takes at most ``max_files`` files, or BATCH_BYTES where that is not
+    given. Drops stay where they are; a landing area that should not grow takes
+    the ``cleanSource`` option of the file source.
+
     A feed that gains columns is read with a wider ``schema``: older drops give
     NULL there, and the same checkpoint and table go on.
     """
     reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
-    if max_files is not None:
+    if max_files is None:
+        reader = reader.option("maxBytesPerTrigger", BATCH_BYTES)
+    else:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.json(path).withColumn("processing_timestamp", F.current_timestamp())
 
