@@ -16,9 +16,9 @@ from pyspark.sql import functions as F  # noqa: E402
 from oracle.catalog import STATEMENTS  # noqa: E402
 from tickframe.operators import clean, dimensions, quality, upsert  # noqa: E402
 from tickframe.plans import gold, monitor, profiles, screens  # noqa: E402
-from tickframe.plans.lakehouse import Lakehouse, quarantined_bars, shared_folder, silver_bars  # noqa: E402
+from tickframe.plans.lakehouse import Lakehouse, quarantined_bars, refresh_silver, shared_folder, silver_bars  # noqa: E402
 from tickframe.schemas import BAR_COLUMNS, TICKER_CONFIG  # noqa: E402
-from tickframe.sinks import export_daily_json  # noqa: E402
+from tickframe.sinks import append_audit, append_bars, export_daily_json  # noqa: E402
 from tickframe.sources import bars, testdata  # noqa: E402
 from tickframe.streaming import ingest  # noqa: E402
 
@@ -150,6 +150,42 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/bronze")
 
 
+def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bronze in two appends by landing day, read back."""
+    path, rows = f"{shared_folder(spark)}/bars", testdata.raw_bars(spark, sf_dir)
+    append_bars(rows.where(F.col("ingestion_date") < "1999-01-01"), path)
+    append_bars(rows.where(F.col("ingestion_date") >= "1999-01-01"), path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _quarantined_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quarantine table after the same refresh has run twice."""
+    root = shared_folder(spark)
+    for _ in range(2):
+        refresh_silver(spark, lake(spark, sf_dir).bronze, f"{root}/silver", f"{root}/staging", f"{root}/bad", at=AS_OF)
+    return _reasons_as_text(spark.read.parquet(f"{root}/bad"))
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run summaries from audit rows appended in two writes."""
+    path, rows = f"{shared_folder(spark)}/metrics", testdata.layer_metrics(spark, sf_dir)
+    append_audit(rows.where("status = 'SUCCESS'"), path)
+    append_audit(rows.where("status <> 'SUCCESS'"), path)
+    return monitor.run_summary(
+        spark.read.parquet(path), run_name="daily", run_type="INCREMENTAL", triggered_by="scheduler"
+    )
+
+
+def _upserted_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three upserts, the second with a column more."""
+    silver = lake(spark, sf_dir).silver.select("ticker_standard", "date", "close", F.trunc("date", "MM").alias("month"))
+    root = shared_folder(spark)
+    early, late = F.col("date") < "1999-01-01", F.col("date") >= "1998-06-01"
+    for rows in (silver.where(early), silver.where(late).withColumn("note", F.lit("late")), silver.where(F.col("date") >= "2001-01-01")):
+        upsert.upsert_table(spark, f"{root}/t", rows, clean.KEYS, "month", f"{root}/staging")
+    return upsert.read_if_exists(spark, f"{root}/t").select("ticker_standard", "date", "close", "note")
+
+
 def _json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_folder(spark)
     _land(lake(spark, sf_dir).bronze, f"{root}/landing")
@@ -207,6 +243,10 @@ def queries() -> dict[str, Query]:
         ),
         "upsert_silver": _silver(_upserted),
         "upsert_silver_table": _upserted_table,
+        "upsert_growing_schema": _upserted_growing,
+        "bars_appended": _appended,
+        "quarantine_repeated": _quarantined_twice,
+        "audit_appended": _audited,
         # dimensions
         "dimension_maintain": _config(_maintained),
         "sector_map_bootstrap": _config(dimensions.sector_map_from_config),

@@ -377,3 +377,12 @@ STATEMENTS: dict[str, str] = {
         FROM metrics WHERE start_time >= DATE '2001-08-01' - 30 AND status = 'SUCCESS'
         GROUP BY layer_name, table_name ORDER BY avg_duration_sec DESC, layer_name, table_name LIMIT 10""",
 }
+
+# Written and read back, the rows are the same.
+STATEMENTS |= {
+    "bars_appended": STATEMENTS["bars_raw"],
+    "quarantine_repeated": STATEMENTS["quality_quarantine"],
+    "audit_appended": STATEMENTS["run_summary"],
+    "upsert_growing_schema": f"""{TO_SILVER} SELECT ticker_standard, date, close,
+        CASE WHEN date >= DATE '1998-06-01' AND date < DATE '2001-01-01' THEN 'late' END AS note FROM silver""",
+}

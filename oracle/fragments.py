@@ -57,10 +57,12 @@ raw_bars AS (
                    CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS record_id
   FROM (
     SELECT *, floor(o * (1 + l_discount - 0.05) + 0.5) AS c
-    FROM (SELECT *, floor(l_extendedprice / l_quantity * 100 + 0.5) AS o,
-                 floor(l_tax * 100 + 0.5) * 10 AS spread FROM lineitem)
+    FROM (SELECT *, floor(l_extendedprice / l_quantity * 100 + 0.5)
+                 + 100000 * CASE WHEN n_nationkey % 2 = 0 THEN days ELSE 3700 - days END AS o,
+                 floor(l_tax * 100 + 0.5) * 10 AS spread
+          FROM (SELECT *, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS days
+                FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey))
   )
-  JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
 )"""
 
 TYPED = f""",

@@ -17,11 +17,15 @@ def duck():
     return connect(SF_DIR)
 
 
+# The text operators have tests of their own.
+OURS = sorted(set(contract.queries()) - set(contract.TEXT_QUERIES))
+
+
 def test_every_query_has_an_oracle():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(OURS) <= set(contract.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", OURS)
 def test_matches_oracle(spark, duck, name):
     ours = contract.queries()[name](spark, SF_DIR).toPandas()
     theirs = duck.execute(contract.oracle_sql()[name]).df()
@@ -32,3 +36,13 @@ def test_entry(spark):
     out = contract.entry(spark)
     assert out.count() > 0
     assert "trend_signal" in out.columns
+
+
+# On one day of a small table a strict screen may find nothing; over all days it does.
+MAY_BE_EMPTY = {"screen_momentum", "screen_consistent_uptrend", "screen_breakouts"}
+
+
+@pytest.mark.parametrize("name", sorted(set(OURS) - MAY_BE_EMPTY))
+def test_oracle_has_rows(name):
+    duck = connect("/root/testdata/sf0.01")
+    assert duck.execute(f"SELECT count(*) FROM ({contract.oracle_sql()[name]})").fetchall()[0][0] > 0

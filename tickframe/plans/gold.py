@@ -226,15 +226,15 @@ def market_overview_daily(daily: DataFrame) -> DataFrame:
 
 
 def stock_relative_strength(
-    silver: DataFrame, sectors: DataFrame, slice_units: int = 5_000, prefix: int = 2
+    silver: DataFrame, sectors: DataFrame, slice_units: int = 5_000, slice_tickers: int = 1_000
 ) -> DataFrame:
     """Each stock against its sector and the market, and its rank in the sector.
 
     A sector on a day may hold very many stocks, so the rank is not taken in one
     window over them. Stocks are cut into slices that follow the rank order: the
     return in steps of ``slice_units`` ten-thousandths and, since many stocks may
-    share a round return such as zero, those exactly on a step by the first
-    letters of their ticker. One pre-aggregated pass counts and sums the slices;
+    share a round return such as zero, those exactly on a step by ranges of
+    ``slice_tickers`` tickers in alphabetic order. One pre-aggregated pass counts and sums the slices;
     from it come the sector and market means, the sector size and the number of
     stocks in better slices. The rank is that number plus the position inside
     the own slice.
@@ -243,15 +243,17 @@ def stock_relative_strength(
     exact = ret.cast(RETURN)
     # Best return first; a missing one ranks last.
     units = (-exact * 10_000).cast("long")
-    bars = with_sector(silver.select(KEY, DATE, "close", "daily_return_pct"), sectors).withColumns(
+    # One row a ticker: small beside the bars, however many share a prefix.
+    order = silver.select(KEY).distinct().withColumn("_place", F.row_number().over(Window.orderBy(KEY)))
+    bars = with_sector(silver.select(KEY, DATE, "close", "daily_return_pct").join(order, KEY), sectors).withColumns(
         {
             "_sector": F.coalesce("sector", F.lit("")),
             "_mapped": F.col("sector").isNotNull(),
             "_step": F.coalesce(F.floor(units / slice_units), F.lit(2**62)),
             "_off_step": F.coalesce(units % slice_units != 0, F.lit(False)),
         }
-    ).withColumn("_letters", F.when(~F.col("_off_step"), F.substring(KEY, 1, prefix)).otherwise(""))
-    in_order = ["_step", "_off_step", "_letters"]
+    ).withColumn("_tickers", F.when(~F.col("_off_step"), F.floor(F.col("_place") / slice_tickers)).otherwise(0))
+    in_order = ["_step", "_off_step", "_tickers"]
     slice_of = ["_sector", "_mapped", DATE, *in_order]
     in_sector = Window.partitionBy("_sector", "_mapped", DATE)
     in_market = Window.partitionBy(DATE)

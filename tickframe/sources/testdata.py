@@ -25,7 +25,11 @@ def _cents(c: Column) -> Column:
 
 
 def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One bar per line item, with planted faults, in the bronze schema."""
+    """One bar per line item, with planted faults, in the bronze schema.
+
+    Prices of every other ticker rise by a thousand a day, the others fall, so that
+    highs and lows of a year are reached.
+    """
     key = F.col("l_orderkey")
     items = (
         table(spark, sf_dir, "lineitem")
@@ -33,7 +37,11 @@ def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
             "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
             "l_extendedprice", "l_discount", "l_tax", "l_shipdate",
         )
-        .withColumn("o", _cents(F.col("l_extendedprice") / F.col("l_quantity")))
+        .join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .withColumn("days", F.datediff("l_shipdate", F.lit("1992-01-01")))
+        .withColumn("trend", F.when(F.col("n_nationkey") % 2 == 0, F.col("days")).otherwise(3700 - F.col("days")) * 100_000)
+        .withColumn("o", _cents(F.col("l_extendedprice") / F.col("l_quantity")) + F.col("trend"))
         .withColumn("c", F.floor(F.col("o") * (1 + F.col("l_discount") - 0.05) + 0.5))
         .withColumn("spread", _cents(F.col("l_tax")) * 10)
     )
@@ -42,9 +50,7 @@ def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     volume = F.when(key % 109 == 0, -5).otherwise(F.col("l_quantity") * 100)
     open_ = F.when(key % 127 == 0, 0).when(key % 101 != 0, F.col("o"))
     return (
-        items.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .select(
+        items.select(
             F.concat(F.lower("n_name"), F.lit(".ns ")).alias("ticker"),
             F.col("l_shipdate").cast("timestamp").alias("date"),
             (open_ / 100).alias("open"),
