@@ -9,8 +9,9 @@ import string
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.data import documents, prose, with_clashes
-from tickframe.llm import html_extraction, language_id, license_scan, secret_scan
+from tests.compare import connect, differences
+from tests.llm.data import documents, with_clashes
+from tickframe.llm import catalog, html_extraction, language_id, license_scan, secret_scan
 
 RULES = {
     "assign": r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -165,3 +166,9 @@ def test_anchors_lose_no_passage():
 def test_digest_of_no_spans(spark):
     none = secret_scan.find_secrets(documents(spark, [(1, None)])).select(F.sha2(secret_scan.listed(F.col("secret_spans")), 256).alias("d")).first().d
     assert none == hashlib.sha256(b"").hexdigest()
+
+
+def test_licences_equal_sql(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    theirs = connect(sf_dir).execute(catalog.ORACLE_SQL["op2_license_scan"]).df()
+    assert len(theirs) and differences(catalog.QUERIES["op2_license_scan"](spark, sf_dir).toPandas(), theirs) == []
