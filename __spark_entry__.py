@@ -23,7 +23,8 @@ from tickframe.sources import bars, testdata  # noqa: E402
 from tickframe.streaming import ingest  # noqa: E402
 
 # The text operators are an optional subpackage: without it, all other queries stay as they are.
-if importlib.util.find_spec("tickframe.llm") and importlib.util.find_spec("corpus_pipeline"):
+_package = importlib.util.find_spec("tickframe.llm")
+if _package and _package.origin and importlib.util.find_spec("corpus_pipeline"):
     from tickframe.llm.catalog import ORACLE_SQL as TEXT_STATEMENTS
     from tickframe.llm.catalog import QUERIES as TEXT_QUERIES
 
