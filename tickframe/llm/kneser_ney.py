@@ -17,7 +17,7 @@ fewer than ``LEAST_TRUSTED`` of them takes the figures of all languages.
 
 Finished probabilities go to every task where they are few, which is checked
 (``broadcast_grams``); a larger model is joined to the documents' gram counts
-instead, with the same result.
+instead, with the same result. So do up to ``BROADCAST_IDS`` trusted ids.
 
 Null and empty texts have a null perplexity and are not kept. Without trusted
 text, and so without a model, every other document is kept, with a null
@@ -43,6 +43,7 @@ ORDER, BITS = 4, 16
 QUANTILE, LEAST_TRUSTED = 0.995, 20
 HELD_OUT, PRIOR = 5, 50
 BROADCAST_GRAMS = 4_000_000
+BROADCAST_IDS = 4_000_000
 
 _BEGIN = 1
 
@@ -205,8 +206,10 @@ def judge(
         F.col(doc_id).alias("doc_id"), F.col(language).alias("lang"), F.xxhash64(doc_id, text).alias("row"), F.col(text).alias("text")
     )
     unseen = F.pmod(F.xxhash64(F.lit("held out"), "id"), F.lit(HELD_OUT)) == 0
-    learnt = trusted.where(~unseen)
-    tables = counts(rows.join(learnt, rows["doc_id"] == learnt["id"], "left_semi"))
+    learnt = written(trusted.where(~unseen))
+    # Few enough ids go to every task, which is checked, so that the texts are not shuffled for them.
+    side = F.broadcast(learnt) if learnt.count() <= BROADCAST_IDS else learnt
+    tables = counts(rows.join(side, rows["doc_id"] == side["id"], "left_semi"))
     size = tables[ORDER].count()
     seen, left = probabilities(tables) if size else ({}, {})
     if not size:
