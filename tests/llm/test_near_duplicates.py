@@ -67,6 +67,25 @@ def test_crowded_regions_take_longer_prefixes(spark):
     assert {r.doc_id: r.component_id for r in found} == {rows[k][0]: c for k, (_, c) in want.items()}
 
 
+def template_crowd(n, seed):
+    """Texts that share a template and do not link, but each with one other."""
+    rng = random.Random(seed)
+    template, rows = prose(5, 80), []
+    for k in range(n):
+        both = prose(1000 + k, 3, 10**6)
+        rows += [" ".join(template + both + prose(3000 + 2 * k + own, 9, 10**6)) for own in (0, 1)]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_overfull_regions_are_compared_whole(spark):
+    rows = template_crowd(150, 1)
+    want = groups_by_brute_force(rows, 5)
+    assert len({c for _, c in want.values()}) == 150
+    found = minhash_forest.near_duplicates(documents(spark, rows), region_pairs=5).collect()
+    assert {r.doc_id: r.component_id for r in found} == {rows[k][0]: c for k, (_, c) in want.items()}
+
+
 def test_one_of_each_keeps_a_row_of_every_group(spark):
     text = " ".join(prose(1, 50))
     rows = [(1, text), (1, text), (2, text), (None, "alone here"), (None, "alone here"), (4, None), (4, None), (5, "")]

@@ -12,11 +12,13 @@ those next to each other that agree on further min-hashes.
 The first round compares direct neighbours, confirms links on the full sets and
 joins them to components. The second round compares the classes below a common
 prefix that are still in different components: all of them where that makes at
-most ``region_pairs`` pairs, else below the next longer prefix, and ``width``
-places along the order where even the whole label leaves more. A group of
-copies is one component by then, so it costs its size times the few classes
-beside it. Two classes of similarity 0.8 share a prefix of three min-hashes in
-none of 20 trees with probability 6e-7.
+most ``region_pairs`` pairs. The classes of regions with more are compared by
+their rarest shingles instead, over all such regions at once: of two sets that
+are similar enough, the shingles beyond the number that they must have in
+common, taken from the rare end of one order for all, have one in common too. A
+group of copies is one component by then, so it costs its size times the few
+classes beside it. Two classes of similarity 0.8 share a prefix of three
+min-hashes in none of 20 trees with probability 6e-7.
 
 Candidates whose signatures agree on far fewer hashes than the similarity asks
 for (by more than five standard deviations) are not confirmed. Links themselves
@@ -43,13 +45,16 @@ from tickframe.llm.components import components
 from tickframe.llm.ordering import neighbours
 from tickframe.llm.shared import tidy, written
 
-TREES, DEPTH, LEAST_DEPTH, WIDTH = 20, 6, 3, 8
+TREES, DEPTH, LEAST_DEPTH = 20, 6, 3
 REGION_PAIRS = 20_000_000
 SHINGLE, SIMILARITY = 5, 0.8
 
 #: Bits of the map that says which texts are read for their sets.
 MAP_BITS = 1 << 24
 
+#: Shingles are counted by so many remainders of their hash, to put them in order of rarity.
+REMAINDERS = 1 << 20
+
 _HASH = np.dtype(">u2")
 
 
@@ -97,6 +102,35 @@ def _sets(shared, shingle: int):
     return sets
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of the sets fall to each remainder: at most REMAINDERS rows a task."""
+    total = np.zeros(REMAINDERS, np.int64)
+    for batch in batches:
+        _, values = cells.flat(pa.chunked_array([batch.column("shingles")]))
+        total += np.bincount(values & (REMAINDERS - 1), minlength=REMAINDERS)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["remainder", "n"])
+
+
+def _rarest(shared, percent: int):
+    """Of every set so many of its rarest shingles that two similar sets have one of them in common."""
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            begin, values = cells.flat(pa.chunked_array([batch.column("shingles")]))
+            lengths = np.diff(begin).astype(np.int64)
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            order = np.lexsort((values, counts[values & (REMAINDERS - 1)], owner))
+            # Similar sets have at least this share of the larger one in common.
+            n = lengths - (lengths * percent + 99) // 100 + 1
+            kept = order[arrays.within(lengths) < np.repeat(n, lengths)]
+            node, component = (batch.column(c).to_numpy(zero_copy_only=False)[owner[kept]] for c in ("node", "component"))
+            yield pa.RecordBatch.from_arrays([pa.array(values[kept]), pa.array(node), pa.array(component)], ["bucket", "node", "component"])
+
+    return rarest
+
+
 def _bit_map(rows: DataFrame) -> np.ndarray:
     """One bit for each remainder of a wanted row: MAP_BITS bits, however many rows there are."""
     bit = F.col("row").bitwiseAND(F.lit(MAP_BITS - 1))
@@ -208,7 +242,6 @@ def near_duplicates(
     trees: int = TREES,
     depth: int = DEPTH,
     least_depth: int = LEAST_DEPTH,
-    width: int = WIDTH,
     region_pairs: int = REGION_PAIRS,
 ) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``; ``row``, a hash of id and text, and ``first``, if that row stands for its group."""
@@ -241,30 +274,39 @@ def near_duplicates(
         """Links of classes that share a prefix but no component."""
         mixed = trees_of.withColumn("prefix", F.substring("label", 1, least_depth * _HASH.itemsize))
         lo_hi = mixed.groupBy("tree", "prefix").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        rows = written(mixed.join(lo_hi.where("lo <> hi").drop("lo", "hi"), ["tree", "prefix"]).drop("prefix"))
-        regions_of, links = None, None
-        for length in range(least_depth, depth + 1):
-            here = rows.withColumn("prefix", F.substring("label", 1, length * _HASH.itemsize))
-            sizes = here.groupBy("tree", "prefix", "component").agg(F.count("*").alias("n"))
-            regions = sizes.groupBy("tree", "prefix").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("n > most.n")
-            here = written(here.join(regions, ["tree", "prefix"]))
-            few = F.col("n") * (F.col("n") - F.col("most.n")) <= region_pairs
-            # Those outside the region's largest component look at all.
-            looks = F.when(F.col("component") != F.col("most.component"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-            own = here.where(few).select(F.xxhash64("tree", "prefix").alias("bucket"), F.explode(looks).alias("side"), "node", "component", "tree")
-            regions_of = own if regions_of is None else regions_of.unionByName(own)
-            rows = written(here.where(~few).select("node", "component", "tree", "label"))
-            if rows.isEmpty():
-                break
-        else:
-            links = confirmed(neighbours(rows, order, width, _sharing(least_depth), "a long, b long"))
+        rows = written(mixed.join(lo_hi.where("lo <> hi").drop("lo", "hi"), ["tree", "prefix"]))
+        here = in_regions(rows, ["tree", "prefix"])
+        few = F.col("n") * (F.col("n") - F.col("most.n")) <= region_pairs
+        regions_of = here.where(few).select(F.xxhash64("tree", "prefix").alias("bucket"), F.explode(looks).alias("side"), "node", "component", "tree")
+        crowded = written(here.where(~few).select("node", "component").distinct())
+        if not crowded.isEmpty():
+            alike = in_regions(rarest(crowded), ["bucket"])
+            regions_of = regions_of.unionByName(alike.select("bucket", F.explode(looks).alias("side"), "node", "component", F.lit(0).alias("tree")))
         signed_rows = written(regions_of).join(classes.select("node", "n_shingles", "row", "signature"), "node")
         signed_rows = signed_rows.select("bucket", "side", "node", "component", "tree", "n_shingles", "row", "signature")
         entry = "bucket long, side int, node long, component long, tree int, n_shingles long, row long, signature binary, x int, y int"
         meeting = written(cells.by_cell(cells.dealt(written(signed_rows), cells.BLOCK)).mapInArrow(_meeting(depth, percent, least_equal), entry))
         shipped = meeting.join(sets_of(written(meeting.select("row").distinct())), "row")
-        found = cells.by_cell(shipped).mapInArrow(_crossing(depth, percent, least_equal), "a long, b long")
-        return found if links is None else found.unionByName(links)
+        return cells.by_cell(shipped).mapInArrow(_crossing(depth, percent, least_equal), "a long, b long")
+
+    # Those outside the region's largest component look at all.
+    looks = F.when(F.col("component") != F.col("most.component"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+
+    def in_regions(rows: DataFrame, keys: list[str]) -> DataFrame:
+        """The rows of regions of more than one component, with their size and their largest component."""
+        sizes = rows.groupBy(*keys, "component").agg(F.count("*").alias("n"))
+        regions = sizes.groupBy(*keys).agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("n > most.n")
+        return written(rows.join(regions, keys))
+
+    def rarest(crowded: DataFrame) -> DataFrame:
+        """``bucket, node, component``: the classes below their rarest shingles."""
+        named = written(crowded.join(classes.select("node", "row"), "node"))
+        sets = written(named.join(sets_of(written(named.select("row").distinct())), "row").drop("row"))
+        counted = sets.select("shingles").mapInArrow(_counts, "remainder long, n long").groupBy("remainder").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros(REMAINDERS, np.int64)
+        counts[counted.column("remainder").to_numpy()] = counted.column("n").to_numpy()
+        shared = documents.sparkSession.sparkContext.broadcast(counts)
+        return written(sets.mapInArrow(_rarest(shared, percent), "bucket long, node long, component long"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """``row, shingles`` of the wanted rows."""
