@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.data import documents, prose, with_clashes
@@ -86,6 +87,16 @@ def test_overfull_regions_are_compared_whole(spark):
     assert {r.doc_id: r.component_id for r in found} == {rows[k][0]: c for k, (_, c) in want.items()}
 
 
+def test_candidates_do_not_rely_on_an_earlier_tree():
+    signature = np.arange(120, dtype=">u2").tobytes()
+    rows = pa.table({
+        "bucket": [1, 1], "x": [0, 0], "y": [0, 0], "side": [0, 1], "node": [1, 2], "component": [1, 2], "tree": [7, 7],
+        "n_shingles": [10, 10], "signature": pa.array([signature, signature], pa.binary()),
+    })
+    cell = next(minhash_forest._meeting(percent=80, least_equal=74)(rows.to_batches()))
+    assert cell.num_rows == 2
+
+
 def test_one_of_each_keeps_a_row_of_every_group(spark):
     text = " ".join(prose(1, 50))
     rows = [(1, text), (1, text), (2, text), (None, "alone here"), (None, "alone here"), (4, None), (4, None), (5, "")]

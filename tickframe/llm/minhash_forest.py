@@ -159,12 +159,9 @@ def _sharing(least_depth: int):
     return emit
 
 
-def _candidates(rows: pa.Table, depth: int, percent: int, least_equal: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Index pairs of classes in a cell that may be similar enough, and on how many hashes they agree.
-
-    A pair whose whole labels agree in an earlier tree has been compared there.
-    """
-    node, component, tree, n = (rows.column(c).to_numpy() for c in ("node", "component", "tree", "n_shingles"))
+def _candidates(rows: pa.Table, percent: int, least_equal: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs of classes in a cell that may be similar enough, and on how many hashes they agree."""
+    component, n = (rows.column(c).to_numpy() for c in ("component", "n_shingles"))
     signature = cells.fixed(rows.column("signature"), _HASH, rows.num_rows).astype(np.uint16)
     for i, j in cells.pairs(rows):
         keep = (component[i] != component[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
@@ -173,26 +170,24 @@ def _candidates(rows: pa.Table, depth: int, percent: int, least_equal: int) -> I
             a, b = i[lo : lo + 20_000], j[lo : lo + 20_000]
             same = signature[a] == signature[b]
             agree = same.sum(axis=1)
-            whole = same.reshape(len(a), -1, depth).all(axis=2)
-            earlier = whole.any(axis=1) & (whole.argmax(axis=1) < tree[a])
-            keep = (agree >= least_equal) & ~earlier
+            keep = agree >= least_equal
             yield a[keep], b[keep], agree[keep]
 
 
-def _meeting(depth: int, percent: int, least_equal: int):
+def _meeting(percent: int, least_equal: int):
     """The entries of a cell that may be similar enough to another."""
 
     def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in cells.whole_cells(batches):
             own = np.zeros(rows.num_rows, bool)
-            for i, j, _ in _candidates(rows, depth, percent, least_equal):
+            for i, j, _ in _candidates(rows, percent, least_equal):
                 own[i] = own[j] = True
             yield from rows.filter(pa.array(own)).to_batches()
 
     return meeting
 
 
-def _crossing(depth: int, percent: int, least_equal: int):
+def _crossing(percent: int, least_equal: int):
     """Links confirmed on full sets; those within what a cell has already joined are not looked for."""
 
     def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +203,7 @@ def _crossing(depth: int, percent: int, least_equal: int):
                 return x
 
             found: list[tuple[int, int]] = []
-            for i, j, agree in _candidates(rows, depth, percent, least_equal):
+            for i, j, agree in _candidates(rows, percent, least_equal):
                 for k in np.argsort(-agree, kind="stable").tolist():
                     a, b = int(i[k]), int(j[k])
                     x, y = find(int(component[a])), find(int(component[b]))
@@ -277,17 +272,17 @@ def near_duplicates(
         rows = written(mixed.join(lo_hi.where("lo <> hi").drop("lo", "hi"), ["tree", "prefix"]))
         here = in_regions(rows, ["tree", "prefix"])
         few = F.col("n") * (F.col("n") - F.col("most.n")) <= region_pairs
-        regions_of = here.where(few).select(F.xxhash64("tree", "prefix").alias("bucket"), F.explode(looks).alias("side"), "node", "component", "tree")
+        regions_of = here.where(few).select(F.xxhash64("tree", "prefix").alias("bucket"), F.explode(looks).alias("side"), "node", "component")
         crowded = written(here.where(~few).select("node", "component").distinct())
         if not crowded.isEmpty():
             alike = in_regions(rarest(crowded), ["bucket"])
-            regions_of = regions_of.unionByName(alike.select("bucket", F.explode(looks).alias("side"), "node", "component", F.lit(0).alias("tree")))
+            regions_of = regions_of.unionByName(alike.select("bucket", F.explode(looks).alias("side"), "node", "component"))
         signed_rows = written(regions_of).join(classes.select("node", "n_shingles", "row", "signature"), "node")
-        signed_rows = signed_rows.select("bucket", "side", "node", "component", "tree", "n_shingles", "row", "signature")
-        entry = "bucket long, side int, node long, component long, tree int, n_shingles long, row long, signature binary, x int, y int"
-        meeting = written(cells.by_cell(cells.dealt(written(signed_rows), cells.BLOCK)).mapInArrow(_meeting(depth, percent, least_equal), entry))
+        signed_rows = signed_rows.select("bucket", "side", "node", "component", "n_shingles", "row", "signature")
+        entry = "bucket long, side int, node long, component long, n_shingles long, row long, signature binary, x int, y int"
+        meeting = written(cells.by_cell(cells.dealt(written(signed_rows), cells.BLOCK)).mapInArrow(_meeting(percent, least_equal), entry))
         shipped = meeting.join(sets_of(written(meeting.select("row").distinct())), "row")
-        return cells.by_cell(shipped).mapInArrow(_crossing(depth, percent, least_equal), "a long, b long")
+        return cells.by_cell(shipped).mapInArrow(_crossing(percent, least_equal), "a long, b long")
 
     # Those outside the region's largest component look at all.
     looks = F.when(F.col("component") != F.col("most.component"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
