@@ -5,12 +5,15 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.data import documents, prose, with_clashes
 from tickframe.llm import catalog, decontamination, kneser_ney, mixing, suffix_array
+from tickframe.llm.ordering import neighbours
+from tickframe.llm.shared import written
 
 ITEM = "item_id long, text string"
 
@@ -117,6 +120,50 @@ def test_repeated_passages_equal_brute_force(spark):
     assert suffix_array.repeated_passages(documents(spark, [])).count() == 0
 
 
+def test_passages_that_stand_often_in_one_document(spark):
+    passage = prose(9, 60)
+    often = [w for k in range(200) for w in passage + prose(100 + k, 12, 10**6)]
+    rows = [(1, " ".join(often)), (2, " ".join(prose(1, 30) + passage + prose(2, 30)))]
+    want = passages_by_brute_force(rows, 50)
+    assert len(want[1]) == 200 * 60
+    for parts in ("3", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = defaultdict(set)
+        try:
+            for r in suffix_array.repeated_passages(documents(spark, rows)).collect():
+                got[r.doc_id] |= set(range(r.start_word, r.end_word))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert got == want
+
+
+@pytest.mark.parametrize("parts,size", [(1, 7), (4, 3), (9, 10_000)])
+def test_neighbours_of_other_runs_equal_brute_force(spark, parts, size):
+    rng = random.Random(parts)
+    rows = sorted({(rng.randrange(6), rng.randrange(10**6), rng.choice([1, 1, 1, 1, 1, 1, 2, 3])) for _ in range(400)})
+    rows = sorted({*rows, *((7, k, 1) for k in range(150)), (7, 200, 2)})
+
+    def emit(table, i, j):
+        at = table.column("at").to_numpy()
+        return pa.table({"a": pa.array(at[i], pa.int64()), "b": pa.array(at[j], pa.int64())})
+
+    want = {(k - d, k) for d in (1, 2) for k in range(d, len(rows))}
+    key = [(g, r) for g, _, r in rows]
+    for k in range(len(rows)):
+        want |= {(j, k) for j in range(k - 1, -1, -1) if key[j] != key[k] and all(x == key[k] for x in key[j + 1 : k])}
+        want |= {(k, j) for j in range(k + 1, len(rows)) if key[j] != key[k] and all(x == key[k] for x in key[k + 1 : j])}
+    before = {name: spark.conf.get(name) for name in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for name, value in zip(before, (parts, size, "false")):
+        spark.conf.set(name, str(value))
+    try:
+        df = spark.createDataFrame([(g, v, r, k) for k, (g, v, r) in enumerate(rows)], "g long, v long, r long, at long").repartition(3)
+        got = [tuple(r) for r in neighbours(written(df), ["g", "v", "r"], 2, emit, "a long, b long", ["g", "r"]).collect()]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_one_copy_of_a_passage_comes_first(spark):
     text = " ".join(prose(1, 90))
     found = suffix_array.repeated_passages(documents(spark, [(k, text) for k in range(30)])).collect()

@@ -5,8 +5,9 @@ every ``window`` consecutive ``gram``-word hashes of a document the smallest
 marks its position. Two equal passages of ``gram + window - 1`` words have a
 retained position in common. Suffixes whose first ``gram`` words stand in other
 documents as well are sorted by those and by the ``window`` words that follow,
-and once more by the words before; neighbours in either order that are of
-different documents are compared, and their match is extended to the left and
+and once more by the words before; in either order a suffix is compared with its
+neighbours and with the nearest suffix of another document on either side,
+however many of its own document lie between, and their match is extended to the left and
 right over the carried words. Matches on one diagonal of two documents that
 touch are joined. What reaches ``least_words`` is a repeated passage; a
 document's overlapping passages are reported as one.
@@ -38,7 +39,7 @@ from tickframe.llm.shared import tidy, written
 
 LEAST_WORDS = 50
 GRAM, WINDOW = 25, 26
-#: Places along either order at which suffixes are compared.
+#: Places along either order at which suffixes are compared, besides the nearest of another document.
 WIDTH = 2
 #: Bits of the map that says which anchors are looked at again.
 MAP_BITS = 1 << 26
@@ -231,8 +232,8 @@ def repeated_passages(
         .groupBy("gram", "after", "before", "row").agg(F.sort_array(F.collect_set("position")).alias("positions"))
     )
     schema = "row long, partner long, diagonal long, start long, end long"
-    pairs = neighbours(array, ["gram", "after", "before", "row"], WIDTH, _matches(gram, window), schema).unionByName(
-        neighbours(array, ["gram", "before", "after", "row"], WIDTH, _matches(gram, window), schema)
+    pairs = neighbours(array, ["gram", "after", "before", "row"], WIDTH, _matches(gram, window), schema, ["gram", "row"]).unionByName(
+        neighbours(array, ["gram", "before", "after", "row"], WIDTH, _matches(gram, window), schema, ["gram", "row"])
     )
     joined = _merged(pairs.distinct().withColumn("of", F.col("partner")), ["row", "of", "diagonal"])
     passages = joined.where(F.col("end") - F.col("start") >= least_words).select("row", "start", "end", F.col("least_partner").alias("partner"))
