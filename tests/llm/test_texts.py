@@ -124,6 +124,21 @@ def test_main_text_of_a_page(spark):
     assert html_extraction.extract_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("body,outer,inner", [
+    ('class="right-sidebar"', "", ""), ("", 'id="main" class="no-sidebar"', ""), ("", "", 'class="post tag-news"'),
+    ('class="search related has-header"', 'class="has-sidebar with-comments"', 'class="post hentry tag-search share"'),
+])
+def test_names_about_the_page_do_not_set_it_apart(body, outer, inner):
+    tree = html_extraction.grow(*html_extraction.labelled())
+    texts = ["word " * 39 + "end", "other " * 44 + "end"]
+    page = (
+        f'<html class="no-ads"><body {body}><div class="site-header">Site name here</div><div {outer}><article {inner}>'
+        f'<p>{texts[0]}</p><p>{texts[1]}</p></article></div><div class="sidebar-left">{"aside " * 30}</div>'
+        f'<div id="post-comments">{"comment " * 30}</div></body></html>'
+    )
+    assert html_extraction.main_text(page, tree) == "\n\n".join(texts)
+
+
 def test_tree_learns_its_table():
     rows, labels = html_extraction.labelled()
     assert (html_extraction.classify(html_extraction.grow(rows, labels), rows) == labels).mean() > 0.95

@@ -37,14 +37,21 @@ BLOCKS = frozenset(
 RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "select", "option", "button", "object", "canvas")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
-#: Elements, and words of a class, id or role, that mark a part as something other than the article.
+#: Elements, and names of a class, id or role, that mark a part as something other than the article.
 APART = frozenset("nav header footer aside form dialog menu fieldset".split())
 APART_WORDS = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|rail|widgets?|header|masthead|"
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|rail|widgets?|header|masthead|"
     r"footer|foot|copyright|legal|cookies?|consent|gdpr|notices?|alert|disclaimer|popup|modal|overlay|newsletter|subscri\w+|signup|"
     r"login|search|form|share|sharing|social|related|recommend\w*|trending|teasers?|tags?|pagination|pager|comments?|replies|reply|"
-    r"respond|discussion|disqus|feedback|toolbar|skip|hidden|contentinfo|complementary|navigation)(?:$|[^a-z])"
+    r"respond|discussion|disqus|feedback|toolbar|skip|hidden|contentinfo|complementary|navigation)"
 )
+#: What a name may say besides such a word: where it stands or what it holds. Others (no-sidebar, tag-news) say something about the page.
+PLACES = frozenset(
+    "site page top bottom left right primary secondary main post entry article list box bar area section container wrapper wrap inner "
+    "block group buttons button links link posts items item content text title".split()
+)
+#: Elements that hold the article whatever they are called.
+WHOLE = frozenset("html body main article".split())
 INSIDE = frozenset(("article", "main"))
 INSIDE_WORDS = re.compile(
     r"(?:^|[^a-z])(?:article|article-?body|post|post-?(?:body|content|text)|entry|entry-?content|content|main|main-?content|story|story-?body|text|body-?text)(?:$|[^a-z])"
@@ -82,6 +89,15 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
+def _is_apart(name: str) -> bool:
+    """Whether a whole name is a word that marks a part, or such words and places joined; tag-... names a page's subject."""
+    parts = [x for x in re.split(r"[^a-z]+", name) if x]
+    marks = [bool(APART_WORDS.fullmatch(x)) for x in parts]
+    if len(parts) > 1 and parts[0] in ("tag", "tags"):
+        return False
+    return any(marks) and all(m or x in PLACES for m, x in zip(marks, parts))
+
+
 def _role(tag: str, attrs: str) -> tuple[bool, bool]:
     """Whether an element holds an article, and whether it stands apart from it."""
     names, hidden = "", False
@@ -92,8 +108,8 @@ def _role(tag: str, attrs: str) -> tuple[bool, bool]:
             if key in ("class", "id", "role", "aria-label", "itemprop"):
                 names += f" {value} "
             hidden |= key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) is not None)
-    names = re.sub(r"[_\s]+", " ", names)
-    apart = hidden or tag in APART or bool(APART_WORDS.search(names))
+    named, names = names, re.sub(r"[_\s]+", " ", names)
+    apart = hidden or tag in APART or (tag not in WHOLE and any(map(_is_apart, named.split())))
     return (tag in INSIDE or bool(INSIDE_WORDS.search(names))) and not apart, apart
 
 
