@@ -178,3 +178,20 @@ def test_recall_at_the_least_cosine(spark):
         rows += [(2 * k, base.tolist()), (2 * k + 1, near_vectors(rng, base, 0.951).tolist())]
     found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert sum(r.n_links for r in found) >= 0.99 * len(rows)
+
+
+@pytest.mark.parametrize("bits", [10, 17, 23, 27, 30])
+def test_pairs_meet_at_every_number_of_bits(bits):
+    rng = np.random.default_rng(bits)
+    tables = embedding_dedup.tables_for(bits, 0.95, embedding_dedup.TABLES, embedding_dedup.PROBE_BITS)
+    unit = rng.normal(size=(2000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    model = embedding_dedup.learn(unit, bits, tables, steps=5)
+    met = 0
+    for v in unit[:400]:
+        pair = [v.tolist(), near_vectors(rng, v, 0.95).tolist()]
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(pair)], ["node", "vector"])
+        out = next(embedding_dedup._entries(model, bits, tables, embedding_dedup.PROBE_BITS)(iter([batch])))
+        bucket, side, node = (out.column(c).to_numpy() for c in ("bucket", "side", "node"))
+        met += any(np.isin(bucket[(side == 0) & (node == a)], bucket[(side == 1) & (node == b)]).any() for a, b in ((1, 2), (2, 1)))
+    assert met >= 396

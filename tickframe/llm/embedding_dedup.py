@@ -9,9 +9,10 @@ candidates; those whose whole codes agree well are ranked again with the
 original vectors, by the cosine in double precision.
 
 The rotation is learned from at most ``SAMPLE`` vectors, the first by a hash of
-their content; every vector is indexed. For random pairs of cosine 0.95 in 64
-dimensions, the least that links, the chance to meet is 0.9995; it is higher
-for closer ones. Tests measure recall against brute force.
+their content; every vector is indexed. The more bits a key has, the more tables
+there are, so that a pair at the least cosine that links meets with probability
+MEETING at every size, by a simulation of random pairs; closer ones meet more
+often. Tests measure recall against brute force and at 23 to 30 bits.
 
 Equal vectors form one class, so that copies cost nothing. A table's entries
 under one key are dealt into blocks, and pairs of blocks into cells, so no task
@@ -46,6 +47,8 @@ TABLES, LEAST_BITS, MOST_BITS, PROBE_BITS = 4, 8, 30, 4
 #: Largest share of differing bits of candidates; at cosine 0.95 a tenth is expected.
 DIFFERING = 0.32
 STEPS = 40
+#: The chance to meet that a pair at the least cosine has, and the random pairs that say how many tables that takes.
+MEETING, SIMULATED = 0.9995, 20_000
 
 _ENTRY = "bucket long, x int, y int, side int, node long, code binary, mask binary"
 
@@ -71,6 +74,21 @@ def learn(sample: np.ndarray, bits: int, tables: int, steps: int = STEPS) -> tup
     return mean, directions[:, : bits * tables]
 
 
+def tables_for(bits: int, cosine: float, tables: int, probe_bits: int) -> int:
+    """At least ``tables``; so many that random pairs of that cosine meet in one of them with probability MEETING."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(SIMULATED, bits))
+    y = cosine * x + math.sqrt(max(0.0, 1 - cosine**2)) * rng.normal(size=x.shape)
+    apart = (x > 0) != (y > 0)
+    met = np.zeros(SIMULATED, bool)
+    for own in (x, y):
+        sure = np.ones(x.shape, bool)
+        np.put_along_axis(sure, np.argsort(np.abs(own), axis=1)[:, :probe_bits], False, axis=1)
+        met |= ~(apart & sure).any(axis=1)
+    missed = min(1 - 1 / SIMULATED, 1 - met.mean())
+    return tables if missed <= 0 else max(tables, math.ceil(math.log(1 - MEETING) / math.log(missed)))
+
+
 def _entries(model: tuple, bits: int, tables: int, probe_bits: int):
     """A vector's own key in each table, and the keys it looks under: side 0 looks, side 1 stands."""
 
@@ -166,9 +184,10 @@ def _linked(most_different: int, cosine: float):
 def _linked_classes(classes: DataFrame, n: int, cosine: float, tables: int, probe_bits: int, block: int) -> DataFrame:
     """``node``, ``links`` and ``root`` for the vectors of one length; a node may have several rows."""
     bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(n, 2)))))
+    probe_bits = min(probe_bits, bits)
+    tables = tables_for(bits, cosine, tables, probe_bits)
     sample = classes.orderBy("node").limit(SAMPLE).select("vector").toArrow().column("vector")
     model = learn(cells.flat(sample)[1].reshape(len(sample), -1).astype(np.float64), bits, tables)
-    probe_bits = min(probe_bits, bits)
     most_different = int(DIFFERING * bits * tables)
 
     entries = written(classes.select("node", "vector").mapInArrow(_entries(model, bits, tables, probe_bits), "bucket long, side int, node long, code binary, mask binary"))
