@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import decontamination, embedding_dedup, html_extraction, kneser_ney, language_id, license_scan, minhash_forest, mixing, secret_scan, suffix_array
+from tickframe.llm import decontamination, embedding_dedup, html_extraction, kneser_ney, language_id, license_scan, merkle, minhash_forest, mixing, secret_scan, suffix_array
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +76,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readers of every second document, by checksum of its id, are given its text without line ends."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+
+    def leaf(text: Column) -> Column:
+        return merkle.digest(*map(F.col, ("doc_id", "source", "lang", "n_chars")), text)
+
+    claimed = F.when(tampered, leaf(F.replace(F.col("text"), F.lit("\n"), F.lit(""))))
+    return merkle.verify(table(spark, sf_dir, "documents"), leaf(F.col("text")), claimed)
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scan": op2_license_scan,
@@ -87,6 +98,10 @@ QUERIES: dict[str, Query] = {
     "op8_source_mix": op8_source_mix,
     "op9_suffix_array": op9_suffix_array,
     "op10_language_id": op10_language_id,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": license_scan.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": license_scan.oracle_sql(),
+    "op11_merkle_manifest": merkle.oracle_sql(),
+}
