@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import decontamination, embedding_dedup, html_extraction, kneser_ney, language_id, license_scan, merkle, minhash_forest, mixing, secret_scan, suffix_array
+from tickframe.llm import decontamination, embedding_dedup, html_extraction, kneser_ney, language_id, license_scan, merkle, minhash_forest, mixing, periodic_runs, secret_scan, suffix_array
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,6 +87,37 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(table(spark, sf_dir, "documents"), leaf(F.col("text")), claimed)
 
 
+def cycled(text: Column, doc_id: Column) -> Column:
+    """The text of every tenth document, by checksum of its id, with its words repeating from some word on; others as they are."""
+    checksum = F.crc32(doc_id.cast("string"))
+    words = F.regexp_extract_all(text, F.lit(f"({mixing.WORD})"), F.lit(1))
+    n, part = F.size(words), F.floor(checksum / 10)
+    begin = (part % n).cast("int")
+    period = (1 + F.floor((n - begin) / (3 + part % 8))).cast("int")
+    times = F.ceil((n - begin) / period).cast("int")
+    cycle = F.flatten(F.array_repeat(F.slice(words, begin + 1, period), times))
+    changed = F.array_join(F.concat(F.slice(words, F.lit(1), begin), F.slice(cycle, F.lit(1), n - begin)), " ")
+    return F.when((checksum % 10 == 0) & text.rlike(mixing.WORD), changed).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = periodic_runs.find_runs(documents.select("doc_id", cycled(F.col("text"), F.col("doc_id")).alias("text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("longest"), listed.alias("listed"), "collapsed").select(
+        "doc_id",
+        "n_runs",
+        (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"),
+        F.expr("1000 * longest.length div -longest.period").alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scan": op2_license_scan,
@@ -99,6 +130,7 @@ QUERIES: dict[str, Query] = {
     "op9_suffix_array": op9_suffix_array,
     "op10_language_id": op10_language_id,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
