@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import decontamination, embedding_dedup, html_extraction, kneser_ney, language_id, license_scan, merkle, minhash_forest, mixing, periodic_runs, secret_scan, suffix_array
+from tickframe.llm import decontamination, embedding_dedup, html_extraction, kneser_ney, language_id, license_scan, merkle, minhash_forest, mixing, periodic_runs, secret_scan, suffix_array, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,6 +87,19 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(table(spark, sf_dir, "documents"), leaf(F.col("text")), claimed)
 
 
+# The rules that the contract gives.
+URL_RULES = (
+    url_filter.Rule(url_filter.BLOCK, "net", "/"),
+    url_filter.Rule(url_filter.ALLOW, "example.net", "/en/"),
+    url_filter.Rule(url_filter.BLOCK, "example.com", "/de/"),
+    url_filter.Rule(url_filter.ALLOW, "org", "/fr/"),
+)
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def cycled(text: Column, doc_id: Column) -> Column:
     """The text of every tenth document, by checksum of its id, with its words repeating from some word on; others as they are."""
     checksum = F.crc32(doc_id.cast("string"))
@@ -130,10 +143,12 @@ QUERIES: dict[str, Query] = {
     "op9_suffix_array": op9_suffix_array,
     "op10_language_id": op10_language_id,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_url_filter": op12_url_filter,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": license_scan.oracle_sql(),
     "op11_merkle_manifest": merkle.oracle_sql(),
+    "op12_url_filter": url_filter.oracle_sql(URL_RULES),
 }
