@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib.util
 import os
 import sys
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -17,7 +18,7 @@ from oracle.catalog import STATEMENTS  # noqa: E402
 from tickframe.operators import clean, dimensions, quality, upsert  # noqa: E402
 from tickframe.plans import gold, monitor, profiles, screens  # noqa: E402
 from tickframe.plans.lakehouse import Lakehouse, quarantined_bars, refresh_silver, shared_folder, silver_bars  # noqa: E402
-from tickframe.schemas import BAR_COLUMNS, TICKER_CONFIG  # noqa: E402
+from tickframe.schemas import BAR_COLUMNS, TICKER_CONFIG, create_tables  # noqa: E402
 from tickframe.sinks import append_audit, append_bars, export_daily_json  # noqa: E402
 from tickframe.sources import bars, testdata  # noqa: E402
 from tickframe.streaming import ingest  # noqa: E402
@@ -42,6 +43,7 @@ RULES = quality.bar_rules
 AS_OF = datetime(2001, 11, 5)
 MONITOR_DAY = date(2001, 8, 1)
 CHECKS_DAY = date(2024, 1, 31)
+LATE_MONTH = date(1999, 3, 1)
 
 _lakes: dict[tuple[str, str], Lakehouse] = {}
 
@@ -131,9 +133,9 @@ def _upserted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _maintained(config: DataFrame) -> DataFrame:
     at = datetime(2024, 6, 1)
-    new = [(51, "NEWCO.NS", "NEWCO", "Co NEWCO", "AFRICA", True, at.date(), at)]
+    new = [(0, "NEWCO.NS", "NEWCO", "Co NEWCO", "AFRICA", True, at.date(), at)]
     rows = config.sparkSession.createDataFrame(new, TICKER_CONFIG)
-    return dimensions.add_tickers(dimensions.deactivate(config, "NATION_3.NS", at), rows)
+    return dimensions.add_tickers(dimensions.deactivate(config, "SUP3.NS", at), rows)
 
 
 def _land(bronze: DataFrame, landing: str) -> None:
@@ -151,6 +153,53 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/bronze")
 
 
+def _stream_audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit rows of two runs of the stream, an export each."""
+    root, rows = shared_folder(spark), lake(spark, sf_dir).bronze.select(*BAR_COLUMNS)
+    audit, early = f"{root}/metrics", F.col("date") < "2000-01-01"
+    for run_id, part in (("run-1", rows.where(early)), ("run-2", rows.where(~early))):
+        export_daily_json(part, f"{root}/landing")
+        done = ingest.ingest_available(spark, f"{root}/landing", f"{root}/bronze", f"{root}/checkpoint")
+        append_audit(monitor.ingest_profile(spark, done, run_id=run_id, layer="bronze", table="bronze.stock_prices_stream"), audit)
+    return spark.read.parquet(audit).select(
+        "metric_id", "run_id", "layer_name", "table_name", "operation", "rows_read", "rows_written", (F.col("bytes_written") > 0).alias("has_bytes"), "status"
+    )
+
+
+def _stream_unexpected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed with lines that are cut off, and with a column more from the second export on: bars, then the quarantined lines."""
+    root, rows = shared_folder(spark), lake(spark, sf_dir).bronze.select(*BAR_COLUMNS)
+    early = F.col("date") < "2000-01-01"
+    cut_off = F.concat(F.lit('{"ticker": "'), "ticker", F.lit('", "volume": '), F.col("volume").cast("string"))
+    wider = rows.where(~early).withColumn("turnover", F.round(F.col("close") * F.col("volume"), 2))
+    for part in (rows.where(early), wider):
+        export_daily_json(part, f"{root}/landing")
+        rows.where("volume % 700 = 0").select(cut_off.alias("value")).write.mode("append").text(f"{root}/landing/broken")
+        schema = ingest.grown_schema(spark, f"{root}/landing", f"{root}/schemas")
+        ingest.ingest_available(
+            spark, f"{root}/landing", f"{root}/bronze", f"{root}/checkpoint", schema=schema, quarantine=f"{root}/bad"
+        )
+    good = spark.read.option("mergeSchema", "true").parquet(f"{root}/bronze").select("ticker", "date", "close", "turnover")
+    bad = spark.read.parquet(f"{root}/bad").select(F.col(ingest.CORRUPT).alias("line"))
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
+def _created_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declared audit tables, created and filled with the runs and metrics; run summaries read from them."""
+    database = f"audit_{uuid.uuid4().hex}"
+    create_tables(spark, database)
+    for name, rows in (("pipeline_runs", testdata.pipeline_runs), ("layer_metrics", testdata.layer_metrics)):
+        target = spark.table(f"{database}.{name}")
+        # By year: a folder each, and not one a day.
+        filled = rows(spark, sf_dir).withColumn("processing_date", F.trunc("processing_date", "YYYY")).select(*target.columns)
+        filled.hint("rebalance", "processing_date").write.insertInto(f"{database}.{name}")
+    runs, metrics = spark.table(f"{database}.pipeline_runs"), spark.table(f"{database}.layer_metrics")
+    return (
+        runs.groupBy("processing_date").agg(F.count("*").alias("runs"))
+        .join(metrics.groupBy("processing_date").agg(F.count("*").alias("metrics"), F.sum("rows_written").alias("rows_written")), "processing_date", "full")
+    )
+
+
 def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bronze in two appends by landing day, read back."""
     path, rows = f"{shared_folder(spark)}/bars", testdata.raw_bars(spark, sf_dir)
@@ -187,6 +236,21 @@ def _upserted_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.read_if_exists(spark, f"{root}/t").select("ticker_standard", "date", "close", "note")
 
 
+def _refreshed(spark: SparkSession, sf_dir: str) -> Lakehouse:
+    """A lake built without the bars of one month, then refreshed with them."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir} refreshed")
+    if key not in _lakes:
+        rows, late = testdata.raw_bars(spark, sf_dir), F.col("ingestion_date") == F.lit(LATE_MONTH)
+        tables = Lakehouse(spark, rows.where(~late), testdata.sector_map(spark, sf_dir), by_month=True)
+        tables.refresh(rows.where(late))
+        _lakes[key] = tables
+    return _lakes[key]
+
+
+def _refreshed_gold(name: str) -> Query:
+    return lambda spark, sf_dir: _refreshed(spark, sf_dir).gold(name).drop("month")
+
+
 def _json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_folder(spark)
     _land(lake(spark, sf_dir).bronze, f"{root}/landing")
@@ -224,13 +288,16 @@ def queries() -> dict[str, Query]:
         "ingest_date_range": _bronze(lambda df: bars.in_range(df, *bars.backfill_range(MONITOR_DAY))),
         "universe_active": _config(bars.universe),
         "bars_of_universe": lambda spark, sf_dir: bars.restrict_to_universe(
-            lake(spark, sf_dir).bronze, testdata.ticker_config(spark, sf_dir)
-        ),
+            lake(spark, sf_dir).landed, testdata.ticker_config(spark, sf_dir)
+        ).drop(bars.BUCKET),
         "daily_json_roundtrip": _json_roundtrip,
         "stream_ingest": lambda spark, sf_dir: _streamed(spark, sf_dir).select(*BAR_COLUMNS),
         "stream_vs_batch": lambda spark, sf_dir: profiles.stream_vs_batch(
             _streamed(spark, sf_dir), lake(spark, sf_dir).bronze
         ),
+        "stream_audit": _stream_audited,
+        "stream_unexpected": _stream_unexpected,
+        "tables_created": _created_tables,
         # silver
         "clean_typed": _typed(lambda df: df),
         "quality_flags": _typed(lambda df: _reasons_as_text(quality.RuleSet(RULES()).flag(df))),
@@ -258,6 +325,7 @@ def queries() -> dict[str, Query]:
         "sector_join_inner": _mapped(profiles.sector_analytics),
         # gold
         **{name: _gold_plan(name) for name in (DAILY, SECTOR, MOVERS, OVERVIEW, MULTITIME, STRENGTH, TECHNICAL)},
+        **{f"{name}_refreshed": _refreshed_gold(name) for name in (DAILY, SECTOR, MOVERS, OVERVIEW, MULTITIME, STRENGTH, TECHNICAL)},
         "sector_daily_reduced": _gold(SECTOR, gold.sector_daily_reduced),
         "gainers_reduced": _gold(MOVERS, gold.gainers_reduced),
         # screens
@@ -276,10 +344,10 @@ def queries() -> dict[str, Query]:
         **_screens("screen_sector_heatmap", SECTOR, screens.sector_heatmap),
         **_screens("screen_movers", MOVERS, screens.movers),
         **_screens("screen_gainers_alert", MOVERS, screens.gainers_alert),
-        "screen_recent_for_ticker": _gold(DAILY, lambda df: screens.recent_for_ticker(df, "NATION_3")),
+        "screen_recent_for_ticker": _gold(DAILY, lambda df: screens.recent_for_ticker(df, "SUP3")),
         "screen_market_recent": _gold(OVERVIEW, screens.market_recent),
         "screen_market_scorecard": _gold(OVERVIEW, screens.market_scorecard),
-        "screen_recent_bars": _silver(lambda df: screens.recent_bars(df, "NATION_3", MONITOR_DAY)),
+        "screen_recent_bars": _silver(lambda df: screens.recent_bars(df, "SUP3", MONITOR_DAY)),
         # profiles
         "profile_bronze_per_ticker": _bronze(profiles.per_ticker),
         "profile_silver_per_ticker": _silver(profiles.per_ticker_with_means),

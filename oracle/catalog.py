@@ -266,10 +266,10 @@ STATEMENTS: dict[str, str] = {
     "upsert_silver": TO_SILVER + _UPSERT,
     "upsert_silver_table": TO_SILVER + _UPSERT,
     "dimension_maintain": f"""{DIMS} SELECT ticker_id, ticker_symbol, ticker_clean, company_name, sector,
-        CASE WHEN ticker_symbol = 'NATION_3.NS' THEN false ELSE is_active END AS is_active, added_date,
-        CASE WHEN ticker_symbol = 'NATION_3.NS' THEN TIMESTAMP '2024-06-01' ELSE last_updated END AS last_updated
+        CASE WHEN ticker_symbol = 'SUP3.NS' THEN false ELSE is_active END AS is_active, added_date,
+        CASE WHEN ticker_symbol = 'SUP3.NS' THEN TIMESTAMP '2024-06-01' ELSE last_updated END AS last_updated
         FROM ticker_config
-        UNION ALL SELECT 51, 'NEWCO.NS', 'NEWCO', 'Co NEWCO', 'AFRICA', true, DATE '2024-06-01', TIMESTAMP '2024-06-01'""",
+        UNION ALL SELECT 0, 'NEWCO.NS', 'NEWCO', 'Co NEWCO', 'AFRICA', true, DATE '2024-06-01', TIMESTAMP '2024-06-01'""",
     "sector_map_bootstrap": f"""{DIMS} SELECT DISTINCT ticker_clean AS ticker_standard, sector FROM ticker_config
         WHERE is_active""",
     "unmapped_tickers": f"""{TO_SILVER} SELECT DISTINCT ticker_standard FROM silver
@@ -297,7 +297,7 @@ STATEMENTS: dict[str, str] = {
     "screen_top_per_sector_daily": f"""{TO_SILVER + STRENGTH}
         SELECT date, sector, ticker_standard, percentile_in_sector, relative_strength_label FROM strength
         QUALIFY {_PER_SECTOR}""",
-    "screen_recent_for_ticker": f"""{TO_DAILY} SELECT * FROM daily WHERE ticker_standard = 'NATION_3'
+    "screen_recent_for_ticker": f"""{TO_DAILY} SELECT * FROM daily WHERE ticker_standard = 'SUP3'
         ORDER BY date DESC LIMIT 5""",
     "screen_market_recent": f"""{TO_DAILY + OVERVIEW} SELECT date, total_stocks, market_avg_return_pct,
         market_volatility, advancing_stocks, declining_stocks, advance_decline_ratio, market_sentiment,
@@ -306,7 +306,7 @@ STATEMENTS: dict[str, str] = {
         market_sentiment FROM overview ORDER BY date DESC LIMIT 1""",
     "screen_recent_bars": f"""{TO_SILVER} SELECT ticker_standard, date, open, high, low, close, volume,
         daily_return_pct, price_range, is_trading_day FROM silver
-        WHERE ticker_standard = 'NATION_3' AND date >= DATE '2001-08-01' - 30 ORDER BY date DESC LIMIT 20""",
+        WHERE ticker_standard = 'SUP3' AND date >= DATE '2001-08-01' - 30 ORDER BY date DESC LIMIT 20""",
     "profile_bronze_per_ticker": f"""{BRONZE} SELECT ticker, count(*) AS record_count, min(date) AS earliest_date,
         max(date) AS latest_date FROM raw_bars GROUP BY ticker""",
     "profile_silver_per_ticker": f"""{TO_SILVER} SELECT ticker, count(*) AS record_count, min(date) AS earliest_date,
@@ -379,7 +379,31 @@ STATEMENTS: dict[str, str] = {
 }
 
 # Written and read back, the rows are the same.
+def _ingested(run_id: str, when: str) -> str:
+    name = "bronze.stock_prices_stream"
+    return f"""SELECT '{run_id}:{name}:APPEND' AS metric_id, '{run_id}' AS run_id, 'bronze' AS layer_name, '{name}' AS table_name, 'APPEND' AS operation,
+        count(*) AS rows_read, count(*) AS rows_written, true AS has_bytes, 'SUCCESS' AS status FROM raw_bars WHERE {when}"""
+
+
+_CUT_OFF = "'{\"ticker\": \"' || ticker || '\", \"volume\": ' || volume AS line FROM raw_bars WHERE volume % 700 = 0"
+
 STATEMENTS |= {
+    "stream_audit": f"{BRONZE} {_ingested('run-1', early := 'date < DATE ' + repr('2000-01-01'))} UNION ALL {_ingested('run-2', f'NOT {early}')}",
+    "stream_unexpected": f"""{BRONZE} SELECT ticker, date, close,
+        CASE WHEN date >= DATE '2000-01-01' THEN {rnd('(close * volume)', 2)} END AS turnover, NULL AS line FROM raw_bars
+        UNION ALL SELECT NULL, NULL, NULL, NULL, {_CUT_OFF} UNION ALL SELECT NULL, NULL, NULL, NULL, {_CUT_OFF}""",
+    "tables_created": f"""WITH {RUNS}, {METRICS} SELECT processing_date, runs, metrics, rows_written FROM
+        (SELECT CAST(date_trunc('year', processing_date) AS DATE) AS processing_date, count(*) AS runs FROM runs GROUP BY 1)
+        FULL JOIN (SELECT CAST(date_trunc('year', processing_date) AS DATE) AS processing_date, count(*) AS metrics,
+            CAST(sum(rows_written) AS BIGINT) AS rows_written FROM metrics GROUP BY 1) USING (processing_date)""",
+    # Tables that were refreshed with one month's bars equal those of all bars.
+    **{
+        f"{name}_refreshed": STATEMENTS[name]
+        for name in (
+            "stock_daily_metrics", "sector_daily_metrics", "top_movers_daily", "market_overview_daily",
+            "stock_multitime_performance", "stock_relative_strength", "stock_technical_levels",
+        )
+    },
     "bars_appended": STATEMENTS["bars_raw"],
     "quarantine_repeated": STATEMENTS["quality_quarantine"],
     "audit_appended": STATEMENTS["run_summary"],

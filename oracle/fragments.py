@@ -43,7 +43,7 @@ def rows(n: int, key: str = "ticker_standard") -> str:
 
 RAW_BARS = """
 raw_bars AS (
-  SELECT lower(n_name) || '.ns ' AS ticker,
+  SELECT 'sup' || l_suppkey || '.ns ' AS ticker,
          l_shipdate AS date,
          CASE WHEN l_orderkey % 127 = 0 THEN 0 WHEN l_orderkey % 101 = 0 THEN NULL ELSE o END / 100e0 AS open,
          (CASE WHEN l_orderkey % 107 = 0 THEN greatest(o, c) - 500 ELSE greatest(o, c) + spread END) / 100e0 AS high,
@@ -58,10 +58,10 @@ raw_bars AS (
   FROM (
     SELECT *, floor(o * (1 + l_discount - 0.05) + 0.5) AS c
     FROM (SELECT *, floor(l_extendedprice / l_quantity * 100 + 0.5)
-                 + 100000 * CASE WHEN n_nationkey % 2 = 0 THEN days ELSE 3700 - days END AS o,
+                 + 100000 * CASE WHEN l_suppkey % 2 = 0 THEN days ELSE 3700 - days END AS o,
                  floor(l_tax * 100 + 0.5) * 10 AS spread
           FROM (SELECT *, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS days
-                FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey))
+                FROM lineitem))
   )
 )"""
 
@@ -118,14 +118,14 @@ silver AS (
 
 DIMENSIONS = """
 ticker_config AS (
-  SELECT CAST(n_nationkey + 1 AS INTEGER) AS ticker_id, n_name || '.NS' AS ticker_symbol, n_name AS ticker_clean,
-         'Co ' || n_name AS company_name, r_name AS sector, n_nationkey % 7 <> 6 AS is_active,
-         DATE '2024-01-01' AS added_date, TIMESTAMP '2024-01-01' AS last_updated
-  FROM nation JOIN region ON n_regionkey = r_regionkey
+  SELECT CAST(s_suppkey + 1 AS INTEGER) AS ticker_id, 'SUP' || s_suppkey || '.NS' AS ticker_symbol,
+         'SUP' || s_suppkey AS ticker_clean, 'Co SUP' || s_suppkey AS company_name, r_name AS sector,
+         s_suppkey % 7 <> 6 AS is_active, DATE '2024-01-01' AS added_date, TIMESTAMP '2024-01-01' AS last_updated
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 ),
 sector_map AS (
-  SELECT n_name AS ticker_standard, r_name AS sector
-  FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey <> 24
+  SELECT 'SUP' || s_suppkey AS ticker_standard, r_name AS sector
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 9 <> 8
 )"""
 
 BRONZE = "WITH" + RAW_BARS

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tests.compare import differences
 from tests.helpers import START, rows_by, sectors, silver
+from tickframe.operators.numbering import numbered
 from tickframe.plans import gold
+from tickframe.staging import stored
 
 
 def one_day(spark, returns: dict[str, float | None]):
@@ -73,13 +75,12 @@ def test_relative_strength_ranks_and_unmapped_sector(spark):
     assert got["X"].sector_return_pct is None and got["X"].outperformance_vs_market_pct == 5.0
 
 
-@pytest.mark.parametrize("slice_units, slice_tickers", [(1, 1), (100, 2), (500_000, 1000)])
-def test_sliced_rank_equals_one_window(spark, slice_units, slice_tickers):
-    """A hot sector with many tied returns: slices must not change the rank."""
+def test_numbered_rank_equals_one_window(spark):
+    """A hot sector with many tied returns over many ranges."""
     rnd = random.Random(5)
     returns = {f"{rnd.choice('ABC')}{i:04d}": rnd.choice([0.0, None, 0.37, round(rnd.uniform(-9, 9), 4), round(rnd.uniform(-1, 1), 2)]) for i in range(600)}
     df, dim = one_day(spark, returns), sectors(spark, {t: "HOT" if i % 3 else "COLD" for i, t in enumerate(returns)})
-    got = gold.stock_relative_strength(df, dim, slice_units, slice_tickers).select("ticker_standard", "rank_in_sector")
+    got = gold.stock_relative_strength(df, dim).select("ticker_standard", "rank_in_sector")
     expected = df.join(dim, "ticker_standard").selectExpr(
         "ticker_standard",
         "row_number() OVER (PARTITION BY sector, date ORDER BY daily_return_pct DESC NULLS LAST, ticker_standard) AS rank_in_sector",
@@ -87,6 +88,22 @@ def test_sliced_rank_equals_one_window(spark, slice_units, slice_tickers):
     assert differences(got.toPandas(), expected.toPandas()) == []
 
 
+def test_no_task_orders_all_tickers(spark):
+    """The one window without a key is over the sizes of ranges, not over bars or tickers."""
+    df, dim = one_day(spark, {"A": 1.0, "B": 2.0}), sectors(spark, {"A": "S"})
+    plan = gold.stock_relative_strength(df, dim)._jdf.queryExecution().executedPlan().toString()
+    alone = plan.split("Exchange SinglePartition")[1:]
+    assert alone and all("ReadSchema: struct<_part:int>" in below.split("FileScan")[1] for below in alone)
+
+
+def test_rows_are_numbered_over_all_ranges(spark):
+    rows = [(rnd, k) for k, rnd in enumerate(random.Random(3).choices([None, 1, 2, 2, 5, 9], k=500))]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(7)
+    got = {(r.a, r.b): r.n for r in numbered(df, ["a", "b"], "n", stored).collect()}
+    assert [got[x] for x in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))] == list(range(500))
+    assert numbered(df.limit(0), ["a", "b"], "n", stored).count() == 0
+
+
 def test_technical_flags(spark):
     closes = [100.0] * 25 + [150.0]
     df = silver(spark, {"A": closes}).withColumn(

@@ -5,10 +5,12 @@ import statistics
 from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import differences
 from tests.helpers import sectors, silver
-from tickframe.functions.windows import BLOCK, IS_HALO, split_series
+
+from tickframe.functions.windows import BLOCK, IS_HALO, Series, split_series
 from tickframe.plans import gold
 
 
@@ -57,6 +59,34 @@ def test_blocks_give_the_same_tables(spark, block_rows):
     assert differences(blocks.toPandas(), whole.toPandas()) == []
 
 
+@pytest.mark.parametrize("frames", [range(2, 40), [63, 64, 65, 127, 252, 256, 500, 999, 1000]])
+def test_extremes_of_any_frame_equal_plain_python(spark, frames):
+    rnd = random.Random(1)
+    values = {"A": [rnd.choice([None, round(rnd.uniform(0, 9), 2)]) for _ in range(1100)], "B": [3.0]}
+    rows = [(t, i, v) for t, vs in values.items() for i, v in enumerate(vs)]
+    s = Series(["k"], "i")
+    wanted = {f"{name}{n}": ("v", pick, n) for n in frames for name, pick in (("high", F.greatest), ("low", F.least))}
+    out = s.extremes(spark.createDataFrame(rows, "k string, i int, v double"), wanted)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("Sort [") == 1
+    for r in out.collect():
+        for n in frames:
+            frame = [v for v in values[r.k][max(0, r.i - n + 1) : r.i + 1] if v is not None]
+            assert (r[f"high{n}"], r[f"low{n}"]) == (max(frame, default=None), min(frame, default=None))
+
+
+def test_deviations_equal_plain_python(spark):
+    rnd = random.Random(2)
+    values = {"A": [rnd.choice([None, round(rnd.uniform(-1e11, 1e11), 4), 0.0001]) for _ in range(200)], "B": [5.5] * 30, "C": [1e12 - 1, 1e12], "D": [2.0]}
+    rows = [(t, i, v) for t, vs in values.items() for i, v in enumerate(vs)]
+    s = Series(["k"], "i")
+    out = spark.createDataFrame(rows, "k string, i int, v double").withColumns(s.squares("x", "v"))
+    for r in out.withColumns({f"d{n}": s.deviation("x", n) for n in (2, 7, 90)}).collect():
+        for n in (2, 7, 90):
+            frame = [Decimal(repr(v)).quantize(Decimal("0.0001")) for v in values[r.k][max(0, r.i - n + 1) : r.i + 1] if v is not None]
+            assert r[f"d{n}"] == (pytest.approx(float(statistics.stdev(frame)), rel=1e-12) if len(frame) > 1 else None)
+
+
 def test_split_keeps_every_row_once_and_bounds_the_blocks(spark):
     df = silver(spark, {"A": series(1000, 1)})
     parts = split_series(df, "ticker_standard", "date", lookback=30, block_rows=100)

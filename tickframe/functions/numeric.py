@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 # Adjusted prices carry many decimals; returns are rounded to four.
 PRICE, RETURN, COUNT = "decimal(24,8)", "decimal(18,4)", "decimal(18,0)"
+# Squares of values with four decimals, and their sums; one digit is left for a difference.
+SQUARE = "decimal(37,8)"
 
 
 def col(c: Column | str) -> Column:

@@ -3,8 +3,8 @@
 All windows over a series share one partitioning and one ordering, so Catalyst
 shuffles and sorts a series once however many columns are derived from it.
 
-Sums and means roll in constant time per row: a running total minus the
-running total ``n`` rows back. Decimals keep that difference exact.
+Sums, means and deviations roll in constant time per row: a running total minus
+the running total ``n`` rows back. Decimals keep that difference exact.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.functions.numeric import PRICE, col, ratio
+from tickframe.functions.numeric import PRICE, RETURN, SQUARE, col, ratio
 
 BLOCK, IS_HALO = "_block", "_is_halo"
 
@@ -34,22 +34,49 @@ class Series:
     def lag(self, c, n: int) -> Column:
         return F.lag(col(c), n).over(self.ordered)
 
-    def max(self, c, n: int) -> Column:
-        return F.max(col(c)).over(self.frame(n))
+    def extremes(self, rows: DataFrame, wanted: dict[str, tuple[str, Callable[..., Column], int]]) -> DataFrame:
+        """``rows`` with ``{name: (column, F.greatest or F.least, n)}``: the extreme of the last ``n`` rows.
 
-    def min(self, c, n: int) -> Column:
-        return F.min(col(c)).over(self.frame(n))
+        Frames double: the extreme of 2k rows is that of k rows, and the same k rows back. Overlapping frames do not
+        change an extreme, so two of the largest power of two that fits cover any frame. A frame of n rows takes log n
+        look-backs whatever its size, in the order the series is in; frames of one column share them.
+        """
+        widest = max(n for _, _, n in wanted.values())
+        names = {(c, pick): f"_{'high' if pick is F.greatest else 'low'}_{c}" for c, pick, _ in wanted.values()}
+        rows = rows.withColumns({name: F.col(c) for (c, _), name in names.items()})
+        size = 1
+        while True:
+            done = {into: (names[c, pick], pick, n - size) for into, (c, pick, n) in wanted.items() if size <= n < 2 * size}
+            if done:
+                rows = rows.withColumns({into: pick(name, self.lag(name, k)) if k else F.col(name) for into, (name, pick, k) in done.items()})
+            if 2 * size > widest:
+                return rows.drop(*names.values())
+            rows = rows.withColumns({name: pick(name, self.lag(name, size)) for (_, pick), name in names.items()})
+            size *= 2
+
+    def squares(self, name: str, c) -> dict[str, Column]:
+        """Running totals for ``deviation``: of the values, to four decimals, of their squares, and how many.
+
+        A value may be up to 1e12 in size and a series a million rows long; the totals are exact then.
+        """
+        value = col(c).cast(RETURN)
+        over = self.running()
+        return {
+            f"{name}_values": F.sum(value).over(over),
+            f"{name}_squares": F.sum((value * value).cast(SQUARE)).over(over).cast(SQUARE),
+            f"{name}_count": F.count(value).over(over),
+        }
 
-    def widen(self, c: str, have: int, n: int, pick: Callable[..., Column]) -> Column:
-        """Extreme of the last ``n`` rows from that of the last ``have`` rows.
+    def deviation(self, name: str, n: int) -> Column:
+        """Sample standard deviation of the last ``n`` rows of a column prepared with ``squares``; NULL for fewer than two values.
 
-        Overlapping frames do not change a maximum or minimum, so a few shifted
-        copies of the short one cover the long frame without scanning it.
+        The cost of a row does not depend on ``n``, which may be up to 999; the squares of a frame may sum up to 1e26.
         """
-        return pick(c, *[self.lag(c, k) for k in (*range(have, n - have, have), n - have)])
-
-    def stddev(self, c, n: int) -> Column:
-        return F.stddev(col(c)).over(self.frame(n))
+        count = self.rolled(f"{name}_count", n)
+        total = self.rolled(f"{name}_values", n).cast(RETURN)
+        squares = self.rolled(f"{name}_squares", n).cast("decimal(34,8)")
+        spread = (count.cast("decimal(3,0)") * squares).cast(SQUARE) - (total * total).cast(SQUARE)
+        return F.when(count > 1, F.sqrt(spread.cast("double") / (count * (count - 1)).cast("double")))
 
     def totals(self, name: str, c, dtype: str = PRICE) -> dict[str, Column]:
         """Running total and count under ``<name>_total`` and ``<name>_seen``."""

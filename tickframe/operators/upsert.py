@@ -32,7 +32,13 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], check: boo
 
 
 def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at ``path`` with all columns it ever had, or None where no row has been written yet."""
+    """The table at ``path`` with all columns it ever had, or None where no write has been completed or no row written yet.
+
+    A write that stopped between its files leaves no mark of success, so it does not pass for a table; the file stream
+    keeps a log of its own instead.
+    """
+    if not any(exists(spark, f"{path}/{mark}") for mark in ("_SUCCESS", "_spark_metadata")):
+        return None
     try:
         return spark.read.option("mergeSchema", "true").parquet(path)
     except AnalysisException as error:

@@ -6,12 +6,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.functions.numeric import COUNT, RETURN, count_where, difference, mean, mean_count, pct_over, ratio
 from tickframe.functions.windows import Series, over_series, top_per_group
 from tickframe.operators.dimensions import with_sector
+from tickframe.operators.numbering import numbered
+from tickframe.staging import stored
 
 KEY, DATE = "ticker_standard", "date"
 
@@ -61,26 +65,33 @@ def stock_features(silver: DataFrame, sectors: DataFrame, block_rows: int | None
     close, ret = F.col("close"), F.col("daily_return_pct")
 
     def build(rows: DataFrame, s: Series) -> DataFrame:
-        return rows.withColumns(
+        summed = rows.withColumns(
             {
                 **s.totals("close", "close"),
                 **s.totals("volume", "volume", COUNT),
+                **s.squares("price", "close"),
+                **s.squares("return", "daily_return_pct"),
                 "gains": F.sum(F.when(ret > 0, 1).otherwise(0)).over(s.running()),
-                "high_30d": s.max("high", MONTH_ROWS),
-                "low_30d": s.min("low", MONTH_ROWS),
-                "stddev_20": F.round(s.stddev("close", BAND_ROWS), 2),
-                **{f"volatility_{n}d": F.round(s.stddev("daily_return_pct", n), 2) for n in VOLATILITY_ROWS},
                 **{f"return_{n}d_pct": pct_over("close", s.lag("close", n)) for n in RETURN_ROWS},
             }
         ).withColumns(
             {
                 **{f"ma_{n}": s.mean("close", n, 2) for n in MA_ROWS},
                 "ma_20_volume": s.mean("volume", BAND_ROWS, 0).cast("long"),
-                "high_52w": s.widen("high_30d", MONTH_ROWS, YEAR_ROWS, F.greatest),
-                "low_52w": s.widen("low_30d", MONTH_ROWS, YEAR_ROWS, F.least),
+                "stddev_20": F.round(s.deviation("price", BAND_ROWS), 2),
+                **{f"volatility_{n}d": F.round(s.deviation("return", n), 2) for n in VOLATILITY_ROWS},
                 "consistency_score_30d": F.round(s.rolled("gains", MONTH_ROWS) / 30.0 * 100, 1),
             }
         )
+        return s.extremes(
+            summed,
+            {
+                "high_30d": ("high", F.greatest, MONTH_ROWS),
+                "low_30d": ("low", F.least, MONTH_ROWS),
+                "high_52w": ("high", F.greatest, YEAR_ROWS),
+                "low_52w": ("low", F.least, YEAR_ROWS),
+            },
+        )
 
     rolled = over_series(bars, KEY, DATE, YEAR_ROWS - 1, build, block_rows)
     short, middle, long = (F.col(f"ma_{n}") for n in MA_ROWS)
@@ -226,58 +237,44 @@ def market_overview_daily(daily: DataFrame) -> DataFrame:
 
 
 def stock_relative_strength(
-    silver: DataFrame, sectors: DataFrame, slice_units: int = 5_000, slice_tickers: int = 1_000
+    silver: DataFrame, sectors: DataFrame, store: Callable[[DataFrame], DataFrame] = stored
 ) -> DataFrame:
     """Each stock against its sector and the market, and its rank in the sector.
 
     A sector on a day may hold very many stocks, so the rank is not taken in one
-    window over them. Stocks are cut into slices that follow the rank order: the
-    return in steps of ``slice_units`` ten-thousandths and, since many stocks may
-    share a round return such as zero, those exactly on a step by ranges of
-    ``slice_tickers`` tickers in alphabetic order. One pre-aggregated pass counts and sums the slices;
-    from it come the sector and market means, the sector size and the number of
-    stocks in better slices. The rank is that number plus the position inside
-    the own slice.
+    window over them: all bars are numbered in the order of sector, day, return
+    and ticker over many tasks (``store`` writes them once), and a rank is a
+    bar's number beyond the first of its sector and day. Sector and market means
+    come from one pre-aggregated pass over the numbered bars.
     """
     ret = F.col("daily_return_pct")
     exact = ret.cast(RETURN)
+    bars = with_sector(silver.select(KEY, DATE, "close", "daily_return_pct"), sectors).withColumns(
+        {"_mapped": F.col("sector").isNotNull(), "_missing": exact.isNull(), "_worse": -exact}
+    )
+    group = ["_sector", "_mapped", DATE]
     # Best return first; a missing one ranks last.
-    units = (-exact * 10_000).cast("long")
-    # One row a ticker: small beside the bars, however many share a prefix.
-    order = silver.select(KEY).distinct().withColumn("_place", F.row_number().over(Window.orderBy(KEY)))
-    bars = with_sector(silver.select(KEY, DATE, "close", "daily_return_pct").join(order, KEY), sectors).withColumns(
-        {
-            "_sector": F.coalesce("sector", F.lit("")),
-            "_mapped": F.col("sector").isNotNull(),
-            "_step": F.coalesce(F.floor(units / slice_units), F.lit(2**62)),
-            "_off_step": F.coalesce(units % slice_units != 0, F.lit(False)),
-        }
-    ).withColumn("_tickers", F.when(~F.col("_off_step"), F.floor(F.col("_place") / slice_tickers)).otherwise(0))
-    in_order = ["_step", "_off_step", "_tickers"]
-    slice_of = ["_sector", "_mapped", DATE, *in_order]
-    in_sector = Window.partitionBy("_sector", "_mapped", DATE)
+    bars = numbered(bars.withColumn("_sector", F.coalesce("sector", F.lit(""))), [*group, "_missing", "_worse", KEY], "_number", store)
     in_market = Window.partitionBy(DATE)
-    ahead = in_sector.orderBy(*in_order).rowsBetween(Window.unboundedPreceding, -1)
 
-    def mean_over(w) -> Column:
+    def mean_of(total: Column, seen: Column) -> Column:
         # The narrower decimal leaves the quotient enough digits to round once.
-        total = F.sum("_total").over(w).cast("decimal(28,4)")
-        return F.round(ratio(total, F.sum("_seen").over(w)), 2).cast("double")
+        return F.round(ratio(total.cast("decimal(28,4)"), seen), 2).cast("double")
 
     benchmarks = (
-        bars.groupBy(*slice_of)
-        .agg(F.sum(exact).alias("_total"), F.count(exact).alias("_seen"), F.count(KEY).alias("_n"))
+        bars.groupBy(*group)
+        .agg(F.sum(exact).alias("_total"), F.count(exact).alias("_seen"), F.count(KEY).alias("total_in_sector"), F.min("_number").alias("_first"))
         .select(
-            *slice_of,
-            mean_over(in_market).alias("market_return_pct"),
+            *group,
+            mean_of(F.sum("_total").over(in_market), F.sum("_seen").over(in_market)).alias("market_return_pct"),
             # A NULL sector matches no sector benchmark.
-            F.when(F.col("_mapped"), mean_over(in_sector)).alias("sector_return_pct"),
-            F.sum("_n").over(in_sector).alias("total_in_sector"),
-            F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"),
+            F.when(F.col("_mapped"), mean_of(F.col("_total"), F.col("_seen"))).alias("sector_return_pct"),
+            "total_in_sector",
+            "_first",
         )
     )
-    place = F.row_number().over(Window.partitionBy(*slice_of).orderBy(exact.desc_nulls_last(), F.col(KEY).asc()))
-    ranked = bars.join(benchmarks, slice_of).withColumn("rank_in_sector", (F.col("_ahead") + place).cast("int"))
+    rank = (F.col("_number") - F.col("_first") + 1).cast("int")
+    ranked = bars.join(benchmarks, group).withColumn("rank_in_sector", rank)
     versus_sector, versus_market = F.col("outperformance_vs_sector_pct"), F.col("outperformance_vs_market_pct")
     return (
         ranked.withColumns(

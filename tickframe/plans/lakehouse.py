@@ -7,11 +7,8 @@ session names in ``spark.checkpoint.dir``: a lost executor costs a re-read.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from datetime import date, datetime
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,18 +16,21 @@ from pyspark.sql import functions as F
 from tickframe.operators.clean import KEYS, clean, keep_latest
 from tickframe.operators.quality import RuleSet, bar_rules
 from tickframe.operators.upsert import read_if_exists, upsert_table
-from tickframe.plans import gold
+from tickframe.plans import gold, incremental
 from tickframe.plans.screens import MONTH
 from tickframe.schemas import LAYER_METRICS
 from tickframe.sinks import delete, overwrite_partitions, write_table
-
-CHECKPOINT_DIR = "spark.checkpoint.dir"
+from tickframe.sources.bars import BUCKET, with_bucket
+from tickframe.staging import shared_folder, stored
 
 BRONZE, SECTORS = "bronze.stock_prices_raw", "gold.ticker_sector_mapping"
 SILVER, QUARANTINE = "silver.stock_prices_clean", "silver.stock_prices_quarantine"
 
 FEATURES = "gold.stock_features"
 
+#: Bronze is laid out by landing period and, below that, by hashed ticker.
+BRONZE_LAYOUT = ("ingestion_date", BUCKET)
+
 PER_STOCK = {
     "stock_daily_metrics": gold.DAILY_COLUMNS,
     "stock_multitime_performance": gold.MULTITIME_COLUMNS,
@@ -48,26 +48,6 @@ READS = {
     **{f"gold.{name}": FEATURES for name in FROM_DAILY},
 }
 
-@cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="run-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the session's checkpoint directory.
-
-    Where none is configured, as in tests, a local one is made; executors on
-    other machines could not read that, so a cluster must name one.
-    """
-    root = spark.conf.get(CHECKPOINT_DIR, None)
-    if not root:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-        root = _local_root()
-    return f"{root.rstrip('/')}/tickframe-{uuid.uuid4().hex}"
-
-
 def silver_bars(bronze: DataFrame, exchange_tz: str | None = None) -> DataFrame:
     """Typed, valid, unique bars."""
     return keep_latest(RuleSet(bar_rules()).valid(clean(bronze, exchange_tz)))
@@ -133,7 +113,7 @@ class Lakehouse:
         self._times: dict[str, tuple[datetime, datetime]] = {}
         self._errors: dict[str, str] = {}
 
-    def written(self, name: str, plan: Callable[[], DataFrame], monthly: bool = False) -> DataFrame:
+    def written(self, name: str, plan: Callable[[], DataFrame], monthly: bool = False, layout: tuple[str, ...] = ()) -> DataFrame:
         """The table ``name``: read if it exists, else written, and counted."""
         if name not in self._tables:
             path, start = f"{self.root}/{name}", self.clock()
@@ -141,7 +121,7 @@ class Lakehouse:
             if table is None:
                 try:
                     rows = with_month(plan()) if monthly else plan()
-                    write_table(rows, path, (MONTH,) if monthly and self.by_month else ())
+                    write_table(rows, path, (MONTH,) if monthly and self.by_month else layout)
                 except Exception as error:
                     self._times[name], self._errors[name] = (start, self.clock()), str(error)
                     raise
@@ -155,7 +135,12 @@ class Lakehouse:
 
     @property
     def bronze(self) -> DataFrame:
-        return self.written(BRONZE, lambda: self._bronze)
+        return self.landed.drop(BUCKET)
+
+    @property
+    def landed(self) -> DataFrame:
+        """Bronze with the column it is laid out by."""
+        return self.written(BRONZE, lambda: with_bucket(self._bronze), layout=BRONZE_LAYOUT)
 
     @property
     def sectors(self) -> DataFrame:
@@ -184,7 +169,8 @@ class Lakehouse:
         """A written gold table; the per-stock tables share one."""
         if name in PER_STOCK:
             return self.written(FEATURES, self._features, monthly=True).select(*PER_STOCK[name], MONTH)
-        return self.written(f"gold.{name}", lambda: self.plan(name), monthly=name == "stock_relative_strength")
+        table = self.written(f"gold.{name}", lambda: self.plan(name), monthly=True)
+        return table if name == "stock_relative_strength" else table.drop(MONTH)
 
     def build(self, layer: str = "all") -> None:
         """Write the tables of one layer, with those they derive from, or of all."""
@@ -196,6 +182,46 @@ class Lakehouse:
             for name in (*PER_STOCK, *FROM_DAILY, "stock_relative_strength"):
                 self.gold(name)
 
+    def refresh(self, landed: DataFrame) -> None:
+        """Take in newly landed bars: append them to bronze, merge them into silver, bring the gold tables up to date.
+
+        For tables laid out by month. Months that the new bars do not reach are not rewritten; the result equals a
+        rebuild from all bars, if bars of a ticker and day land in the order they are taken in. One caller at a time;
+        a call that failed is repeated after removing what it appended to bronze.
+        """
+        if not self.by_month:
+            raise ValueError("only a lake that is laid out by month can be refreshed")
+        self.build()
+        path = {name: f"{self.root}/{name}" for name in (BRONZE, SILVER, QUARANTINE, FEATURES)}
+        staging = shared_folder(self.spark)
+        write_table(with_bucket(landed).select(*self.landed.columns), path[BRONZE], BRONZE_LAYOUT, mode="append")
+        flagged = stored(RuleSet(bar_rules()).flag(clean(landed)))
+        helpers = [r.column for r in bar_rules()]
+        valid = stored(with_month(keep_latest(flagged.where("is_valid").drop(*helpers, "is_valid", "failure_reasons"))))
+        upsert_table(self.spark, path[SILVER], valid, KEYS, MONTH, f"{staging}/silver", check=False)
+        bad = flagged.where(~F.col("is_valid")).withColumn("quarantine_timestamp", F.lit(self.clock()).cast("timestamp"))
+        write_table(bad.select(*self.quarantine.columns), path[QUARANTINE], mode="append")
+
+        self._reread(BRONZE, SILVER, QUARANTINE)
+        changed = valid.select(*KEYS)
+        months = incremental.refresh_features(self.spark, self.silver, self.sectors, changed, path[FEATURES], f"{staging}/features")
+        self._reread(FEATURES)
+        daily = self.written(FEATURES, self._features)
+        incremental.refresh_months(
+            months, daily, {f"{self.root}/gold.{name}": lambda df, make=make: make(df.select(*gold.DAILY_COLUMNS)) for name, make in FROM_DAILY.items()}
+        )
+        incremental.refresh_months(
+            incremental.months_of(valid), self.silver,
+            {f"{self.root}/gold.stock_relative_strength": lambda df: gold.stock_relative_strength(df, self.sectors)},
+        )
+        self._reread(*[f"gold.{name}" for name in (*FROM_DAILY, "stock_relative_strength")])
+
+    def _reread(self, *names: str) -> None:
+        """Look at tables again whose files have changed, and count them."""
+        for name in names:
+            self._tables[name] = self.spark.read.schema(self._tables[name].schema).parquet(f"{self.root}/{name}")
+            self.rows[name] = self._tables[name].count()
+
     def metrics(self, run_id: str) -> DataFrame:
         """Audit rows of the tables written so far, and of those whose writing failed."""
         rows = []

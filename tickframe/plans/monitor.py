@@ -5,13 +5,14 @@ from __future__ import annotations
 from datetime import date, datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickframe.functions.numeric import COUNT, count_where, mean, ratio
 from tickframe.functions.windows import top_per_group
-from tickframe.operators.quality import duplicate_check, freshness_check, null_check
+from tickframe.operators.quality import TableChecks
 from tickframe.schemas import LAYER_METRICS, PIPELINE_RUNS
+from tickframe.streaming.ingest import Ingested
 
 # Limits of the bottleneck report.
 VARIANCE_FACTOR = 2
@@ -29,29 +30,27 @@ def _conform(df: DataFrame, values: dict[str, Column], schema) -> DataFrame:
     return df.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in schema])
 
 
-def layer_profile(
-    df: DataFrame, *, run_id: str, layer: str, table: str, start: datetime, end: datetime,
-    rows_read: DataFrame | None = None, operation: str = "INSERT", status: str = "SUCCESS",
-    error: str | None = None, rows_updated: int = 0, rows_deleted: int = 0,
+def _profile(
+    counted: DataFrame, *, run_id: str, layer: str | Column, table: str | Column, start: datetime, end: datetime,
+    operation: str = "INSERT", status: str = "SUCCESS", error: str | None = None, rows_updated: int = 0, rows_deleted: int = 0,
 ) -> DataFrame:
-    """Audit row of one written table; Spark counts the rows.
+    """Audit rows from rows of ``written`` and ``read`` counts, and ``bytes_written`` and ``bytes_read`` where they are known."""
+    def known(name: str) -> Column:
+        return F.col(name) if name in counted.columns else F.lit(0)
 
-    ``rows_read`` is the input whose rows are counted, none meaning no input table.
-    """
-    counts = df.agg(F.count(F.lit(1)).alias("written"))
-    read = F.lit(0) if rows_read is None else rows_read.agg(F.count(F.lit(1))).scalar()
+    layer, table = (F.lit(x) if isinstance(x, str) else x for x in (layer, table))
     values = {
-        "metric_id": F.concat_ws(":", F.lit(run_id), F.lit(table), F.lit(operation)),
+        "metric_id": F.concat_ws(":", F.lit(run_id), table, F.lit(operation)),
         "run_id": F.lit(run_id),
-        "layer_name": F.lit(layer),
-        "table_name": F.lit(table),
+        "layer_name": layer,
+        "table_name": table,
         "operation": F.lit(operation),
-        "rows_read": read,
+        "rows_read": F.col("read"),
         "rows_written": F.col("written"),
         "rows_updated": F.lit(rows_updated),
         "rows_deleted": F.lit(rows_deleted),
-        "bytes_read": F.lit(0),
-        "bytes_written": F.lit(0),
+        "bytes_read": known("bytes_read"),
+        "bytes_written": known("bytes_written"),
         "start_time": F.lit(start),
         "end_time": F.lit(end),
         "duration_seconds": F.lit((end - start).total_seconds()),
@@ -60,7 +59,24 @@ def layer_profile(
         "processing_date": F.lit(start.date()),
         "created_at": F.lit(end),
     }
-    return _conform(counts, values, LAYER_METRICS)
+    return _conform(counted, values, LAYER_METRICS)
+
+
+def layer_profile(df: DataFrame, *, rows_read: DataFrame | None = None, **run) -> DataFrame:
+    """Audit row of one written table; Spark counts the rows.
+
+    ``rows_read`` is the input whose rows are counted, none meaning no input table.
+    """
+    read = F.lit(0) if rows_read is None else rows_read.agg(F.count(F.lit(1))).scalar()
+    return _profile(df.agg(F.count(F.lit(1)).alias("written")).withColumn("read", read), **run)
+
+
+def ingest_profile(spark: SparkSession, done: Ingested, *, run_id: str, layer: str, table: str, operation: str = "APPEND") -> DataFrame:
+    """Audit row of one run of the file stream."""
+    counted = spark.createDataFrame(
+        [(done.rows_read, done.rows_written, done.bytes_written)], "read long, written long, bytes_written long"
+    )
+    return _profile(counted, run_id=run_id, layer=layer, table=table, start=done.start, end=done.end, operation=operation)
 
 
 def run_summary(metrics: DataFrame, *, run_name: str, run_type: str, triggered_by: str) -> DataFrame:
@@ -94,33 +110,33 @@ def run_summary(metrics: DataFrame, *, run_name: str, run_type: str, triggered_b
     return _conform(per_run, values, PIPELINE_RUNS)
 
 
+WALK = (
+    TableChecks("bronze", "bronze.stock_prices_raw", ("ticker", "date", "close"), 0.01, ("ticker", "date"), 0.01),
+    TableChecks("silver", "silver.stock_prices_clean", ("ticker_standard", "date"), 0.001),
+    TableChecks("gold", "gold.stock_daily_metrics", sla_hours=48),
+)
+
+
 def monitored_walk(
     bronze: DataFrame, silver: DataFrame, gold: DataFrame, *, run_id: str, as_of: datetime
 ) -> dict[str, DataFrame]:
-    """Metrics, checks and freshness of the three layers, as audit rows."""
-    names = {"bronze": "bronze.stock_prices_raw", "silver": "silver.stock_prices_clean", "gold": "gold.stock_daily_metrics"}
-
-    def at(layer: str) -> dict:
-        return {"run_id": run_id, "layer": layer, "table": names[layer]}
-
-    metrics = [
-        layer_profile(bronze, start=as_of, end=as_of, **at("bronze")),
-        layer_profile(silver, start=as_of, end=as_of, rows_read=bronze, **at("silver")),
-        layer_profile(gold, start=as_of, end=as_of, rows_read=silver, **at("gold")),
-    ]
-    checks = [
-        null_check(bronze, ["ticker", "date", "close"], 0.01, as_of=as_of, **at("bronze")),
-        duplicate_check(bronze, ["ticker", "date"], 0.01, as_of=as_of, **at("bronze")),
-        null_check(silver, ["ticker_standard", "date"], 0.001, as_of=as_of, **at("silver")),
-    ]
-    fresh = [
-        freshness_check(df, "date", sla, layer=layer, table=names[layer], as_of=as_of)
-        for df, layer, sla in ((bronze, "bronze", 24), (silver, "silver", 24), (gold, "gold", 48))
-    ]
-    return {
-        name: reduce(DataFrame.unionByName, parts)
-        for name, parts in (("metrics", metrics), ("checks", checks), ("freshness", fresh))
-    }
+    """Metrics, checks and freshness of the three layers, as audit rows.
+
+    Each of the three results scans each table once: all counts of a table come from one aggregate. A layer's rows read
+    are the rows of the layer before.
+    """
+    stats = [(c, c.stats(df, as_of)) for c, df in zip(WALK, (bronze, silver, gold))]
+    counted = reduce(
+        DataFrame.unionByName,
+        [s.select(F.lit(k).alias("step"), F.lit(c.layer).alias("layer"), F.lit(c.table).alias("table"), F.col("records").alias("written"))
+         for k, (c, s) in enumerate(stats)],
+    )
+    # A row a layer.
+    before = F.lag("written", 1, 0).over(Window.orderBy("step"))
+    metrics = _profile(counted.withColumn("read", before), run_id=run_id, layer=F.col("layer"), table=F.col("table"), start=as_of, end=as_of)
+    checks = [rows for c, s in stats if (rows := c.checks(s, run_id, as_of)) is not None]
+    fresh = [c.freshness(s, as_of) for c, s in stats]
+    return {"metrics": metrics, "checks": reduce(DataFrame.unionByName, checks), "freshness": reduce(DataFrame.unionByName, fresh)}
 
 
 def _since(c: str, as_of: date, days: int) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickframe.schemas import BAR_COLUMNS, BAR_SCHEMA
@@ -58,9 +58,34 @@ def daily_range(as_of: date) -> tuple[date, date]:
     return as_of - timedelta(days=1), as_of
 
 
+#: Column and number of the hashed parts that a landing period's bars are laid out in.
+BUCKET, BUCKETS = "ticker_bucket", 4
+
+
+def symbol(c: str) -> Column:
+    """How symbols compare: trimmed and in upper case."""
+    return F.upper(F.trim(c))
+
+
+def bucket_of(name: Column, buckets: int = BUCKETS) -> Column:
+    """The part of a landing period that a symbol's bars are in."""
+    return F.pmod(F.xxhash64(name), F.lit(buckets)).cast("int")
+
+
+def with_bucket(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Bars with the part they are laid out in; their number bounds the folders below a landing period."""
+    return df.withColumn(BUCKET, bucket_of(symbol("ticker"), buckets))
+
+
 def in_range(df: DataFrame, start: date, end: date, date_col: str = "date") -> DataFrame:
-    """Bars from ``start`` up to, not including, ``end``."""
-    return df.where((F.col(date_col) >= F.lit(start)) & (F.col(date_col) < F.lit(end)))
+    """Bars from ``start`` up to, not including, ``end``.
+
+    No bar lands before the month it trades in, so landing periods before that of ``start`` are not read.
+    """
+    own = (F.col(date_col) >= F.lit(start)) & (F.col(date_col) < F.lit(end))
+    if "ingestion_date" in df.columns:
+        own &= (F.col("ingestion_date") >= F.lit(start.replace(day=1))) | F.col("ingestion_date").isNull()
+    return df.where(own)
 
 
 def universe(config: DataFrame) -> DataFrame:
@@ -68,7 +93,15 @@ def universe(config: DataFrame) -> DataFrame:
     return config.where("is_active").orderBy("ticker_id").select("ticker_symbol")
 
 
-def restrict_to_universe(bars: DataFrame, config: DataFrame) -> DataFrame:
-    """Bars of active tickers; symbols compare trimmed and in upper case."""
-    active = config.where("is_active").select(F.upper(F.trim("ticker_symbol")).alias("_symbol"))
-    return bars.join(active, F.upper(F.trim(bars["ticker"])) == F.col("_symbol"), "left_semi")
+def restrict_to_universe(bars: DataFrame, config: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Bars of active tickers; symbols compare trimmed and in upper case.
+
+    Of bars that are laid out by hashed ticker, the parts that hold no active one are not read: the universe's parts
+    prune the scan while it runs.
+    """
+    active = config.where(F.col("is_active") & F.col("ticker_symbol").rlike("\\S")).select(symbol("ticker_symbol").alias("_symbol"))
+    match = symbol("ticker") == F.col("_symbol")
+    if BUCKET in bars.columns:
+        active = active.withColumn("_bucket", bucket_of(F.col("_symbol"), buckets))
+        match = (F.col(BUCKET) == F.col("_bucket")) & match
+    return bars.join(active, match, "left_semi")

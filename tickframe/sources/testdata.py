@@ -25,7 +25,7 @@ def _cents(c: Column) -> Column:
 
 
 def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One bar per line item, with planted faults, in the bronze schema.
+    """One bar per line item, with planted faults, in the bronze schema; a supplier is a ticker.
 
     Prices of every other ticker rise by a thousand a day, the others fall, so that
     highs and lows of a year are reached.
@@ -37,10 +37,8 @@ def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
             "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
             "l_extendedprice", "l_discount", "l_tax", "l_shipdate",
         )
-        .join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
         .withColumn("days", F.datediff("l_shipdate", F.lit("1992-01-01")))
-        .withColumn("trend", F.when(F.col("n_nationkey") % 2 == 0, F.col("days")).otherwise(3700 - F.col("days")) * 100_000)
+        .withColumn("trend", F.when(F.col("l_suppkey") % 2 == 0, F.col("days")).otherwise(3700 - F.col("days")) * 100_000)
         .withColumn("o", _cents(F.col("l_extendedprice") / F.col("l_quantity")) + F.col("trend"))
         .withColumn("c", F.floor(F.col("o") * (1 + F.col("l_discount") - 0.05) + 0.5))
         .withColumn("spread", _cents(F.col("l_tax")) * 10)
@@ -51,7 +49,7 @@ def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     open_ = F.when(key % 127 == 0, 0).when(key % 101 != 0, F.col("o"))
     return (
         items.select(
-            F.concat(F.lower("n_name"), F.lit(".ns ")).alias("ticker"),
+            F.concat(F.lit("sup"), F.col("l_suppkey").cast("string"), F.lit(".ns ")).alias("ticker"),
             F.col("l_shipdate").cast("timestamp").alias("date"),
             (open_ / 100).alias("open"),
             (high / 100).alias("high"),
@@ -69,32 +67,29 @@ def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").join(
-        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
-    )
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers with the name of their region as ``sector``."""
+    regions = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    suppliers = table(spark, sf_dir, "supplier").join(regions, F.col("s_nationkey") == F.col("n_nationkey"))
+    return suppliers.select("s_suppkey", "s_nationkey", F.concat(F.lit("SUP"), F.col("s_suppkey").cast("string")).alias("name"), F.col("r_name").alias("sector"))
 
 
 def ticker_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nations(spark, sf_dir).select(
-        (F.col("n_nationkey") + 1).cast("int").alias("ticker_id"),
-        F.concat("n_name", F.lit(".NS")).alias("ticker_symbol"),
-        F.col("n_name").alias("ticker_clean"),
-        F.concat(F.lit("Co "), "n_name").alias("company_name"),
-        F.col("r_name").alias("sector"),
-        (F.col("n_nationkey") % 7 != 6).alias("is_active"),
+    return _suppliers(spark, sf_dir).select(
+        (F.col("s_suppkey") + 1).cast("int").alias("ticker_id"),
+        F.concat("name", F.lit(".NS")).alias("ticker_symbol"),
+        F.col("name").alias("ticker_clean"),
+        F.concat(F.lit("Co "), "name").alias("company_name"),
+        "sector",
+        (F.col("s_suppkey") % 7 != 6).alias("is_active"),
         F.to_date(F.lit("2024-01-01")).alias("added_date"),
         F.to_timestamp(F.lit("2024-01-01")).alias("last_updated"),
     )
 
 
 def sector_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every nation but the last, so that one ticker has no sector."""
-    return (
-        _nations(spark, sf_dir)
-        .where("n_nationkey <> 24")
-        .select(F.col("n_name").alias("ticker_standard"), F.col("r_name").alias("sector"))
-    )
+    """All but every ninth supplier, so that some tickers have no sector."""
+    return _suppliers(spark, sf_dir).where("s_suppkey % 9 <> 8").select(F.col("name").alias("ticker_standard"), "sector")
 
 
 def _conform(df: DataFrame, schema) -> DataFrame:
