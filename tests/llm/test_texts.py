@@ -5,6 +5,7 @@ import math
 import random
 import re
 import string
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +140,39 @@ def test_names_about_the_page_do_not_set_it_apart(body, outer, inner):
     assert html_extraction.main_text(page, tree) == "\n\n".join(texts)
 
 
+@pytest.mark.parametrize("page", [
+    "<p>a</p><img " + " ".join(f'a{k}="x{k}"' for k in range(40)), "<b " + '"q" ' * 10_000, "<a " * 100_000, "<" * 100_000, "<!" * 100_000, "</" * 100_000,
+    "<script" * 100_000, "<a " + '="' * 50_000, "<!--" * 50_000, "<div>x" * 30_000 + "</p>" * 30_000, "<li><a>x" * 30_000, "<div " + 'class="a" ' * 30_000,
+], ids=range(12))
+def test_broken_pages_take_no_longer_than_whole_ones(page):
+    begin = time.perf_counter()
+    html_extraction.main_text(page, html_extraction.grow(*html_extraction.labelled()))
+    # The tree is grown within this time too.
+    assert time.perf_counter() - begin < 3
+
+
+def test_pages_that_end_inside_a_tag_keep_what_came_before():
+    tree = html_extraction.grow(*html_extraction.labelled())
+    text = "word " * 39 + "end"
+    for rest in ("<img src='x", "<p class=\"a", "<!-- ad", "<script>var x", "</p", "<"):
+        assert html_extraction.main_text(f"<article><p>{text}</p>{rest}", tree).startswith(text)
+
+
+def test_links_around_blocks_stay_links():
+    card = "<a href='/x'><div><h3>Other story</h3><p>What else has happened today in town</p></div></a>"
+    own = html_extraction.blocks(f"<article><p>{'word ' * 40}</p></article>{card * 4}<p><a href=y>open<p>not linked any more</p>")
+    assert [b.linked for b in own] == [0] + [2, 7] * 4 + [1, 0]
+    tree = html_extraction.grow(*html_extraction.labelled())
+    page = f"<article><p>{'word ' * 40}</p><p>{'more ' * 30}</p></article><div>{card * 4}</div>"
+    assert html_extraction.main_text(page, tree) == ("word " * 40).strip() + "\n\n" + ("more " * 30).strip()
+
+
+def test_wrappers_named_after_what_they_hold():
+    tree = html_extraction.grow(*html_extraction.labelled())
+    text = "word " * 39 + "end"
+    assert html_extraction.main_text(f'<div class="main-banner content"><p>{text}</p><p>{text}</p></div>', tree) == f"{text}\n\n{text}"
+
+
 def test_tree_learns_its_table():
     rows, labels = html_extraction.labelled()
     assert (html_extraction.classify(html_extraction.grow(rows, labels), rows) == labels).mean() > 0.95

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +35,7 @@ BLOCKS = frozenset(
     "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table "
     "caption tbody td tfoot th thead tr ul".split()
 )
-RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "select", "option", "button", "object", "canvas")
+RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "select", "option", "button")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 #: Elements, and names of a class, id or role, that mark a part as something other than the article.
@@ -52,6 +53,8 @@ PLACES = frozenset(
 )
 #: Elements that hold the article whatever they are called.
 WHOLE = frozenset("html body main article".split())
+#: Whole names that say an element holds the article.
+HOLDS = frozenset("content main-content page-content article article-body article-content entry-content post-content post-body story story-body".split())
 INSIDE = frozenset(("article", "main"))
 INSIDE_WORDS = re.compile(
     r"(?:^|[^a-z])(?:article|article-?body|post|post-?(?:body|content|text)|entry|entry-?content|content|main|main-?content|story|story-?body|text|body-?text)(?:$|[^a-z])"
@@ -62,11 +65,12 @@ PHRASES = re.compile(
     re.IGNORECASE,
 )
 
+# Every alternative reads forward only: attributes take each character one way, and what is not closed ends with the page.
 _TOKEN = re.compile(
     r"<!--(?:(?!-->).)*+(?:-->|$)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?P<rest>[^>]*)>(?:(?!</(?P=raw)\b).)*+(?:</(?P=raw)[^>]*>|$)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*?)>"
-    r"|<[!?/][^>]*>"
+    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?P<rest>[^>]*+)>(?:(?!</(?P=raw)\b).)*+(?:</(?P=raw)[^>]*+(?:>|$)|$)"
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|$)"
+    r"|<[!?/][^>]*+(?:>|$)"
     r"|(?P<text>[^<]++|<)",
     re.DOTALL | re.IGNORECASE,
 )
@@ -108,30 +112,37 @@ def _role(tag: str, attrs: str) -> tuple[bool, bool]:
             if key in ("class", "id", "role", "aria-label", "itemprop"):
                 names += f" {value} "
             hidden |= key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) is not None)
-    named, names = names, re.sub(r"[_\s]+", " ", names)
-    apart = hidden or tag in APART or (tag not in WHOLE and any(map(_is_apart, named.split())))
+    named, names = names.split(), re.sub(r"[_\s]+", " ", names)
+    # A name that says content outweighs one that says banner or tags.
+    apart = hidden or tag in APART or (tag not in WHOLE and any(map(_is_apart, named)) and HOLDS.isdisjoint(named))
     return (tag in INSIDE or bool(INSIDE_WORDS.search(names))) and not apart, apart
 
 
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page that hold any text, in page order."""
     out: list[Block] = []
+    #: Open elements, each with whether it or one around it holds an article, and stands apart.
     stack: list[tuple[str, bool, bool]] = []
+    n_open: Counter[str] = Counter()
     pieces: list[tuple[str, bool]] = []
-    link = False
+    #: Whether a link is open, and how many elements were when it was opened.
+    link, depth = False, 0
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(t for t, _ in pieces)).split())
         if text:
             linked = sum(len(html.unescape(t).split()) for t, inside_link in pieces if inside_link)
             # What stands apart inside an article does so; an article inside a part that stands apart belongs to that.
-            inside = any(i for _, i, _ in stack)
-            apart = any(a for _, _, a in stack)
+            _, inside, apart = stack[-1] if stack else ("", False, False)
             words = len(text.split())
             heading = any(tag in ("h1", "h2", "h3", "h4", "h5", "h6") for tag, _, _ in stack[-2:])
             out.append(Block(text, words, min(linked, words), inside, apart, heading))
         pieces.clear()
 
+    def close(k: int) -> None:
+        n_open.subtract(tag for tag, _, _ in stack[k:])
+        del stack[k:]
+
     for token in _TOKEN.finditer(page):
         if token["text"] is not None:
             pieces.append((token["text"], link))
@@ -139,21 +150,24 @@ def blocks(page: str) -> list[Block]:
             tag = token["tag"].lower()
             if tag in BLOCKS:
                 flush()
-                link = False
                 if token["close"]:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == tag:
-                            del stack[k:]
-                            break
+                    if n_open[tag]:
+                        close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
                 else:
                     if stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-                        stack.pop()
+                        close(len(stack) - 1)
                     if tag in ("li", "dd", "dt", "tr", "td", "th") and stack and stack[-1][0] == tag:
-                        stack.pop()
+                        close(len(stack) - 1)
                     if tag not in VOID:
-                        stack.append((tag, *_role(tag, token["attrs"] or "")))
+                        # A link goes on inside the blocks it holds, and ends with the one that holds it.
+                        link &= len(stack) >= depth
+                        inside, apart = _role(tag, token["attrs"] or "")
+                        above = stack[-1] if stack else ("", False, False)
+                        stack.append((tag, inside or above[1], apart or above[2]))
+                        n_open[tag] += 1
+                link &= len(stack) >= depth
             elif tag == "a":
-                link = not token["close"]
+                link, depth = not token["close"], len(stack)
             elif tag == "br":
                 pieces.append((" ", link))
     flush()
