@@ -131,13 +131,13 @@ def _rarest(shared, percent: int):
     return rarest
 
 
-def _bit_map(rows: DataFrame) -> np.ndarray:
-    """One bit for each remainder of a wanted row: MAP_BITS bits, however many rows there are."""
-    bit = F.col("row").bitwiseAND(F.lit(MAP_BITS - 1))
+def _bit_map(rows: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
+    """One bit for each remainder of a wanted row, however many rows there are."""
+    bit = F.col("row").bitwiseAND(F.lit(bits - 1))
     words = rows.groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(row & 63 as int))")).alias("bits")
     ).toArrow()
-    out = np.zeros(MAP_BITS // 64, np.int64)
+    out = np.zeros(bits // 64, np.int64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return out.view(np.uint64)
 
@@ -356,14 +356,40 @@ def near_duplicates(
     )
 
 
+def _marked(shared, bits: int):
+    """Whether a row's bit is set in a map of ``bits`` bits."""
+
+    @F.arrow_udf("boolean")
+    def marked(rows: pa.Array) -> pa.Array:
+        bit = (rows.to_numpy(zero_copy_only=False) & (bits - 1)).astype(np.uint64)
+        return pa.array((shared.value[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool))
+
+    return marked
+
+
+def _map_bits(rows: int) -> int:
+    """Eight bits a row, a power of two between 2**20 and 2**30: 128 MB at most."""
+    return 1 << min(max((8 * rows).bit_length(), 20), 30)
+
+
 def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``documents`` with one row of every group of near-duplicates; rows without words all stay."""
-    row = F.xxhash64(doc_id, text)
-    found = near_duplicates(documents, doc_id, text, **options).where("first")
-    stays = written(found.groupBy("row").agg(F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles")))
+    """``documents`` with one row of every group of near-duplicates; rows without words all stay.
+
+    Only the hashes of rows to drop, or to keep once of several, are looked at: a bit map of them is tested where the
+    rows are, and those whose bit is set go through an exact join. All others pass on without a shuffle.
+    """
     name = "__row"
-    rows = documents.withColumn(name, row).join(stays.withColumnRenamed("row", name), name)
+    rows = documents.withColumn(name, F.xxhash64(doc_id, text))
+    found = near_duplicates(documents, doc_id, text, **options)
+    by_row = found.groupBy("row").agg(F.max("first").alias("stays"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"))
     repeated = (F.col("copies") > 1) & (F.col("n_shingles") > 0)
-    if not stays.where(repeated).isEmpty():
-        rows = rows.where(~repeated).unionByName(rows.where(repeated).dropDuplicates([name]))
-    return rows.select(*documents.columns)
+    touched = written(by_row.where(~F.col("stays") | repeated).select(F.col("row").alias(name), "stays"))
+    bits = _map_bits(touched.count())
+    bit_map = documents.sparkSession.sparkContext.broadcast(_bit_map(touched.withColumnRenamed(name, "row"), bits))
+    marked = arrays.bounded_batches(rows).withColumn("__marked", _marked(bit_map, bits)(name))
+    looked_at = marked.where("__marked").join(touched, name, "left")
+    once = looked_at.where("stays").dropDuplicates([name])
+    kept = marked.where("NOT __marked").select(*documents.columns)
+    for part in (looked_at.where("stays IS NULL"), once):
+        kept = kept.unionByName(part.select(*documents.columns))
+    return kept
