@@ -138,19 +138,37 @@ def _maintained(config: DataFrame) -> DataFrame:
     return dimensions.add_tickers(dimensions.deactivate(config, "SUP3.NS", at), rows)
 
 
-def _land(bronze: DataFrame, landing: str) -> None:
-    """All bars as daily drops, in two exports into one landing folder."""
-    rows = bronze.select(*BAR_COLUMNS)
-    export_daily_json(rows.where(F.col("date") < "2000-01-01"), landing)
-    export_daily_json(rows.where(F.col("date") >= "2000-01-01"), landing)
+def _once(build: Callable[[SparkSession, str], str]) -> Callable[[SparkSession, str], str]:
+    """A folder that several queries read, made once per application."""
+    made: dict[tuple[str, str], str] = {}
 
+    def get(spark: SparkSession, sf_dir: str) -> str:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in made:
+            made[key] = build(spark, sf_dir)
+        return made[key]
 
-def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All bars landed as daily JSON drops, then ingested by the file stream."""
+    return get
+
+
+@_once
+def landing(spark: SparkSession, sf_dir: str) -> str:
+    """All bars as daily JSON drops."""
+    folder = f"{shared_folder(spark)}/landing"
+    export_daily_json(lake(spark, sf_dir).bronze.select(*BAR_COLUMNS), folder)
+    return folder
+
+
+@_once
+def _stream_table(spark: SparkSession, sf_dir: str) -> str:
+    """All daily drops, ingested by the file stream."""
     root = shared_folder(spark)
-    _land(lake(spark, sf_dir).bronze, f"{root}/landing")
-    ingest.ingest_available(spark, f"{root}/landing", f"{root}/bronze", f"{root}/checkpoint")
-    return spark.read.parquet(f"{root}/bronze")
+    ingest.ingest_available(spark, landing(spark, sf_dir), f"{root}/bronze", f"{root}/checkpoint")
+    return f"{root}/bronze"
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(_stream_table(spark, sf_dir))
 
 
 def _stream_audited(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,12 +269,6 @@ def _refreshed_gold(name: str) -> Query:
     return lambda spark, sf_dir: _refreshed(spark, sf_dir).gold(name).drop("month")
 
 
-def _json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = shared_folder(spark)
-    _land(lake(spark, sf_dir).bronze, f"{root}/landing")
-    return bars.read_json_bars(spark, f"{root}/landing")
-
-
 def _walk(part: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         tables = lake(spark, sf_dir)
@@ -290,7 +302,7 @@ def queries() -> dict[str, Query]:
         "bars_of_universe": lambda spark, sf_dir: bars.restrict_to_universe(
             lake(spark, sf_dir).landed, testdata.ticker_config(spark, sf_dir)
         ).drop(bars.BUCKET),
-        "daily_json_roundtrip": _json_roundtrip,
+        "daily_json_roundtrip": lambda spark, sf_dir: bars.read_json_bars(spark, landing(spark, sf_dir)),
         "stream_ingest": lambda spark, sf_dir: _streamed(spark, sf_dir).select(*BAR_COLUMNS),
         "stream_vs_batch": lambda spark, sf_dir: profiles.stream_vs_batch(
             _streamed(spark, sf_dir), lake(spark, sf_dir).bronze
