@@ -19,7 +19,7 @@ from tickframe.operators import clean, dimensions, quality, upsert  # noqa: E402
 from tickframe.plans import gold, monitor, profiles, screens  # noqa: E402
 from tickframe.plans.lakehouse import Lakehouse, quarantined_bars, refresh_silver, shared_folder, silver_bars  # noqa: E402
 from tickframe.schemas import BAR_COLUMNS, TICKER_CONFIG, create_tables  # noqa: E402
-from tickframe.sinks import append_audit, append_bars, export_daily_json  # noqa: E402
+from tickframe.sinks import append_audit, append_bars, export_daily_json, write_bucketed  # noqa: E402
 from tickframe.sources import bars, testdata  # noqa: E402
 from tickframe.streaming import ingest  # noqa: E402
 
@@ -176,7 +176,7 @@ def _stream_audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, rows = shared_folder(spark), lake(spark, sf_dir).bronze.select(*BAR_COLUMNS)
     audit, early = f"{root}/metrics", F.col("date") < "2000-01-01"
     for run_id, part in (("run-1", rows.where(early)), ("run-2", rows.where(~early))):
-        export_daily_json(part, f"{root}/landing")
+        export_daily_json(part, f"{root}/landing", "ingestion_date")
         done = ingest.ingest_available(spark, f"{root}/landing", f"{root}/bronze", f"{root}/checkpoint")
         append_audit(monitor.ingest_profile(spark, done, run_id=run_id, layer="bronze", table="bronze.stock_prices_stream"), audit)
     return spark.read.parquet(audit).select(
@@ -191,7 +191,7 @@ def _stream_unexpected(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut_off = F.concat(F.lit('{"ticker": "'), "ticker", F.lit('", "volume": '), F.col("volume").cast("string"))
     wider = rows.where(~early).withColumn("turnover", F.round(F.col("close") * F.col("volume"), 2))
     for part in (rows.where(early), wider):
-        export_daily_json(part, f"{root}/landing")
+        export_daily_json(part, f"{root}/landing", "ingestion_date")
         rows.where("volume % 700 = 0").select(cut_off.alias("value")).write.mode("append").text(f"{root}/landing/broken")
         schema = ingest.grown_schema(spark, f"{root}/landing", f"{root}/schemas")
         ingest.ingest_available(
@@ -254,6 +254,13 @@ def _upserted_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.read_if_exists(spark, f"{root}/t").select("ticker_standard", "date", "close", "note")
 
 
+def _bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily metrics over silver in hash buckets: no exchange between the scan and the result."""
+    tables, name = lake(spark, sf_dir), f"silver_{uuid.uuid4().hex}"
+    silver = write_bucketed(tables.silver, name, f"{shared_folder(spark)}/{name}", *clean.KEYS, buckets=8)
+    return gold.stock_daily_metrics(silver, tables.sectors)
+
+
 def _refreshed(spark: SparkSession, sf_dir: str) -> Lakehouse:
     """A lake built without the bars of one month, then refreshed with them."""
     key = (spark.sparkContext.applicationId, f"{sf_dir} refreshed")
@@ -338,6 +345,7 @@ def queries() -> dict[str, Query]:
         # gold
         **{name: _gold_plan(name) for name in (DAILY, SECTOR, MOVERS, OVERVIEW, MULTITIME, STRENGTH, TECHNICAL)},
         **{f"{name}_refreshed": _refreshed_gold(name) for name in (DAILY, SECTOR, MOVERS, OVERVIEW, MULTITIME, STRENGTH, TECHNICAL)},
+        "stock_daily_metrics_bucketed": _bucketed,
         "sector_daily_reduced": _gold(SECTOR, gold.sector_daily_reduced),
         "gainers_reduced": _gold(MOVERS, gold.gainers_reduced),
         # screens

@@ -404,6 +404,7 @@ STATEMENTS |= {
             "stock_multitime_performance", "stock_relative_strength", "stock_technical_levels",
         )
     },
+    "stock_daily_metrics_bucketed": STATEMENTS["stock_daily_metrics"],
     "bars_appended": STATEMENTS["bars_raw"],
     "quarantine_repeated": STATEMENTS["quality_quarantine"],
     "audit_appended": STATEMENTS["run_summary"],

@@ -4,6 +4,7 @@ import json
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.helpers import bar, bars
 from tickframe.operators.clean import clean
@@ -64,3 +65,19 @@ def test_rule_summary(spark):
     assert row.pass_non_negative_volume == 2 and row.pass_no_negative_prices == 2
     empty = RuleSet(bar_rules()).summary(df.where("false")).first()
     assert empty.total_records == 0 and empty.valid_pct is None
+
+
+def test_a_walk_scans_each_table_once(spark, tmp_path):
+    from tickframe.plans.monitor import monitored_walk
+
+    tables = []
+    for name in ("bronze", "silver", "gold"):
+        bars(spark, bar(), bar(rid="b"), bar(day=1, close=None)).withColumn("ticker_standard", F.upper("ticker")).write.parquet(str(tmp_path / name))
+        tables.append(spark.read.parquet(str(tmp_path / name)))
+    walk = monitored_walk(*tables, run_id="r", as_of=AS_OF)
+    for name, rows in (("metrics", 3), ("checks", 6), ("freshness", 3)):
+        plan = walk[name]._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == (2 if name == "checks" else 3), name
+        assert walk[name].count() == rows
+    failed = {(r.layer_name, r.check_name): r.records_failed for r in walk["checks"].collect()}
+    assert failed["bronze", "Null Check: close"] == 1 and failed["bronze", "Duplicate Check: ticker, date"] == 2

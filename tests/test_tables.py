@@ -219,6 +219,30 @@ def test_month_layout_and_split_series_change_no_result(spark, history, tmp_path
     assert scaled.rows["silver.stock_prices_clean"] == scaled.silver.count()
 
 
+def test_bronze_is_read_by_landing_period_and_hashed_ticker(spark, history, tmp_path):
+    raw, dim = history
+    raw = raw.withColumn("ingestion_date", F.trunc("date", "MM"))
+    lake = Lakehouse(spark, raw, dim, root=str(tmp_path / "layout"))
+    assert os.path.isdir(f"{lake.root}/bronze.stock_prices_raw/ingestion_date=2020-03-01")
+    assert differences(lake.bronze.toPandas(), raw.toPandas()) == []
+    some = sources.in_range(lake.bronze, date(2020, 3, 5), date(2020, 4, 7))
+    assert "PartitionFilters: [((ingestion_date" in some._jdf.queryExecution().executedPlan().toString()
+    assert differences(some.toPandas(), raw.where("date >= '2020-03-05' AND date < '2020-04-07'").toPandas()) == []
+    config = spark.createDataFrame([("c.ns ", True), ("D.NS", False), (" ", True), (None, True)], "ticker_symbol string, is_active boolean")
+    config.write.parquet(str(tmp_path / "config"))
+    kept = sources.restrict_to_universe(lake.landed, spark.read.parquet(str(tmp_path / "config")))
+    assert "dynamicpruning" in kept._jdf.queryExecution().executedPlan().toString()
+    assert {r.ticker for r in kept.select("ticker").distinct().collect()} == {"C.NS"}
+
+
+def test_unfinished_table_does_not_pass_for_one(spark, tmp_path):
+    path = str(tmp_path / "half")
+    pairs(spark, [(1, "a")]).write.parquet(path)
+    assert upserts.read_if_exists(spark, path).count() == 1
+    os.remove(f"{path}/_SUCCESS")
+    assert upserts.read_if_exists(spark, path) is None
+
+
 def test_latest_slice_reads_one_month(spark, history, tmp_path):
     lake = Lakehouse(spark, *history, root=str(tmp_path / "months"), by_month=True)
     newest = screens.latest_slice(lake.gold("stock_daily_metrics"))

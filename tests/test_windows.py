@@ -12,6 +12,7 @@ from tests.helpers import sectors, silver
 
 from tickframe.functions.windows import BLOCK, IS_HALO, Series, split_series
 from tickframe.plans import gold
+from tickframe.sinks import write_bucketed
 
 
 def half_up(x: Decimal, k: int) -> float:
@@ -106,6 +107,21 @@ def test_one_shuffle_per_series(spark, tmp_path):
         assert plan.count("Sort [") == 1
 
 
+def test_bucketed_silver_needs_no_exchange(spark, tmp_path):
+    sectors(spark, {"A": "x"}).write.parquet(str(tmp_path / "sectors"))
+    df, dim = silver(spark, {"A": series(30, 1), "B": series(9, 2)}), spark.read.parquet(str(tmp_path / "sectors"))
+    table = write_bucketed(df, "silver_in_buckets", str(tmp_path / "silver"), "ticker_standard", "date", 4)
+    out = gold.stock_daily_metrics(table, dim)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan and "Bucketed: true" in plan
+    assert differences(out.toPandas(), gold.stock_daily_metrics(df, dim).toPandas()) == []
+    # A join of two tables in as many buckets needs none either.
+    joined = table.join(write_bucketed(df.select("ticker_standard", "date"), "keys_in_buckets", str(tmp_path / "keys"), "ticker_standard", "date", 4).hint("merge"), ["ticker_standard", "date"])
+    assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+    for name in ("silver_in_buckets", "keys_in_buckets"):
+        spark.sql(f"DROP TABLE {name}")
+
+
 def test_means_keep_the_digits_of_adjusted_prices(spark):
     closes = [101.00499999, 101.00500001, 98.76543210]
     df = silver(spark, {"A": closes[:2], "B": [closes[0], closes[0]], "C": closes})
