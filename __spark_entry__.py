@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from oracle.catalog import STATEMENTS  # noqa: E402
+from tickframe.functions import distinct  # noqa: E402
 from tickframe.operators import clean, dimensions, quality, upsert  # noqa: E402
 from tickframe.plans import gold, monitor, profiles, screens  # noqa: E402
 from tickframe.plans.lakehouse import Lakehouse, quarantined_bars, refresh_silver, shared_folder, silver_bars  # noqa: E402
 from tickframe.schemas import BAR_COLUMNS, TICKER_CONFIG, create_tables  # noqa: E402
 from tickframe.sinks import append_audit, append_bars, export_daily_json, write_bucketed  # noqa: E402
 from tickframe.sources import bars, testdata  # noqa: E402
+from tickframe.staging import stored  # noqa: E402
 from tickframe.streaming import ingest  # noqa: E402
 
 # The text operators are an optional subpackage: without it, all other queries stay as they are.
@@ -218,6 +220,16 @@ def _created_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _profile_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of bronze from stored profiles of its landing periods, the later ones taken and added apart."""
+    rows, late = lake(spark, sf_dir).bronze, F.col("ingestion_date") >= "1999-01-01"
+    path, tickers = f"{shared_folder(spark)}/profiles", None
+    for part in (rows.where(~late), rows.where(late)):
+        tickers = stored(distinct.dictionary(part, "ticker", stored, tickers))
+        profiles.period_profiles(part, tickers).write.mode("append").parquet(path)
+    return profiles.merged_profile(spark.read.parquet(path), "Bronze")
+
+
 def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bronze in two appends by landing day, read back."""
     path, rows = f"{shared_folder(spark)}/bars", testdata.raw_bars(spark, sf_dir)
@@ -371,6 +383,7 @@ def queries() -> dict[str, Query]:
         # profiles
         "profile_bronze_per_ticker": _bronze(profiles.per_ticker),
         "profile_silver_per_ticker": _silver(profiles.per_ticker_with_means),
+        "profile_merged": _profile_merged,
         "profile_bronze_vs_silver": lambda spark, sf_dir: profiles.bronze_vs_silver(
             lake(spark, sf_dir).bronze, lake(spark, sf_dir).silver
         ),

@@ -404,6 +404,7 @@ STATEMENTS |= {
             "stock_multitime_performance", "stock_relative_strength", "stock_technical_levels",
         )
     },
+    "profile_merged": f"{BRONZE} {_span('Bronze', 'raw_bars')}",
     "stock_daily_metrics_bucketed": STATEMENTS["stock_daily_metrics"],
     "bars_appended": STATEMENTS["bars_raw"],
     "quarantine_repeated": STATEMENTS["quality_quarantine"],

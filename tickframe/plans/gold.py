@@ -208,7 +208,8 @@ def market_overview_daily(daily: DataFrame) -> DataFrame:
         daily.groupBy(DATE)
         .agg(
             F.count(KEY).alias("total_stocks"),
-            F.countDistinct("sector").alias("sectors_tracked"),
+            # Sectors are few: a set that tasks merge, where a distinct count would send a row a sector with all sums.
+            F.size(F.collect_set("sector")).cast("long").alias("sectors_tracked"),
             mean(ret, 2).alias("market_avg_return_pct"),
             F.round(F.stddev(ret), 2).alias("market_volatility"),
             F.round(F.percentile_approx(ret, 0.5), 2).alias("median_return_pct"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickframe.functions import distinct
 from tickframe.functions.numeric import COUNT, count_where, mean
 from tickframe.operators.dimensions import mapped_only
 
@@ -35,6 +36,26 @@ def source_profile(bars: DataFrame, label: str) -> DataFrame:
     ).select(F.lit(label).alias("source"), "*")
 
 
+def period_profiles(bars: DataFrame, tickers: DataFrame, period: str = "ingestion_date") -> DataFrame:
+    """Rows, span and the bitmap of tickers of every landing period: what a later profile needs of it.
+
+    ``tickers`` is the dictionary of the ticker column. A row holds one word of the bitmap; rows and span stand beside
+    each, so take them once a period.
+    """
+    bitmaps = distinct.words(bars.join(tickers, "ticker"), [period], F.col("code"))
+    return bars.groupBy(period).agg(*_span()).join(bitmaps, period, "left")
+
+
+def merged_profile(profiles: DataFrame, label: str, period: str = "ingestion_date") -> DataFrame:
+    """``source_profile`` of all periods together, from their profiles alone."""
+    spans = profiles.groupBy(period).agg(*[F.first(c).alias(c) for c in ("record_count", "earliest_date", "latest_date")])
+    whole = spans.agg(F.sum("record_count").alias("total_records"), F.min("earliest_date").alias("earliest_date"), F.max("latest_date").alias("latest_date"))
+    unique = distinct.counts(distinct.merged([profiles.where("word IS NOT NULL").select("word", "bits")], []), [], "unique_tickers")
+    # One row each.
+    n = unique.select(F.coalesce("unique_tickers", F.lit(0).cast("long"))).scalar()
+    return whole.select(F.lit(label).alias("source"), "total_records", n.alias("unique_tickers"), "earliest_date", "latest_date")
+
+
 def stream_vs_batch(streamed: DataFrame, batch: DataFrame) -> DataFrame:
     return source_profile(streamed, "Streaming Table").unionByName(source_profile(batch, "Batch Table"))
 
