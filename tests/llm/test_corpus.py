@@ -37,6 +37,31 @@ def test_edited_items_are_found_and_clean_texts_left(spark):
     assert decontamination.clean(df, spark.createDataFrame([], ITEM)).count() == df.count()
 
 
+def test_short_items_and_common_phrases(spark):
+    bench = spark.createDataFrame([(1, "alpha beta"), (2, "gamma"), (3, "we go home at the end of the"), (4, "it is late now")], ITEM)
+    texts = {10: "so alpha beta it is", 11: "Gamma! rays", 12: "by the end of the day we sat down", 13: "alpha and beta", 14: "and then we go home at the end of the week",
+             15: "it is late", 16: "he said it is late now", 17: "alpha", 18: "and we go home at the start of the day"}
+    df = documents(spark, list(texts.items()))
+    got = sorted((r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench).collect())
+    assert got == [(10, 1), (11, 2), (14, 3), (16, 4), (18, 3)]
+    # A word or two are no reason to drop a document.
+    assert {r.doc_id for r in decontamination.clean(df, bench).collect()} == set(texts) - {14, 16, 18}
+
+
+def test_seeds_of_very_many_items_are_expanded_in_steps(spark, monkeypatch):
+    stem = " ".join(prose(1, 12))
+    bench = spark.createDataFrame([(k, f"{stem} {' '.join(prose(100 + k, 3))}") for k in range(60)], ITEM)
+    df = documents(spark, [(k, f"{' '.join(prose(500 + k, 20))} {stem} {' '.join(prose(100 + k, 3))} {stem}") for k in range(8)])
+
+    def found():
+        return sorted(map(tuple, decontamination.contaminated(df, bench).collect()))
+
+    whole = found()
+    assert len(whole) == 8 * 60 and {(r[0], r[1]) for r in whole if r[2] == 1.0} == {(k, k) for k in range(8)}
+    monkeypatch.setattr(decontamination, "PORTION", 10)
+    assert found() == whole
+
+
 def test_alignment_equals_the_full_table():
     rng = np.random.default_rng(3)
     for _ in range(60):

@@ -7,7 +7,8 @@ item shares with a document contain a seed, while n-grams of frequent words are
 passed over wherever a rarer one is next to them. A document's passage around
 a seed is aligned with the item: equal words score 2, other pairs and gaps -1.
 An item's score in a document is its best local alignment over its
-perfect score; from ``threshold`` on the document is reported for that item.
+perfect score; from ``threshold`` on, and ``least`` matched words (or all words of
+a shorter item), the document is reported for that item.
 An alignment cannot score more than the words that both sides have in common
 allow, so passages below that bound are not aligned. Passages of a document are
 never cut or skipped otherwise.
@@ -18,7 +19,9 @@ that size, each of which reads the documents again.
 
 Words are runs of characters other than white space, lower-cased, with
 leading and trailing ASCII punctuation ignored. Null or empty texts and items
-match nothing; items with fewer words than an n-gram are seeds as a whole.
+match nothing; items with fewer words than an n-gram are seeds as a whole, and
+are found wherever their words stand in a row. ``clean`` passes over those: a word or
+two say nothing about where a document comes from.
 Items with equal texts are reported each under its id, in the order of the ids;
 null ids and repeated rows give rows like others. Documents are read whole. An
 empty table on either side gives an empty table.
@@ -41,6 +44,10 @@ SEED, COVER, THRESHOLD = 3, 3, 0.4
 #: Benchmark n-grams that go to every task at once.
 BROADCAST_GRAMS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Words that must match whatever the share; of an item with fewer, all.
+LEAST = 6
+#: Pairs of a seed hit and an item that are looked at together.
+PORTION = 1 << 19
 
 _ITEM = "item_key long, item_id {id}, words array<long>, grams array<long>"
 _EDGE = r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$"
@@ -94,13 +101,43 @@ def _document_counts(shared, seed: int):
 
 
 def _hits(lengths: np.ndarray, words: np.ndarray, grams: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, word position and index in the sorted ``grams`` of every n-gram that is among them."""
-    counts, own = arrays.shingles(lengths, words, seed)
-    at = np.searchsorted(grams, own)
-    found = np.flatnonzero(grams[np.minimum(at, len(grams) - 1)] == own) if len(grams) else np.zeros(0, np.int64)
-    ends = np.cumsum(counts)
-    owner = np.searchsorted(ends, found, "right")
-    return owner, found - (ends - counts)[owner], at[found]
+    """Document, word position and index in the sorted ``grams`` of every run of ``seed`` words, or fewer, that is among them.
+
+    Shorter runs are those of items that are shorter than a seed. A run's hash does not depend on ``seed``.
+    """
+    out = []
+    for n in range(1, seed + 1):
+        long = np.where(lengths >= n, lengths, 0)
+        counts, own = arrays.shingles(long, words if n == 1 else words[np.repeat(lengths >= n, lengths)], n)
+        at = np.searchsorted(grams, own)
+        found = np.flatnonzero(grams[np.minimum(at, len(grams) - 1)] == own) if len(grams) else np.zeros(0, np.int64)
+        ends = np.cumsum(counts)
+        owner = np.searchsorted(ends, found, "right")
+        out.append((owner, found - (ends - counts)[owner], at[found]))
+    owner, position, at = (np.concatenate(x) for x in zip(*out))
+    order = np.argsort(owner, kind="stable")
+    return owner[order], position[order], at[order]
+
+
+def _portions(at: np.ndarray, entries: np.ndarray, lo: int, hi: int, n_items: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hits with the entries of items ``lo`` to ``hi`` that have their seed, as (hit, entry) pairs, about PORTION at a time.
+
+    ``entries`` are the seeds and items of all entries as one number, in order. The items are halved until a portion
+    is small enough, so a hit of a seed that very many items share is expanded step by step; all are.
+    """
+    first, last = np.searchsorted(entries, at * n_items + lo), np.searchsorted(entries, at * n_items + hi)
+    n = last - first
+    if int(n.sum()) > PORTION and hi - lo > 1:
+        middle = (lo + hi) // 2
+        yield from _portions(at, entries, lo, middle, n_items)
+        yield from _portions(at, entries, middle, hi, n_items)
+    elif n.any():
+        yield np.repeat(np.arange(len(at)), n), np.repeat(first, n) + arrays.within(n)
+
+
+def _needed(n_words: int, threshold: float, least: int) -> float:
+    """The score from which an item of so many words is found: a share of its perfect one, but ``least`` words, or all."""
+    return MATCH * max(threshold * n_words, min(n_words, least))
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -130,51 +167,54 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best, lo, hi
 
 
-def _spans(shared, seed: int, threshold: float):
+def _spans(shared, seed: int, threshold: float, least: int):
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, gram_items, gram_offsets, gram_first, items = shared.value
         sorted_items = [np.sort(x) for x in items]
+        entries = np.repeat(np.arange(len(grams)), np.diff(gram_offsets)) * max(len(items), 1) + gram_items
         known: dict[tuple, tuple[int, int, int]] = {}
+
+        def aligned(key: tuple[int, bytes], passage: np.ndarray) -> tuple[int, int, int]:
+            if key not in known:
+                if len(known) > 20_000:
+                    known.clear()
+                known[key] = align(items[key[0]], passage)
+            return known[key]
+
         for batch in batches:
             for part in arrays.slices(batch, "text"):
                 lengths, words = _words(part.column("text"))
                 begin = arrays.starts(lengths)
                 owner, position, at = _hits(lengths, words, grams, seed)
-                # Every seed hit with every item that has this seed, as the place where the item would begin.
-                n = (gram_offsets[at + 1] - gram_offsets[at]).astype(np.int64)
-                entry = np.repeat(gram_offsets[at], n) + arrays.within(n)
-                doc, item = np.repeat(owner, n), gram_items[entry]
-                origin = np.repeat(position, n) - gram_first[entry]
-                order = np.lexsort((origin, item, doc))
-                doc, item, origin = doc[order], item[order], origin[order]
                 best: dict[tuple[int, int], tuple[float, int, int]] = {}
-                lo = 0
-                while lo < len(doc):
-                    target = items[item[lo]]
-                    reach = max(2, len(target) // 2)
-                    # Hits of one item at nearby places are one passage.
-                    hi = lo + 1
-                    while hi < len(doc) and doc[hi] == doc[lo] and item[hi] == item[lo] and origin[hi] - origin[hi - 1] <= reach:
-                        hi += 1
-                    d, i = int(doc[lo]), int(item[lo])
-                    a = max(0, int(origin[lo]) - reach)
-                    z = min(int(lengths[d]), int(origin[hi - 1]) + len(target) + reach)
-                    lo = hi
-                    passage = words[begin[d] + a : begin[d] + z]
-                    perfect = MATCH * len(target)
-                    own = sorted_items[i]
-                    place = np.searchsorted(own, passage)
-                    inside = own[np.minimum(place, len(own) - 1)] == passage
-                    if MATCH * int(inside.sum()) < threshold * perfect:
-                        continue
-                    key = (i, passage.tobytes())
-                    if key not in known:
-                        if len(known) > 20_000:
-                            known.clear()
-                        known[key] = align(target, passage)
-                    score, s, e = known[key]
-                    if score >= threshold * perfect and score / perfect > best.get((d, i), (0.0,))[0]:
-                        best[d, i] = (score / perfect, a + s, a + e)
+                for hit, entry in _portions(at, entries, 0, len(items), max(len(items), 1)):
+                    # The place where the item would begin.
+                    doc, item, origin = owner[hit], gram_items[entry], position[hit] - gram_first[entry]
+                    order = np.lexsort((origin, item, doc))
+                    doc, item, origin = doc[order], item[order], origin[order]
+                    lo = 0
+                    while lo < len(doc):
+                        target = items[item[lo]]
+                        reach = max(2, len(target) // 2)
+                        # Hits of one item at nearby places are one passage.
+                        hi = lo + 1
+                        while hi < len(doc) and doc[hi] == doc[lo] and item[hi] == item[lo] and origin[hi] - origin[hi - 1] <= reach:
+                            hi += 1
+                        d, i = int(doc[lo]), int(item[lo])
+                        a = max(0, int(origin[lo]) - reach)
+                        z = min(int(lengths[d]), int(origin[hi - 1]) + len(target) + reach)
+                        lo = hi
+                        passage = words[begin[d] + a : begin[d] + z]
+                        needed = _needed(len(target), threshold, least)
+                        own = sorted_items[i]
+                        place = np.searchsorted(own, passage)
+                        inside = own[np.minimum(place, len(own) - 1)] == passage
+                        if MATCH * int(inside.sum()) < needed:
+                            continue
+                        score, s, e = aligned((i, passage.tobytes()), passage)
+                        share = score / (MATCH * len(target))
+                        if score >= needed and share > best.get((d, i), (0.0,))[0]:
+                            best[d, i] = (share, a + s, a + e)
                 ids = part.column("doc_id")
                 rows = sorted(best.items())
                 yield pa.RecordBatch.from_arrays(
@@ -199,6 +239,7 @@ def contaminated(
     seed: int = SEED,
     cover: int = COVER,
     threshold: float = THRESHOLD,
+    least: int = LEAST,
     broadcast_grams: int = BROADCAST_GRAMS,
 ) -> DataFrame:
     """One row per document and item found in it: ids, score, the passage's word positions, and ``row``, a hash of id and text."""
@@ -221,7 +262,7 @@ def contaminated(
         frequency = counted.groupBy("gram").agg(F.sum("documents").alias("documents")).toArrow()
         seeds = _seeds(own, grams, frequency, cover)
         hits = rows.mapInArrow(
-            _spans(spark.sparkContext.broadcast(seeds), seed, threshold),
+            _spans(spark.sparkContext.broadcast(seeds), seed, threshold, least),
             f"doc_id {doc_type}, row long, item long, score double, start_word long, end_word long",
         )
         names = spark.createDataFrame(
@@ -233,7 +274,9 @@ def contaminated(
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``documents`` without those in which an item was found."""
+    """``documents`` without those in which an item of at least SEED words was found."""
+    words = F.size(F.regexp_extract_all(F.col(options.get("item_text", "text")), F.lit(r"(\S+)"), F.lit(1)))
+    benchmark = benchmark.where(words >= options.get("seed", SEED))
     found = written(contaminated(documents, benchmark, doc_id, text, **options).select(F.col("row").alias("__row")).distinct())
     return documents.withColumn("__row", F.xxhash64(doc_id, text)).join(found, "__row", "left_anti").select(*documents.columns)
 
