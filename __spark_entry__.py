@@ -46,6 +46,8 @@ AS_OF = datetime(2001, 11, 5)
 MONITOR_DAY = date(2001, 8, 1)
 CHECKS_DAY = date(2024, 1, 31)
 LATE_MONTH = date(1999, 3, 1)
+# Days on which the strictest screens find something at every size.
+RISING_DAY, BREAKOUT_DAY = date(1999, 12, 24), date(2001, 7, 8)
 
 _lakes: dict[tuple[str, str], Lakehouse] = {}
 
@@ -94,10 +96,10 @@ def _audit(adapter: Callable[[SparkSession, str], DataFrame], build: Callable[[D
     return lambda spark, sf_dir: build(adapter(spark, sf_dir))
 
 
-def _screens(name: str, table: str, build: Callable[..., DataFrame]) -> dict[str, Query]:
-    """A screen for the newest day and the same screen for every day."""
+def _screens(name: str, table: str, build: Callable[..., DataFrame], when=screens.LATEST) -> dict[str, Query]:
+    """A screen for the newest day, or one on which it finds something, and the same screen for every day."""
     return {
-        name: _gold(table, build),
+        name: _gold(table, lambda df: build(df, when)),
         f"{name}_daily": _gold(table, lambda df: build(df, screens.EACH_DAY)),
     }
 
@@ -361,13 +363,13 @@ def queries() -> dict[str, Query]:
         "sector_daily_reduced": _gold(SECTOR, gold.sector_daily_reduced),
         "gainers_reduced": _gold(MOVERS, gold.gainers_reduced),
         # screens
-        **_screens("screen_momentum", MULTITIME, screens.momentum),
-        **_screens("screen_consistent_uptrend", MULTITIME, screens.consistent_uptrend),
+        **_screens("screen_momentum", MULTITIME, screens.momentum, RISING_DAY),
+        **_screens("screen_consistent_uptrend", MULTITIME, screens.consistent_uptrend, RISING_DAY),
         **_screens("screen_top_performers_30d", MULTITIME, screens.top_performers_30d),
         **_screens("screen_sector_leaders", STRENGTH, screens.sector_leaders),
         **_screens("screen_leaders_by_outperformance", STRENGTH, screens.leaders_by_outperformance),
         **_screens("screen_top_per_sector", STRENGTH, screens.top_per_sector),
-        **_screens("screen_breakouts", TECHNICAL, screens.breakout_candidates),
+        **_screens("screen_breakouts", TECHNICAL, screens.breakout_candidates, BREAKOUT_DAY),
         **_screens("screen_at_year_high", TECHNICAL, screens.at_year_high),
         **_screens("screen_near_year_high", TECHNICAL, screens.near_year_high),
         **_screens("screen_bullish_alignment", DAILY, screens.bullish_alignment),

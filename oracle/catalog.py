@@ -30,12 +30,13 @@ AS_OF = "TIMESTAMP '2001-11-05'"
 TO_DAILY = TO_SILVER + DAILY
 
 
-def _screen(ctes: str, table: str, where: str, order: str, k: int | None, columns: str) -> tuple[str, str]:
-    """The screen for the newest day and for every day."""
+def _screen(ctes: str, table: str, where: str, order: str, k: int | None, columns: str, day: str | None = None) -> tuple[str, str]:
+    """The screen for the newest or the given day, and for every day."""
     cond = f" AND {where}" if where else ""
     limit = f" LIMIT {k}" if k else ""
+    when = f"DATE '{day}'" if day else f"(SELECT max(date) FROM {table})"
     latest = (
-        f"{ctes} SELECT {columns} FROM {table} WHERE date = (SELECT max(date) FROM {table}){cond} "
+        f"{ctes} SELECT {columns} FROM {table} WHERE date = {when}{cond} "
         f"ORDER BY {order}{limit}"
     )
     names = ", ".join(c.strip() for c in columns.split(",") if c.strip() != "date")
@@ -128,10 +129,13 @@ _SCREENS = {
 }
 
 
+_DAYS = {"momentum": "1999-12-24", "consistent_uptrend": "1999-12-24", "breakouts": "2001-07-08"}
+
+
 def _screen_statements() -> dict[str, str]:
     out = {}
     for name, spec in _SCREENS.items():
-        out[f"screen_{name}"], out[f"screen_{name}_daily"] = _screen(*spec)
+        out[f"screen_{name}"], out[f"screen_{name}_daily"] = _screen(*spec, day=_DAYS.get(name))
     return out
 
 
