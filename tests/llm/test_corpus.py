@@ -91,7 +91,7 @@ def targets_by_brute_force(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
     return out
 
 
-def test_mix_meets_its_targets(spark):
+def test_mix_meets_its_targets(spark, monkeypatch):
     rng = random.Random(4)
     rows = []
     for k in range(400):
@@ -112,6 +112,9 @@ def test_mix_meets_its_targets(spark):
         assert target[s] == pytest.approx(want[s])
         assert taken[s] == math.floor(want[s] + 0.5)
     assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(df.repartition(7)).collect()))
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 2)
+    monkeypatch.setattr(mixing, "BLOCK_RANGES", 3)
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(df).collect()))
     assert mixing.mix(documents(spark, [])).count() == 0
     assert mixing.mix(df, carry=["text", "key"]).where("taken > 0").columns[-2:] == ["text", "key"]
 

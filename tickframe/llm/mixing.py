@@ -3,7 +3,7 @@
 Sources have weights and share a budget of words. Every document gets a random
 key, a hash of its id, text and a seed; a source's documents are taken in the
 order of their keys. The order is cut into ranges of keys of about equal size.
-Sums by range, then running sums over the ranges of a source, say how many
+Sums by range, then running sums over blocks of ranges and inside them, say how many
 words lie before each range, so that only the one range of a source that
 contains its cut is put in order row by row. A source whose target is larger
 than itself is taken once in full for each whole epoch, then cut.
@@ -35,6 +35,8 @@ SHARE = 1.5
 MOST_EPOCHS = 2.0
 #: Rows of one range of keys, on average.
 RANGE_ROWS = 5_000
+#: Ranges whose sums are run up together: a task sees so many of a source's ranges, or one row for each block of them.
+BLOCK_RANGES = 2_000
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -85,6 +87,11 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     return rows.select("source", "source_size", "weight", target.alias("target"))
 
 
+def _ahead(size: str, keys: Sequence[str], order: str) -> Column:
+    """Sum over the rows before the own one."""
+    return F.coalesce(F.sum(size).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def mix(
     documents: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -115,14 +122,19 @@ def mix(
     goals = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, most_epochs)
 
     goal = F.round("target").cast("long")
-    before = F.coalesce(F.sum("range_size").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Words before a range: those of the blocks of ranges before its own, and of the ranges before it inside the block.
+    ranges = ranges.withColumn("block", F.floor(F.col("range") / BLOCK_RANGES))
+    blocks = ranges.groupBy("source", "block").agg(F.sum("range_size").alias("block_size"))
+    blocks = blocks.select(F.col("source").alias("__in"), F.col("block").alias("__block"), _ahead("block_size", ["source"], "block").alias("before_block"))
+    ranges = ranges.withColumn("before_range", _ahead("range_size", ["source", "block"], "range"))
+    ranges = ranges.join(blocks, F.col("source").eqNullSafe(F.col("__in")) & (F.col("block") == F.col("__block"))).drop("__in", "__block", "block")
     epochs = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
     # Written, so that its size is known and the documents are not shuffled for a small table.
     cuts = written(
         ranges.join(goals.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
         .withColumn("epochs", epochs)
         .withColumn("rest", goal - F.col("epochs") * F.col("source_size"))
-        .withColumn("before", before)
+        .withColumn("before", F.col("before_block") + F.col("before_range"))
         .select(
             F.col("source").alias("__source"), F.col("range").alias("__range"), "source_size", "target", "epochs",
             F.least(F.greatest(F.col("rest") - F.col("before"), F.lit(0)), F.col("range_size")).alias("part"), "range_size",
