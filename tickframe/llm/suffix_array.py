@@ -227,9 +227,10 @@ def repeated_passages(
     bit_map[bits.column("word").to_numpy()] = bits.column("bits").to_numpy()
     shared = spark.sparkContext.broadcast(bit_map.view(_U64))
     suffixes = rows.mapInArrow(_suffixes(shared, gram, window, least_words), "gram long, row long, position int, after binary, before binary")
-    # By the whole key first, which no passage crowds; the join is then one that skew handling can split.
-    grouped = written(suffixes.groupBy("gram", "after", "before", "row").agg(F.sort_array(F.collect_set("position")).alias("positions")))
-    array = written(grouped.join(anchors, "gram", "left_semi"))
+    array = written(
+        suffixes.join(anchors, "gram", "left_semi")
+        .groupBy("gram", "after", "before", "row").agg(F.sort_array(F.collect_set("position")).alias("positions"))
+    )
     schema = "row long, partner long, diagonal long, start long, end long"
     pairs = neighbours(array, ["gram", "after", "before", "row"], WIDTH, _matches(gram, window), schema, ["gram", "row"]).unionByName(
         neighbours(array, ["gram", "before", "after", "row"], WIDTH, _matches(gram, window), schema, ["gram", "row"])
