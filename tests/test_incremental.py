@@ -76,3 +76,26 @@ def test_nothing_landed_changes_nothing(spark, dim, tmp_path):
     assert files(lake.root, "gold.stock_features") == before and lake.rows["gold.stock_features"] == 160
     with pytest.raises(ValueError):
         Lakehouse(spark, history(spark, range(2)), dim, root=str(tmp_path / "flat")).refresh(history(spark, range(1)))
+
+
+def test_refresh_of_some_tables(spark, dim, tmp_path):
+    everything = history(spark, range(0, 500, 1))
+    held = F.to_date("date").between(date(2020, 7, 1), date(2020, 7, 31))
+    lake = Lakehouse(spark, everything.where(~held), dim, root=str(tmp_path / "some"), by_month=True)
+    lake.gold("top_movers_daily")
+    lake.refresh(everything.where(held), ["market_overview_daily"])
+    # The table asked for, the one that was there, and the one they are read from.
+    assert {t for t in os.listdir(lake.root) if t.startswith("gold.")} == {
+        "gold.stock_features", "gold.ticker_sector_mapping", "gold.top_movers_daily", "gold.market_overview_daily"
+    }
+    rebuilt = Lakehouse(spark, everything, dim, root=str(tmp_path / "all"), by_month=True)
+    for name in ("top_movers_daily", "market_overview_daily", "stock_daily_metrics"):
+        assert differences(lake.gold(name).toPandas(), rebuilt.gold(name).toPandas()) == [], name
+
+
+def test_bars_looked_back_on(spark):
+    first = date(2020, 1, 1)
+    days = [(t, first + timedelta(days=k)) for t, some in (("A", range(20)), ("B", (12,)), ("C", (3, 4))) for k in some]
+    silver = spark.createDataFrame(days, "ticker_standard string, date date")
+    got = sorted(((r.date - first).days, r.ticker_standard) for r in incremental.with_lookback(silver, first + timedelta(days=10), 2).collect())
+    assert got == sorted([(k, "A") for k in range(8, 20)] + [(12, "B"), (3, "C"), (4, "C")])

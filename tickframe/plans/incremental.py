@@ -1,24 +1,26 @@
 """Gold tables brought up to date with a changed silver table, month by month.
 
 A changed bar changes its stock's measures on its own day and on the bars that
-look back on it. Those are found from the keys that a refresh wrote, computed
-anew from the bars they look back on themselves, and merged into the months
-they lie in. The tables by day and sector are rebuilt for those months only.
-Other months are neither read nor written, apart from the bars looked back on.
+look back on it. Those are found from the keys that a refresh wrote. The months
+they lie in are computed anew as a whole, from their bars and those looked back
+on: the rows of a table by month are few columns of silver, so that costs less
+than reading, joining and merging the wide rows that such a month has already.
+The tables by day and sector are rebuilt for those months only. Other months
+are neither read nor written, apart from the bars looked back on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.operators.upsert import upsert_table
+from tickframe.functions.windows import top_per_group
 from tickframe.plans import gold
 from tickframe.plans.screens import MONTH
 from tickframe.sinks import overwrite_partitions
-from tickframe.staging import stored
 
 LOOKBACK = gold.YEAR_ROWS - 1
 
@@ -47,14 +49,24 @@ def months_of(df: DataFrame) -> list:
     return [row[0] for row in df.select(F.trunc(gold.DATE, "MM").alias(MONTH)).distinct().collect()]
 
 
-def refresh_features(spark: SparkSession, silver: DataFrame, sectors: DataFrame, changed: DataFrame, path: str, staging: str) -> list:
-    """Merge the measures that ``changed`` bars reach into the table at ``path``; gives the months that were rewritten."""
-    ranges = stored(reached(silver, changed))
-    bars = silver.join(ranges, gold.KEY).where(F.col(gold.DATE).between(F.col("start"), F.col("last"))).drop("start", "first", "last")
-    features = gold.stock_features(bars, sectors).join(ranges.select(gold.KEY, "first"), gold.KEY).where(F.col(gold.DATE) >= F.col("first")).drop("first")
-    features = stored(features.withColumn(MONTH, F.trunc(gold.DATE, "MM")))
-    upsert_table(spark, path, features, (gold.KEY, gold.DATE), MONTH, staging, check=False)
-    return months_of(features)
+def with_lookback(silver: DataFrame, start: date, lookback: int = LOOKBACK) -> DataFrame:
+    """Bars from the day ``start`` on, and of each stock the ``lookback`` bars before."""
+    key, day = gold.KEY, F.col(gold.DATE)
+    before = top_per_group(silver.select(key, gold.DATE).where(day < F.lit(start)), [key], [day.desc()], lookback, "_n")
+    begins = before.groupBy(key).agg(F.min(day).alias("_begin"))
+    return silver.join(begins, key, "left").where(day >= F.coalesce("_begin", F.lit(start))).drop("_begin")
+
+
+def refresh_features(silver: DataFrame, sectors: DataFrame, changed: DataFrame, path: str) -> list:
+    """Compute the months anew that hold measures which ``changed`` bars reach, in the table at ``path``; gives these months."""
+    ranges = reached(silver, changed)
+    months = months_of(silver.join(ranges, gold.KEY).where(F.col(gold.DATE).between(F.col("first"), F.col("last"))))
+    if months:
+        month = F.trunc(gold.DATE, "MM")
+        bars = with_lookback(silver.where(month <= F.lit(max(months))), min(months))
+        features = gold.stock_features(bars, sectors).withColumn(MONTH, month).where(F.col(MONTH).isin(months))
+        overwrite_partitions(features, path, (MONTH,))
+    return months
 
 
 def refresh_months(months: list, source: DataFrame, tables: Mapping[str, Callable[[DataFrame], DataFrame]]) -> None:

@@ -7,7 +7,7 @@ session names in ``spark.checkpoint.dir``: a lost executor costs a re-read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,14 +19,14 @@ from tickframe.operators.upsert import read_if_exists, upsert_table
 from tickframe.plans import gold, incremental
 from tickframe.plans.screens import MONTH
 from tickframe.schemas import LAYER_METRICS
-from tickframe.sinks import delete, overwrite_partitions, write_table
+from tickframe.sinks import delete, exists, overwrite_partitions, write_table
 from tickframe.sources.bars import BUCKET, with_bucket
 from tickframe.staging import shared_folder, stored
 
 BRONZE, SECTORS = "bronze.stock_prices_raw", "gold.ticker_sector_mapping"
 SILVER, QUARANTINE = "silver.stock_prices_clean", "silver.stock_prices_quarantine"
 
-FEATURES = "gold.stock_features"
+FEATURES, STRENGTH = "gold.stock_features", "stock_relative_strength"
 
 #: Bronze is laid out by landing period and, below that, by hashed ticker.
 BRONZE_LAYOUT = ("ingestion_date", BUCKET)
@@ -182,16 +182,23 @@ class Lakehouse:
             for name in (*PER_STOCK, *FROM_DAILY, "stock_relative_strength"):
                 self.gold(name)
 
-    def refresh(self, landed: DataFrame) -> None:
+    def refresh(self, landed: DataFrame, names: Sequence[str] | None = None) -> None:
         """Take in newly landed bars: append them to bronze, merge them into silver, bring the gold tables up to date.
 
+        These are all gold tables, or, with ``names``, those and the ones that the lake has already.
+
         For tables laid out by month. Months that the new bars do not reach are not rewritten; the result equals a
         rebuild from all bars, if bars of a ticker and day land in the order they are taken in. One caller at a time;
         a call that failed is repeated after removing what it appended to bronze.
         """
         if not self.by_month:
             raise ValueError("only a lake that is laid out by month can be refreshed")
-        self.build()
+        self.build("bronze")
+        self.build("silver")
+        for name in (*PER_STOCK, *FROM_DAILY, STRENGTH):
+            own = FEATURES if name in PER_STOCK else f"gold.{name}"
+            if names is None or name in names or exists(self.spark, f"{self.root}/{own}"):
+                self.gold(name)
         path = {name: f"{self.root}/{name}" for name in (BRONZE, SILVER, QUARANTINE, FEATURES)}
         staging = shared_folder(self.spark)
         write_table(with_bucket(landed).select(*self.landed.columns), path[BRONZE], BRONZE_LAYOUT, mode="append")
@@ -203,18 +210,21 @@ class Lakehouse:
         write_table(bad.select(*self.quarantine.columns), path[QUARANTINE], mode="append")
 
         self._reread(BRONZE, SILVER, QUARANTINE)
-        changed = valid.select(*KEYS)
-        months = incremental.refresh_features(self.spark, self.silver, self.sectors, changed, path[FEATURES], f"{staging}/features")
-        self._reread(FEATURES)
-        daily = self.written(FEATURES, self._features)
-        incremental.refresh_months(
-            months, daily, {f"{self.root}/gold.{name}": lambda df, make=make: make(df.select(*gold.DAILY_COLUMNS)) for name, make in FROM_DAILY.items()}
-        )
-        incremental.refresh_months(
-            incremental.months_of(valid), self.silver,
-            {f"{self.root}/gold.stock_relative_strength": lambda df: gold.stock_relative_strength(df, self.sectors)},
-        )
-        self._reread(*[f"gold.{name}" for name in (*FROM_DAILY, "stock_relative_strength")])
+        if FEATURES in self._tables:
+            months = incremental.refresh_features(self.silver, self.sectors, valid.select(*KEYS), path[FEATURES])
+            self._reread(FEATURES)
+            daily = {name: make for name, make in FROM_DAILY.items() if f"gold.{name}" in self._tables}
+            incremental.refresh_months(
+                months, self.written(FEATURES, self._features),
+                {f"{self.root}/gold.{name}": lambda df, make=make: make(df.select(*gold.DAILY_COLUMNS)) for name, make in daily.items()},
+            )
+            self._reread(*[f"gold.{name}" for name in daily])
+        if f"gold.{STRENGTH}" in self._tables:
+            incremental.refresh_months(
+                incremental.months_of(valid), self.silver,
+                {f"{self.root}/gold.{STRENGTH}": lambda df: gold.stock_relative_strength(df, self.sectors)},
+            )
+            self._reread(f"gold.{STRENGTH}")
 
     def _reread(self, *names: str) -> None:
         """Look at tables again whose files have changed, and count them."""
