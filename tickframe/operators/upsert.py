@@ -71,7 +71,8 @@ def upsert_table(
     ``partition`` must follow from the keys (say, the month of the date), so that
     a matching row can only live in a partition the source names. The source is
     written to ``staging`` first, so its plan runs once, and so are the merged
-    partitions: the swap then reads nothing of the table it replaces. A call with
+    partitions: the swap then reads nothing of the table it replaces. Staged rows
+    are read whole, so only the swap brings them together by partition. A call with
     the same ``staging`` folder first finishes the swap of one that was
     interrupted; use one folder per table, and one writer at a time. Columns that
     only the table or only the source has are kept, with NULL for the other.
@@ -80,7 +81,7 @@ def upsert_table(
     recover(spark, path, partition, staging)
 
     def staged(df: DataFrame, name: str) -> DataFrame:
-        write_table(df, f"{staging}/{name}", (partition,))
+        write_table(df, f"{staging}/{name}")
         return spark.read.schema(df.schema).parquet(f"{staging}/{name}")
 
     target = read_if_exists(spark, path)
