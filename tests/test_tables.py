@@ -342,3 +342,30 @@ def test_latest_bar_does_not_depend_on_row_order(spark):
     rows = [bar(close=10.0), bar(close=11.0), bar(close=10.5)]
     for order in (rows, rows[::-1]):
         assert silver_bars(bars(spark, *order).drop("record_id")).first().close == 11.0
+
+
+def test_one_table_is_written_with_its_own_columns(spark, history, tmp_path):
+    lake = Lakehouse(spark, *history, root=str(tmp_path / "own"))
+    lake.gold("market_overview_daily")
+    assert sorted(t for t in os.listdir(lake.root) if t.startswith("gold.stock")) == ["gold.stock_daily_metrics"]
+    read = {r.table_name: r.rows_read for r in lake.metrics("r").collect()}
+    assert read["gold.market_overview_daily"] == lake.rows["gold.stock_daily_metrics"] == read["gold.stock_daily_metrics"]
+    whole = Lakehouse(spark, *history, root=str(tmp_path / "whole"))
+    whole.build()
+    assert not os.path.exists(f"{whole.root}/gold.stock_daily_metrics")
+    for name in ("stock_daily_metrics", "stock_technical_levels", "market_overview_daily"):
+        assert differences(lake.gold(name).toPandas(), whole.gold(name).toPandas()) == []
+
+
+def test_merged_rows_are_staged_as_they_are(spark, tmp_path, monkeypatch):
+    path, staging, schema = str(tmp_path / "t"), str(tmp_path / "s"), "k int, month string, v string"
+    upsert_table(spark, path, spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], schema), ["k"], "month", staging)
+    upsert_table(spark, path, spark.createDataFrame([(2, "b", "Y"), (3, None, "z")], schema), ["k"], "month", staging)
+    assert not [d for d in os.listdir(f"{staging}/source") if d.startswith("month=")]
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, "x"), (2, "Y"), (3, "z")]
+
+
+def test_daily_drops_are_compressed(spark, tmp_path):
+    landing = str(tmp_path / "landing")
+    export_daily_json(bars(spark, bar(day=0)).select(*BAR_COLUMNS), landing)
+    assert {f.rsplit(".", 1)[1] for f in os.listdir(f"{landing}/drop_date=2020-01-01") if f.startswith("part-")} == {"gz"}

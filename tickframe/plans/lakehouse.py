@@ -45,7 +45,7 @@ FROM_DAILY = {
 # The table each written table is read from, for its audit row.
 READS = {
     SILVER: BRONZE, QUARANTINE: BRONZE, FEATURES: SILVER, "gold.stock_relative_strength": SILVER,
-    **{f"gold.{name}": FEATURES for name in FROM_DAILY},
+    **{f"gold.{name}": SILVER for name in PER_STOCK}, **{f"gold.{name}": FEATURES for name in FROM_DAILY},
 }
 
 def silver_bars(bronze: DataFrame, exchange_tz: str | None = None) -> DataFrame:
@@ -166,11 +166,11 @@ class Lakehouse:
         return FROM_DAILY[name](self.gold("stock_daily_metrics"))
 
     def gold(self, name: str) -> DataFrame:
-        """A written gold table; the per-stock tables share one."""
-        if name in PER_STOCK:
+        """A written gold table; the per-stock tables share one where the lake has it or is laid out by month, else each has its own columns alone."""
+        if name in PER_STOCK and (self.by_month or FEATURES in self._tables or exists(self.spark, f"{self.root}/{FEATURES}")):
             return self.written(FEATURES, self._features, monthly=True).select(*PER_STOCK[name], MONTH)
         table = self.written(f"gold.{name}", lambda: self.plan(name), monthly=True)
-        return table if name == "stock_relative_strength" else table.drop(MONTH)
+        return table if name in (*PER_STOCK, STRENGTH) else table.drop(MONTH)
 
     def build(self, layer: str = "all") -> None:
         """Write the tables of one layer, with those they derive from, or of all."""
@@ -179,6 +179,7 @@ class Lakehouse:
         if layer in ("all", "silver"):
             self.silver, self.quarantine
         if layer in ("all", "gold"):
+            self.written(FEATURES, self._features, monthly=True)
             for name in (*PER_STOCK, *FROM_DAILY, "stock_relative_strength"):
                 self.gold(name)
 
@@ -236,7 +237,10 @@ class Lakehouse:
         """Audit rows of the tables written so far, and of those whose writing failed."""
         rows = []
         for name, (start, end) in self._times.items():
-            layer, read = name.split(".")[0], self.rows.get(READS.get(name, ""), 0)
+            source = READS.get(name, "")
+            if source == FEATURES and FEATURES not in self.rows:
+                source = "gold.stock_daily_metrics"
+            layer, read = name.split(".")[0], self.rows.get(source, 0)
             seconds = (end - start).total_seconds()
             error = self._errors.get(name)
             rows.append((
