@@ -19,7 +19,7 @@ from tickframe.operators.upsert import DuplicateSourceKeys, upsert, upsert_table
 from tickframe.plans import monitor, screens
 from tickframe.plans.lakehouse import Lakehouse, refresh_silver, silver_bars
 from tickframe.schemas import BAR_COLUMNS
-from tickframe.sinks import append_audit, append_bars, export_daily_json, overwrite_partitions, write_table
+from tickframe.sinks import append_audit, append_bars, clustered, export_daily_json, overwrite_partitions, write_table
 from tickframe.sources import bars as sources
 from tickframe.sources import seed
 from tickframe.streaming.ingest import ingest_available
@@ -369,3 +369,18 @@ def test_daily_drops_are_compressed(spark, tmp_path):
     landing = str(tmp_path / "landing")
     export_daily_json(bars(spark, bar(day=0)).select(*BAR_COLUMNS), landing)
     assert {f.rsplit(".", 1)[1] for f in os.listdir(f"{landing}/drop_date=2020-01-01") if f.startswith("part-")} == {"gz"}
+
+
+def test_clustering_stays_within_the_shuffle_that_does_not_sort(spark, tmp_path):
+    """Beyond the bypass threshold a map task would hold, and spill, all the rows it deals out."""
+    rows, path = spark.range(50).selectExpr("id % 5 AS k", "id"), str(tmp_path / "t")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for wanted, used in (("1000", 200), ("7", 7)):
+            spark.conf.set("spark.sql.shuffle.partitions", wanted)
+            plan = clustered(rows, ("k",))._jdf.queryExecution().executedPlan().toString()
+            assert f", {used}), REBALANCE_PARTITIONS_BY_COL" in plan
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    write_table(rows, path, ("k",))
+    assert sorted((r.id, r.k) for r in spark.read.parquet(path).collect()) == [(i, i % 5) for i in range(50)]

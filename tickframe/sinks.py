@@ -7,21 +7,38 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Of tables without folders. Those in folders keep the session's codec: bronze is sorted as it is read, by tasks that
+#: would hold the more rows the smaller its files are.
+COMPRESSION = "zstd"
+
+
+def clustered(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of equal ``columns`` brought together, for a write into their folders.
+
+    The rebalance hint lets adaptive execution merge small and split large
+    shuffle partitions, so their number need not follow the input. It stays at or
+    below ``spark.shuffle.sort.bypassMergeThreshold``: up to there a map task
+    appends its rows to a file per partition, beyond it holds them all in memory
+    to sort them, and spills whole rows where its share of the input is large.
+    """
+    spark = df.sparkSession
+    most = max(1, int(spark.conf.get("spark.shuffle.sort.bypassMergeThreshold", "200")))
+    return df.hint("rebalance", min(most, int(spark.conf.get("spark.sql.shuffle.partitions"))), *columns)
+
 
 def write_table(
     df: DataFrame, path: str, partitions: Sequence[str] = (), mode: str = "overwrite"
 ) -> None:
     """Write Parquet, clustered by the partition columns if there are any.
 
-    The rebalance hint lets adaptive execution merge small and split large
-    shuffle partitions: no file per task and partition value, and a value with a
-    large share of the rows is written by several tasks. Without partition
-    columns the rows are written where they are, without a shuffle.
+    So there is no file per task and partition value, and a value with a large
+    share of the rows is written by several tasks. Without partition columns the
+    rows are written where they are, without a shuffle.
     """
     if partitions:
-        df.hint("rebalance", *partitions).write.mode(mode).partitionBy(*partitions).parquet(path)
+        clustered(df, partitions).write.mode(mode).partitionBy(*partitions).parquet(path)
     else:
-        df.write.mode(mode).parquet(path)
+        df.write.mode(mode).option("compression", COMPRESSION).parquet(path)
 
 
 def write_bucketed(df: DataFrame, table: str, path: str, key: str, order: str, buckets: int) -> DataFrame:
@@ -43,7 +60,7 @@ def append_bars(df: DataFrame, path: str, partitions: Sequence[str] = ("ingestio
 def overwrite_partitions(df: DataFrame, path: str, partitions: Sequence[str]) -> None:
     """Replace only the partitions present in ``df``."""
     (
-        df.hint("rebalance", *partitions)
+        clustered(df, partitions)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partitions)
