@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import bar, bars, rows_by
 from tickframe.operators.clean import clean, duplicate_keys, gap_report, keep_latest, trading_date
+from tickframe.operators.quality import RuleSet, bar_rules
 from tickframe.plans.lakehouse import quarantined_bars, silver_bars
 
 
@@ -82,3 +83,13 @@ def test_every_bar_is_either_valid_or_quarantined(spark):
     assert set(bad["high"].failure_reasons) == {"high_is_highest", "low_is_lowest"}
     low = {"low": ["low_is_lowest"]}
     assert rows_by(quarantined_bars(bars(spark, bar(low=10.5, rid="low"))), "record_id")["low"].failure_reasons == low["low"]
+
+
+def test_derived_columns_are_not_shuffled_to_find_the_latest(spark):
+    raw = bars(spark, bar(close=10.5, rid="r1"), bar(close=11.0, rid="r2"), bar(low=-1.0, day=1))
+    out = silver_bars(raw)
+    below = out._jdf.queryExecution().executedPlan().toString().split("Exchange", 1)[1]
+    assert not any(c in below for c in ("daily_return_pct", "price_range", "is_trading_day"))
+    want = keep_latest(RuleSet(bar_rules()).valid(clean(raw)))
+    assert out.columns == want.columns and out.collect() == want.collect()
+    assert out.first().daily_return_pct == 10.0

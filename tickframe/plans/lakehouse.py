@@ -13,7 +13,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.operators.clean import KEYS, clean, keep_latest
+from tickframe.operators.clean import KEYS, clean, conform, enrich, keep_latest
 from tickframe.operators.quality import RuleSet, bar_rules
 from tickframe.operators.upsert import read_if_exists, upsert_table
 from tickframe.plans import gold, incremental
@@ -49,8 +49,12 @@ READS = {
 }
 
 def silver_bars(bronze: DataFrame, exchange_tz: str | None = None) -> DataFrame:
-    """Typed, valid, unique bars."""
-    return keep_latest(RuleSet(bar_rules()).valid(clean(bronze, exchange_tz)))
+    """Typed, valid, unique bars.
+
+    What follows from a bar's other columns is derived from the bars that are kept: it cannot tell two of them apart,
+    and would only widen the rows that are sorted and shuffled.
+    """
+    return enrich(keep_latest(RuleSet(bar_rules()).valid(conform(bronze, exchange_tz))))
 
 
 def quarantined_bars(bronze: DataFrame, at: datetime | None = None, exchange_tz: str | None = None) -> DataFrame:
