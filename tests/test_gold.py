@@ -104,6 +104,15 @@ def test_rows_are_numbered_over_all_ranges(spark):
     assert numbered(df.limit(0), ["a", "b"], "n", stored).count() == 0
 
 
+def test_numbering_shuffles_the_rows_once(spark):
+    df = spark.createDataFrame([(2, "x"), (None, "y"), (1, "z")], "a int, b string")
+    out = numbered(df, [F.col("a").desc_nulls_last(), "b"], "n", stored)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # Rows that are read back keep their place; only the sizes of the ranges are gathered.
+    assert "row_number" not in plan and "SortMergeJoin" not in plan
+    assert {r.b: r.n for r in out.collect()} == {"x": 0, "z": 1, "y": 2}
+
+
 def test_technical_flags(spark):
     closes = [100.0] * 25 + [150.0]
     df = silver(spark, {"A": closes}).withColumn(

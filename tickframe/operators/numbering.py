@@ -4,22 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_PART, _N, _BEFORE = "_part", "_n", "_before"
+_PART, _N, _BEFORE, _INSIDE = "_part", "_n", "_before", "_inside"
 
 
-def numbered(df: DataFrame, order: Sequence[str], into: str, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``df`` with ``into``, each row's place from 0 in the order of some columns, nulls first.
+def numbered(df: DataFrame, order: Sequence[str | Column], into: str, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``df`` with ``into``, each row's place from 0 in the order of some columns, nulls first unless they say otherwise.
 
-    Rows are dealt over tasks by ranges of the order and written by ``store``,
-    which reads them back. A row's number is its place inside its range plus the
-    sizes of the ranges before, so the one window without a key sees a row a
-    range. Rows of equal order go to one task: name columns that tell them apart.
+    Rows are dealt over tasks by ranges of the order, sorted and numbered there,
+    and written by ``store``, which reads them back: one shuffle of the rows. A
+    row's number is its place inside its range plus the sizes of the ranges
+    before, so the one window without a key sees a row a range; there are no more
+    ranges than shuffle partitions, so their sizes go to every task. Rows of equal
+    order go to one task: name columns that tell them apart.
     """
-    ranged = store(df.repartitionByRange(*order).withColumn(_PART, F.spark_partition_id()))
+    # The lower 33 bits of the id count the rows of a task, in the order they are in.
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = store(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({_PART: F.spark_partition_id(), _INSIDE: inside}))
     sizes = ranged.groupBy(_PART).agg(F.count("*").alias(_N))
     before = sizes.select(_PART, (F.sum(_N).over(Window.orderBy(_PART)) - F.col(_N)).alias(_BEFORE))
-    inside = F.row_number().over(Window.partitionBy(_PART).orderBy(*order)) - 1
-    return ranged.withColumn(into, inside).join(before, _PART).withColumn(into, F.col(into) + F.col(_BEFORE)).drop(_PART, _BEFORE)
+    return ranged.join(F.broadcast(before), _PART).withColumn(into, F.col(_INSIDE) + F.col(_BEFORE)).drop(_PART, _BEFORE, _INSIDE)

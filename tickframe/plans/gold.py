@@ -250,12 +250,12 @@ def stock_relative_strength(
     """
     ret = F.col("daily_return_pct")
     exact = ret.cast(RETURN)
-    bars = with_sector(silver.select(KEY, DATE, "close", "daily_return_pct"), sectors).withColumns(
-        {"_mapped": F.col("sector").isNotNull(), "_missing": exact.isNull(), "_worse": -exact}
-    )
+    bars = with_sector(silver.select(KEY, DATE, "close", "daily_return_pct"), sectors).withColumn("_mapped", F.col("sector").isNotNull())
+    # The rows that are dealt by range carry nothing that their other columns tell.
+    bars = bars.withColumn("_sector", F.coalesce("sector", F.lit(""))).drop("sector")
     group = ["_sector", "_mapped", DATE]
     # Best return first; a missing one ranks last.
-    bars = numbered(bars.withColumn("_sector", F.coalesce("sector", F.lit(""))), [*group, "_missing", "_worse", KEY], "_number", store)
+    bars = numbered(bars, [*group, exact.desc_nulls_last(), KEY], "_number", store)
     in_market = Window.partitionBy(DATE)
 
     def mean_of(total: Column, seen: Column) -> Column:
@@ -275,7 +275,7 @@ def stock_relative_strength(
         )
     )
     rank = (F.col("_number") - F.col("_first") + 1).cast("int")
-    ranked = bars.join(benchmarks, group).withColumn("rank_in_sector", rank)
+    ranked = bars.join(benchmarks, group).withColumns({"rank_in_sector": rank, "sector": F.when(F.col("_mapped"), F.col("_sector"))})
     versus_sector, versus_market = F.col("outperformance_vs_sector_pct"), F.col("outperformance_vs_market_pct")
     return (
         ranked.withColumns(
