@@ -11,6 +11,7 @@ from oracle.fragments import (
     METRICS,
     MOVERS,
     MULTITIME,
+    NATION_BARS,
     OVERVIEW,
     RUNS,
     SECTOR_DAILY,
@@ -238,7 +239,7 @@ _AVG_SECONDS = "CAST(sum(CAST(duration_seconds AS DECIMAL(18,6))) AS DOUBLE) / c
 
 STATEMENTS: dict[str, str] = {
     "bars_raw": f"{BRONZE} SELECT * FROM raw_bars",
-    "bars_normalised": f"""{BRONZE} SELECT ticker, date, open, high, low, close, volume,
+    "bars_normalised": f"""WITH{NATION_BARS} SELECT ticker, date, open, high, low, close, volume,
         {AS_OF} AS ingestion_timestamp, 'vendor' AS source, CAST({AS_OF} AS DATE) AS ingestion_date FROM raw_bars""",
     "ingest_date_range": f"""{BRONZE} SELECT * FROM raw_bars
         WHERE date >= DATE '2001-08-01' - 1825 AND date < DATE '2001-08-01'""",

@@ -65,6 +65,13 @@ raw_bars AS (
   )
 )"""
 
+# The bars of nations: a line item's supplier and its nation are looked up.
+NATION_BARS = (
+    RAW_BARS.replace("'sup' || l_suppkey || '.ns '", "lower(n_name) || '.ns '")
+    .replace("WHEN l_suppkey % 2", "WHEN n_nationkey % 2")
+    .replace("FROM lineitem))", "FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey))")
+)
+
 TYPED = f""",
 typed AS (
   SELECT * REPLACE (CAST(date AS DATE) AS date),

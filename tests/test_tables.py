@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import __spark_entry__ as contract
 from tests.compare import differences
 from tests.helpers import bar, bars, sectors
 from tickframe import schemas
@@ -384,3 +385,20 @@ def test_clustering_stays_within_the_shuffle_that_does_not_sort(spark, tmp_path)
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
     write_table(rows, path, ("k",))
     assert sorted((r.id, r.k) for r in spark.read.parquet(path).collect()) == [(i, i % 5) for i in range(50)]
+
+
+def test_normalised_bars_look_up_supplier_and_nation(spark, tmp_path):
+    columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate timestamp_ntz"
+    items = [(k, 1, supplier, 1, 2.0, 20.0, 0.05, 0.0, datetime(2000, 1, 3)) for k, supplier in enumerate((5, 6, 5, 7, 8), 1)]
+    tables = {
+        "lineitem": spark.createDataFrame(items, columns),
+        # Of the five line items' suppliers one has no nation, and one is not known.
+        "supplier": spark.createDataFrame([(5, 1), (6, 2), (7, 9)], "s_suppkey long, s_nationkey int"),
+        "nation": spark.createDataFrame([(1, "PERU"), (2, "KENYA")], "n_nationkey int, n_name string"),
+    }
+    for name, rows in tables.items():
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = contract.queries()["bars_normalised"](spark, str(tmp_path)).collect()
+    assert sorted(r.ticker for r in got) == ["kenya.ns ", "peru.ns ", "peru.ns "] and {r.source for r in got} == {"vendor"}
+    # 2 924 days after the first of 1992: prices of nations with an even number rise with them, the others fall.
+    assert {r.ticker: r.open for r in got} == {"peru.ns ": 10.0 + 1000 * (3700 - 2924), "kenya.ns ": 10.0 + 1000 * 2924}
