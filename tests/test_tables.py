@@ -402,3 +402,28 @@ def test_normalised_bars_look_up_supplier_and_nation(spark, tmp_path):
     assert sorted(r.ticker for r in got) == ["kenya.ns ", "peru.ns ", "peru.ns "] and {r.source for r in got} == {"vendor"}
     # 2 924 days after the first of 1992: prices of nations with an even number rise with them, the others fall.
     assert {r.ticker: r.open for r in got} == {"peru.ns ": 10.0 + 1000 * (3700 - 2924), "kenya.ns ": 10.0 + 1000 * 2924}
+
+
+def test_repeated_refresh_moves_no_row_of_the_table(spark, tmp_path, monkeypatch):
+    """The second refresh replaces every bar: only keys are compared, and no copy of all flagged bars is staged."""
+    days = bars(spark, *[bar(t, d, rid=f"{t}{d}") for t in ("A.NS", "B.NS") for d in range(70)], bar(day=3, low=-1.0, rid="x"))
+    path, staging, plans = str(tmp_path / "silver"), str(tmp_path / "s"), []
+    write = upserts.write_table
+    monkeypatch.setattr(upserts, "clustered", lambda df, columns: pytest.fail("silver's rows are written where they are"))
+    monkeypatch.setattr(upserts, "write_table", lambda df, to, *a, **k: (plans.append((to, df)), write(df, to, *a, **k)))
+    for _ in range(2):
+        refresh_silver(spark, days, path, staging, quarantine=str(tmp_path / "bad"))
+    kept = next(df for to, df in plans if to.endswith("/kept"))
+    assert "BroadcastHashJoin" in kept._jdf.queryExecution().executedPlan().toString() and kept.count() == 0
+    assert not os.path.exists(f"{staging}/flagged") and not os.path.exists(f"{staging}/kept")
+    assert differences(spark.read.parquet(path).drop("month").toPandas(), silver_bars(days).toPandas()) == []
+
+
+@pytest.mark.parametrize("replaced", [(1,), (1, 2, 3, 4), (None, 1, 2, 3, 4, 5), ()])
+def test_rows_without_a_source_key_are_kept(spark, tmp_path, replaced):
+    """Whichever keys are the fewer: rows with a NULL key match nothing, repeated ones stay repeated."""
+    rows = [(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "e"), (5, "f"), (None, "g")]
+    staged = lambda df, name: (write_table(df, f"{tmp_path}/{name}"), spark.read.schema(df.schema).parquet(f"{tmp_path}/{name}"))[1]
+    source = spark.createDataFrame([(k,) for k in replaced], "k int")
+    got = upserts._without(pairs(spark, rows), source, ["k"], staged).collect()
+    assert sorted(r.v for r in got) == [v for k, v in rows if k is None or k not in replaced]

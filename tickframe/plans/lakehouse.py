@@ -19,7 +19,7 @@ from tickframe.operators.upsert import read_if_exists, upsert_table
 from tickframe.plans import gold, incremental
 from tickframe.plans.screens import MONTH
 from tickframe.schemas import LAYER_METRICS
-from tickframe.sinks import delete, exists, overwrite_partitions, write_table
+from tickframe.sinks import clustered, exists, overwrite_partitions, write_table
 from tickframe.sources.bars import BUCKET, with_bucket
 from tickframe.staging import shared_folder, stored
 
@@ -75,21 +75,14 @@ def refresh_silver(
     The table is kept by month of the trading day, which follows from the merge
     key, so a daily refresh rewrites the months it has bars for and no others.
     Bars that break a rule go to the table at ``quarantine``, kept by landing day:
-    a refresh replaces the days it covers, so repeating it adds nothing.
+    a refresh replaces the days it covers, so repeating it adds nothing. ``bronze``
+    is read for either: a copy with the flags of all bars would cost more.
     """
     landed = bronze if since is None else bronze.where(F.col("ingestion_date") >= F.lit(since))
-    rules = RuleSet(bar_rules())
-    flagged = rules.flag(clean(landed, exchange_tz))
-    write_table(flagged, f"{staging}/flagged")
-    flagged = spark.read.schema(flagged.schema).parquet(f"{staging}/flagged")
-    helpers = [r.column for r in rules.rules]
-    valid = flagged.where("is_valid").drop(*helpers, "is_valid", "failure_reasons")
-    upsert_table(spark, path, with_month(keep_latest(valid)), KEYS, MONTH, staging, check=False)
+    upsert_table(spark, path, with_month(silver_bars(landed, exchange_tz)), KEYS, MONTH, staging, check=False, cluster=False)
     if quarantine is not None:
-        stamp = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
-        bad = flagged.where(~F.col("is_valid")).withColumn("quarantine_timestamp", stamp)
-        overwrite_partitions(bad, quarantine, ("ingestion_date",))
-    delete(spark, f"{staging}/flagged")
+        days = ("ingestion_date",)
+        overwrite_partitions(clustered(quarantined_bars(landed, at, exchange_tz), days), quarantine, days)
 
 
 class Lakehouse:

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Of tables without folders. Those in folders keep the session's codec: bronze is sorted as it is read, by tasks that
-#: would hold the more rows the smaller its files are.
+#: Of all tables but those that the file stream and the audit append to.
 COMPRESSION = "zstd"
 
 
@@ -27,28 +26,29 @@ def clustered(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def write_table(
-    df: DataFrame, path: str, partitions: Sequence[str] = (), mode: str = "overwrite"
+    df: DataFrame, path: str, partitions: Sequence[str] = (), mode: str = "overwrite", cluster: bool = True
 ) -> None:
     """Write Parquet, clustered by the partition columns if there are any.
 
     So there is no file per task and partition value, and a value with a large
     share of the rows is written by several tasks. Without partition columns the
-    rows are written where they are, without a shuffle.
+    rows are written where they are, without a shuffle; with ``cluster`` off also
+    into folders, of which there must be few: a task writes a file into each it has
+    rows for. Shuffled, a row takes about twice the bytes it takes when written.
     """
-    if partitions:
-        clustered(df, partitions).write.mode(mode).partitionBy(*partitions).parquet(path)
-    else:
-        df.write.mode(mode).option("compression", COMPRESSION).parquet(path)
+    rows = clustered(df, partitions) if partitions and cluster else df
+    rows.write.mode(mode).option("compression", COMPRESSION).partitionBy(*partitions).parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, path: str, key: str, order: str, buckets: int) -> DataFrame:
+def write_bucketed(df: DataFrame, table: str, path: str, key: str, order: str, buckets: int, dealt: bool = False) -> DataFrame:
     """Write a catalog table in hash buckets of ``key``, each sorted by key and ``order``, and read it back.
 
     A join on the key with a table of as many buckets, and a window over the key's series, then need no exchange.
-    The rows are dealt by the same hash first, so a bucket is one file. Choose the number so that a bucket fits a task.
+    The rows are dealt by the same hash first, unless they are ``dealt`` so already: a bucket is one file. Choose the
+    number so that a bucket fits a task.
     """
-    dealt = df.repartition(buckets, key)
-    dealt.write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key, order).format("parquet").saveAsTable(table)
+    rows = df if dealt else df.repartition(buckets, key)
+    rows.write.mode("overwrite").option("path", path).option("compression", COMPRESSION).bucketBy(buckets, key).sortBy(key, order).format("parquet").saveAsTable(table)
     return df.sparkSession.table(table)
 
 
@@ -58,11 +58,11 @@ def append_bars(df: DataFrame, path: str, partitions: Sequence[str] = ("ingestio
 
 
 def overwrite_partitions(df: DataFrame, path: str, partitions: Sequence[str]) -> None:
-    """Replace only the partitions present in ``df``."""
+    """Replace only the partitions present in ``df``; its rows are written where they are, so those of many partitions are clustered before."""
     (
-        clustered(df, partitions)
-        .write.mode("overwrite")
+        df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("compression", COMPRESSION)
         .partitionBy(*partitions)
         .parquet(path)
     )
