@@ -68,6 +68,17 @@ def test_reach_of_changed_bars(spark):
     assert (whole.start, whole["last"]) == (first, days[19][1])
 
 
+def test_months_that_changes_reach(spark):
+    first = date(2020, 1, 20)
+    days = [("A", first + timedelta(days=9 * k)) for k in range(20)] + [("B", date(2020, 12, 1)), ("C", first)]
+    schema = "ticker_standard string, date date"
+    silver = spark.createDataFrame(days, schema)
+    changed = spark.createDataFrame([days[8], days[9], days[20]], schema)
+    # Three bars on from the tenth, and the one bar of another stock; no month between.
+    assert sorted(incremental.months_reached(silver, changed, 3)) == [date(2020, m, 1) for m in (4, 5, 12)]
+    assert incremental.months_reached(silver, changed.limit(0)) == []
+
+
 def test_nothing_landed_changes_nothing(spark, dim, tmp_path):
     lake = Lakehouse(spark, history(spark, range(40)), dim, root=str(tmp_path / "same"), by_month=True)
     lake.build()

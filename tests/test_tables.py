@@ -18,9 +18,9 @@ from tickframe.operators import dimensions
 from tickframe.operators import upsert as upserts
 from tickframe.operators.upsert import DuplicateSourceKeys, upsert, upsert_table
 from tickframe.plans import monitor, screens
-from tickframe.plans.lakehouse import Lakehouse, refresh_silver, silver_bars
+from tickframe.plans.lakehouse import FROM_DAILY, Lakehouse, refresh_silver, silver_bars
 from tickframe.schemas import BAR_COLUMNS
-from tickframe.sinks import append_audit, append_bars, clustered, export_daily_json, overwrite_partitions, write_table
+from tickframe.sinks import append_audit, append_bars, clustered, export_daily_json, overwrite_partitions, write_bucketed, write_table
 from tickframe.sources import bars as sources
 from tickframe.sources import seed
 from tickframe.streaming.ingest import ingest_available
@@ -427,3 +427,24 @@ def test_rows_without_a_source_key_are_kept(spark, tmp_path, replaced):
     source = spark.createDataFrame([(k,) for k in replaced], "k int")
     got = upserts._without(pairs(spark, rows), source, ["k"], staged).collect()
     assert sorted(r.v for r in got) == [v for k, v in rows if k is None or k not in replaced]
+
+
+def test_lake_of_some_tables_has_their_columns(spark, history, tmp_path, monkeypatch):
+    """Refreshed tables equal rebuilt ones; of all rows only bronze is clustered, the rest is written where it is."""
+    raw, dim = history
+    raw = raw.withColumn("ingestion_date", F.trunc("date", "MM"))
+    whole, dealt = Lakehouse(spark, raw, dim, root=str(tmp_path / "whole"), by_month=True), []
+    monkeypatch.setattr("tickframe.sinks.clustered", lambda df, columns: (dealt.append(tuple(columns)), clustered(df, columns))[1])
+    late = F.col("ingestion_date") == F.lit(date(2020, 6, 1))
+    for name, width in (("stock_relative_strength", 0), ("stock_multitime_performance", 13), ("sector_daily_metrics", 10)):
+        dealt.clear()
+        lake = Lakehouse(spark, raw.where(~late), dim, root=str(tmp_path / name), by_month=True, only=[name])
+        lake.refresh(raw.where(late))
+        assert set(dealt) <= {("ingestion_date", "ticker_bucket"), ("month",)} and (("month",) in dealt) == (name in FROM_DAILY)
+        features = f"{lake.root}/gold.stock_features"
+        assert (len(spark.read.parquet(features).columns) - 1 if os.path.isdir(features) else 0) == width
+        assert differences(lake.gold(name).toPandas(), whole.gold(name).toPandas()) == [], name
+        with pytest.raises(ValueError):
+            lake.gold("stock_daily_metrics")
+    with pytest.raises(ValueError):
+        Lakehouse(spark, raw, dim, only=["top_movers_daily"])

@@ -107,6 +107,16 @@ def test_one_shuffle_per_series(spark, tmp_path):
         assert plan.count("Sort [") == 1
 
 
+def test_series_are_shuffled_as_they_are(spark, tmp_path):
+    """The decimals that windows add up are made after the shuffle, not below it."""
+    sectors(spark, {"A": "x"}).write.parquet(str(tmp_path / "sectors"))
+    silver(spark, {"A": series(30, 1)}).write.parquet(str(tmp_path / "silver"))
+    df, dim = (spark.read.parquet(str(tmp_path / t)) for t in ("silver", "sectors"))
+    for build in (gold.stock_daily_metrics, gold.stock_multitime_performance, gold.stock_technical_levels):
+        above, below = build(df, dim)._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")
+        assert "decimal" in above and "decimal" not in below
+
+
 def test_bucketed_silver_needs_no_exchange(spark, tmp_path):
     sectors(spark, {"A": "x"}).write.parquet(str(tmp_path / "sectors"))
     df, dim = silver(spark, {"A": series(30, 1), "B": series(9, 2)}), spark.read.parquet(str(tmp_path / "sectors"))

@@ -49,6 +49,17 @@ TECHNICAL_COLUMNS = [
 ]
 
 
+# What the tables by day and sector read of the daily metrics.
+SECTOR_INPUT = [
+    KEY, "sector", DATE, "close", "volume", "daily_return_pct", "price_vs_ma20_pct", "price_vs_ma50_pct", "trend_signal",
+    "volume_vs_avg_pct",
+]
+MOVERS_INPUT = [KEY, "sector", DATE, "close", "volume", "daily_return_pct", "trend_signal", "volume_vs_avg_pct"]
+OVERVIEW_INPUT = [
+    KEY, "sector", DATE, "close", "volume", "daily_return_pct", "price_range", "ma_20", "ma_50", "ma_200", "trend_signal",
+]
+
+
 def _flag(condition: Column) -> Column:
     """True or false, an unknown condition being false."""
     return F.coalesce(condition, F.lit(False))
@@ -65,7 +76,7 @@ def stock_features(silver: DataFrame, sectors: DataFrame, block_rows: int | None
     close, ret = F.col("close"), F.col("daily_return_pct")
 
     def build(rows: DataFrame, s: Series) -> DataFrame:
-        summed = rows.withColumns(
+        summed = s.placed(rows).withColumns(
             {
                 **s.totals("close", "close"),
                 **s.totals("volume", "volume", COUNT),

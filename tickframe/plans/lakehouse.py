@@ -36,6 +36,11 @@ PER_STOCK = {
     "stock_multitime_performance": gold.MULTITIME_COLUMNS,
     "stock_technical_levels": gold.TECHNICAL_COLUMNS,
 }
+INPUT = {
+    "sector_daily_metrics": gold.SECTOR_INPUT,
+    "top_movers_daily": gold.MOVERS_INPUT,
+    "market_overview_daily": gold.OVERVIEW_INPUT,
+}
 FROM_DAILY = {
     "sector_daily_metrics": gold.sector_daily_metrics,
     "top_movers_daily": gold.top_movers_daily,
@@ -48,13 +53,15 @@ READS = {
     **{f"gold.{name}": SILVER for name in PER_STOCK}, **{f"gold.{name}": FEATURES for name in FROM_DAILY},
 }
 
-def silver_bars(bronze: DataFrame, exchange_tz: str | None = None) -> DataFrame:
+def silver_bars(bronze: DataFrame, exchange_tz: str | None = None, buckets: int | None = None) -> DataFrame:
     """Typed, valid, unique bars.
 
     What follows from a bar's other columns is derived from the bars that are kept: it cannot tell two of them apart,
-    and would only widen the rows that are sorted and shuffled.
+    and would only widen the rows that are sorted and shuffled. With ``buckets`` the one shuffle deals the bars by
+    ticker into so many parts, for ``write_bucketed``; the repeated bars of a ticker go to its part too.
     """
-    return enrich(keep_latest(RuleSet(bar_rules()).valid(conform(bronze, exchange_tz))))
+    valid = RuleSet(bar_rules()).valid(conform(bronze, exchange_tz))
+    return enrich(keep_latest(valid if buckets is None else valid.repartition(buckets, KEYS[0])))
 
 
 def quarantined_bars(bronze: DataFrame, at: datetime | None = None, exchange_tz: str | None = None) -> DataFrame:
@@ -94,15 +101,22 @@ class Lakehouse:
     one month: worth it from some ten million bars, below that it makes small
     files. ``block_rows`` splits the series of the rolling windows into blocks of
     about so many bars; a series of daily bars fits a task without that. Neither
-    changes a result. ``clock`` gives the times of the audit rows.
+    changes a result. ``clock`` gives the times of the audit rows. A lake by month
+    may be restricted to the gold tables in ``only``: the per-stock table then has
+    the columns these need.
     """
 
     def __init__(
         self, spark: SparkSession, bronze: DataFrame, sectors: DataFrame, root: str | None = None,
         by_month: bool = False, block_rows: int | None = None, rebuild: bool = False,
-        clock: Callable[[], datetime] = datetime.now,
+        clock: Callable[[], datetime] = datetime.now, only: Sequence[str] | None = None,
     ):
+        if only is not None and not by_month:
+            raise ValueError("only a lake that is laid out by month can be restricted to some tables")
         self.spark, self._bronze, self._sectors = spark, bronze, sectors
+        self.names = [name for name in (*PER_STOCK, *FROM_DAILY, STRENGTH) if only is None or name in only]
+        wanted = dict.fromkeys(c for name in self.names for c in {**PER_STOCK, **INPUT}.get(name, ()))
+        self.feature_columns = ["*"] if only is None else list(wanted)
         self.root = root or shared_folder(spark)
         self.by_month, self.block_rows, self.rebuild, self.clock = by_month, block_rows, rebuild, clock
         self._tables: dict[str, DataFrame] = {}
@@ -110,7 +124,9 @@ class Lakehouse:
         self._times: dict[str, tuple[datetime, datetime]] = {}
         self._errors: dict[str, str] = {}
 
-    def written(self, name: str, plan: Callable[[], DataFrame], monthly: bool = False, layout: tuple[str, ...] = ()) -> DataFrame:
+    def written(
+        self, name: str, plan: Callable[[], DataFrame], monthly: bool = False, layout: tuple[str, ...] = (), cluster: bool = True
+    ) -> DataFrame:
         """The table ``name``: read if it exists, else written, and counted."""
         if name not in self._tables:
             path, start = f"{self.root}/{name}", self.clock()
@@ -118,7 +134,7 @@ class Lakehouse:
             if table is None:
                 try:
                     rows = with_month(plan()) if monthly else plan()
-                    write_table(rows, path, (MONTH,) if monthly and self.by_month else layout)
+                    write_table(rows, path, (MONTH,) if monthly and self.by_month else layout, cluster=cluster)
                 except Exception as error:
                     self._times[name], self._errors[name] = (start, self.clock()), str(error)
                     raise
@@ -145,28 +161,33 @@ class Lakehouse:
 
     @property
     def silver(self) -> DataFrame:
-        return self.written(SILVER, lambda: silver_bars(self.bronze), monthly=True)
+        return self.written(SILVER, lambda: silver_bars(self.bronze), monthly=True, cluster=False)
 
     @property
     def quarantine(self) -> DataFrame:
         return self.written(QUARANTINE, lambda: quarantined_bars(self.bronze, self.clock()))
 
     def _features(self) -> DataFrame:
-        return gold.stock_features(self.silver, self.sectors, self.block_rows)
+        return gold.stock_features(self.silver, self.sectors, self.block_rows).select(*self.feature_columns)
+
+    def _written_features(self) -> DataFrame:
+        return self.written(FEATURES, self._features, monthly=True, cluster=False)
 
     def plan(self, name: str) -> DataFrame:
         """The plan of a gold table over the written tables it derives from."""
         if name in PER_STOCK:
-            return self._features().select(*PER_STOCK[name])
+            return gold.stock_features(self.silver, self.sectors, self.block_rows).select(*PER_STOCK[name])
         if name == "stock_relative_strength":
             return gold.stock_relative_strength(self.silver, self.sectors)
-        return FROM_DAILY[name](self.gold("stock_daily_metrics"))
+        return FROM_DAILY[name](self._written_features() if self.by_month else self.gold("stock_daily_metrics"))
 
     def gold(self, name: str) -> DataFrame:
         """A written gold table; the per-stock tables share one where the lake has it or is laid out by month, else each has its own columns alone."""
+        if name not in self.names:
+            raise ValueError(f"{name} is not among the tables of this lake")
         if name in PER_STOCK and (self.by_month or FEATURES in self._tables or exists(self.spark, f"{self.root}/{FEATURES}")):
-            return self.written(FEATURES, self._features, monthly=True).select(*PER_STOCK[name], MONTH)
-        table = self.written(f"gold.{name}", lambda: self.plan(name), monthly=True)
+            return self._written_features().select(*PER_STOCK[name], MONTH)
+        table = self.written(f"gold.{name}", lambda: self.plan(name), monthly=True, cluster=name in FROM_DAILY)
         return table if name in (*PER_STOCK, STRENGTH) else table.drop(MONTH)
 
     def build(self, layer: str = "all") -> None:
@@ -176,8 +197,9 @@ class Lakehouse:
         if layer in ("all", "silver"):
             self.silver, self.quarantine
         if layer in ("all", "gold"):
-            self.written(FEATURES, self._features, monthly=True)
-            for name in (*PER_STOCK, *FROM_DAILY, "stock_relative_strength"):
+            if any(name != STRENGTH for name in self.names):
+                self._written_features()
+            for name in self.names:
                 self.gold(name)
 
     def refresh(self, landed: DataFrame, names: Sequence[str] | None = None) -> None:
@@ -193,7 +215,7 @@ class Lakehouse:
             raise ValueError("only a lake that is laid out by month can be refreshed")
         self.build("bronze")
         self.build("silver")
-        for name in (*PER_STOCK, *FROM_DAILY, STRENGTH):
+        for name in self.names:
             own = FEATURES if name in PER_STOCK else f"gold.{name}"
             if names is None or name in names or exists(self.spark, f"{self.root}/{own}"):
                 self.gold(name)
@@ -203,18 +225,17 @@ class Lakehouse:
         flagged = stored(RuleSet(bar_rules()).flag(clean(landed)))
         helpers = [r.column for r in bar_rules()]
         valid = stored(with_month(keep_latest(flagged.where("is_valid").drop(*helpers, "is_valid", "failure_reasons"))))
-        upsert_table(self.spark, path[SILVER], valid, KEYS, MONTH, f"{staging}/silver", check=False)
+        upsert_table(self.spark, path[SILVER], valid, KEYS, MONTH, f"{staging}/silver", check=False, cluster=False)
         bad = flagged.where(~F.col("is_valid")).withColumn("quarantine_timestamp", F.lit(self.clock()).cast("timestamp"))
         write_table(bad.select(*self.quarantine.columns), path[QUARANTINE], mode="append")
 
         self._reread(BRONZE, SILVER, QUARANTINE)
         if FEATURES in self._tables:
-            months = incremental.refresh_features(self.silver, self.sectors, valid.select(*KEYS), path[FEATURES])
+            months = incremental.refresh_features(self.silver, self.sectors, valid.select(*KEYS), path[FEATURES], self.feature_columns)
             self._reread(FEATURES)
             daily = {name: make for name, make in FROM_DAILY.items() if f"gold.{name}" in self._tables}
             incremental.refresh_months(
-                months, self.written(FEATURES, self._features),
-                {f"{self.root}/gold.{name}": lambda df, make=make: make(df.select(*gold.DAILY_COLUMNS)) for name, make in daily.items()},
+                months, self._written_features(), {f"{self.root}/gold.{name}": make for name, make in daily.items()},
             )
             self._reread(*[f"gold.{name}" for name in daily])
         if f"gold.{STRENGTH}" in self._tables:
