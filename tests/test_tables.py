@@ -448,3 +448,22 @@ def test_lake_of_some_tables_has_their_columns(spark, history, tmp_path, monkeyp
             lake.gold("stock_daily_metrics")
     with pytest.raises(ValueError):
         Lakehouse(spark, raw, dim, only=["top_movers_daily"])
+
+
+def test_silver_goes_into_buckets_by_one_shuffle(spark, tmp_path):
+    raw = bars(spark, *[bar(f"{t}.NS", d, close=11.0 + h / 100, hour=18 + h, rid=f"{t}{d}{h}") for t in "ABCDE" for d in range(20) for h in range(2)])
+    dealt = silver_bars(raw, buckets=3)
+    assert dealt._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    table = write_bucketed(dealt, "silver_dealt", str(tmp_path / "silver"), "ticker_standard", "date", 3, dealt=True)
+    parts = [f for f in os.listdir(tmp_path / "silver") if f.startswith("part-")]
+    assert len(parts) == len({f.rsplit("_", 1)[1] for f in parts}) <= 3
+    assert differences(table.toPandas(), silver_bars(raw).toPandas()) == []
+    spark.sql("DROP TABLE silver_dealt")
+
+
+def test_buckets_follow_the_bars(spark, monkeypatch):
+    counts = []
+    monkeypatch.setattr(contract, "BUCKET_ROWS", 500)
+    monkeypatch.setattr(contract, "write_bucketed", lambda *a, **k: (counts.append(k["buckets"]), write_bucketed(*a, **k))[1])
+    contract.queries()["stock_daily_metrics_bucketed"](spark, "/root/testdata/sf0.001").count()
+    assert counts == [contract.lake(spark, "/root/testdata/sf0.001").bronze.count() // 500]
